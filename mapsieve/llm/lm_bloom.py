@@ -37,7 +37,7 @@ LEVEL_BASE = 1.5
 BITS_PER_ENTRY = 12
 PROBES = 7
 WEIGHTS = (0.0, 0.1, 0.35, 0.7, 0.95)
-MAX_FILTER_BYTES = 192 << 20
+MAX_FILTER_BYTES = 128 << 20
 _END, _START = np.uint64(0xE0D), np.uint64(0x57A27)
 _LEVELS = 64
 #: The count that a level stands for: the middle of the counts that it holds.

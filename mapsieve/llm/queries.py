@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mapsieve.llm import lm_bloom
+from mapsieve.llm import hash_ring, lm_bloom, permutation_index
 
 
 def _table(spark, sf_dir, name):
@@ -13,5 +13,13 @@ def op1_lm_scores(spark, sf_dir):
     return lm_bloom.score(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores,)}
+def op3_shards(spark, sf_dir):
+    return hash_ring.shard(_table(spark, sf_dir, "documents"))
+
+
+def op8_neighbours(spark, sf_dir):
+    return permutation_index.search(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op3_shards, op8_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
