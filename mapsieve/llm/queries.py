@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mapsieve.llm import hash_ring, lm_bloom, permutation_index
+from mapsieve.llm import bitmap_join, hash_ring, lm_bloom, permutation_index
 
 
 def _table(spark, sf_dir, name):
@@ -21,5 +21,9 @@ def op8_neighbours(spark, sf_dir):
     return permutation_index.search(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op3_shards, op8_neighbours)}
+def op9_jaccard_join(spark, sf_dir):
+    return bitmap_join.join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op3_shards, op8_neighbours, op9_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
