@@ -80,7 +80,7 @@ def _request(bits: int):
             ids, n = np.unique(np.concatenate(pairs), return_counts=True)
             pairs.clear()
             buckets, at = np.unique(ids >> np.uint64(32), return_index=True)
-            for b, i, j in zip(buckets.tolist(), at, [*at[1:], len(ids)], strict=True):
+            for b, i, j in zip(buckets.tolist(), at, np.append(at[1:], len(ids)), strict=False):
                 body = (ids[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + n[i:j].astype(np.uint32).tobytes()
                 yield c.table(_MESSAGE, kind=[_PAIR], bucket=[b], chunk=[-1], body=[body])
 

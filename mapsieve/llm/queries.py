@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mapsieve.llm import bitmap_join, hash_ring, lm_bloom, permutation_index
+from mapsieve.llm import bitmap_join, hash_ring, lm_bloom, permutation_index, suffix_dedup
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def op1_lm_scores(spark, sf_dir):
     return lm_bloom.score(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op3_shards(spark, sf_dir):
     return hash_ring.shard(_table(spark, sf_dir, "documents"))
 
@@ -25,5 +29,5 @@ def op9_jaccard_join(spark, sf_dir):
     return bitmap_join.join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op3_shards, op8_neighbours, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_shards, op8_neighbours, op9_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
