@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from mapsieve.llm import bitmap_join, hash_ring, lm_bloom, permutation_index, suffix_dedup
+from mapsieve.llm import bitmap_join, hash_ring, html_mincut, lm_bloom, permutation_index, suffix_dedup, warc_zst
+from mapsieve.llm.common import stored
 
 
 def _table(spark, sf_dir, name):
@@ -21,6 +22,14 @@ def op3_shards(spark, sf_dir):
     return hash_ring.shard(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc_zst.read(stored(warc_zst.write(_table(spark, sf_dir, "pages")), "uncompressed"))
+
+
+def op6_main_text(spark, sf_dir):
+    return html_mincut.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_neighbours(spark, sf_dir):
     return permutation_index.search(_table(spark, sf_dir, "embeddings"))
 
@@ -29,5 +38,5 @@ def op9_jaccard_join(spark, sf_dir):
     return bitmap_join.join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_shards, op8_neighbours, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_shards, op4_warc, op6_main_text, op8_neighbours, op9_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
