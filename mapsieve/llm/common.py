@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one packed chunk aims at; a longer document makes a longer chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -27,6 +27,8 @@ _FOLD[65:91] += 32
 _TABLE_FOLDED = _TABLE[_FOLD]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -99,9 +101,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, folded: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Words without up to ``most`` ASCII punctuation marks at either edge; a word of such marks alone may end empty."""
+    for _ in range(most):
+        left = (start < end) & _MARK[data[np.minimum(start, len(data) - 1)]]
+        start = start + left
+        right = (start < end) & _MARK[data[np.maximum(end, 1) - 1]]
+        end = end - right
+        if not left.any() and not right.any():
+            break
+    return start, end
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, folded: bool = True, strip: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The mixed 64-bit hash of every word and the words before each document: word i of document d is hashes[first[d] + i]."""
     start, end, doc = words(data, offsets)
+    if strip and len(start):
+        start, end = stripped(data, start, end)
     first = np.searchsorted(doc, np.arange(len(offsets)))
     return mix(span_hash(prefix_hash(data, folded), start, end) + (end - start).astype(np.uint64)), first
 
@@ -160,7 +176,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, offsets in text_parts(batch.column(1)):
             held.append((values[a:b].tobytes(), known[a:b].tobytes(), data.tobytes(), offsets))
             size += len(data) + 32 * (b - a)
-            if size >= CHUNK_BYTES // 2:
+            if size >= CHUNK_BYTES * 3 // 4:
                 yield flush()
     if held:
         yield flush()

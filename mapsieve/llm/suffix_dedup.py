@@ -39,7 +39,7 @@ LENGTH = 200
 GRAM = 64
 STEP = 50
 CROWD = 20_000
-_SLICE = 8 << 20
+_SLICE = 1 << 20
 _SPAN = LENGTH - GRAM + 1
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 _SPLIT, _WHOLE, _TEXT, _SINGLE = 0, 1, 2, 3
@@ -90,6 +90,17 @@ def pieces(data: np.ndarray, offsets: np.ndarray):
     return value, text, first, count, twice
 
 
+def _pieces_by_slice(data: np.ndarray, offsets: np.ndarray):
+    """pieces() of some documents at a time, so that its work arrays stay small."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SLICE // 2, side="right")) - 1)
+        to = min(to, n)
+        value, text, first, count, twice = pieces(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        yield value, text, first + offsets[at], count, twice
+        at = to
+
+
 def identifiers(prefix: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Bucket identifiers of the given depth: STEP-gram hashes, then pairs of identifiers of half the depth."""
     if depth == STEP:
@@ -133,7 +144,7 @@ def _deal(bits: int):
     def run(batches):
         for row in c.rows_of(batches):
             _, _, offsets, data = c.unpacked(row)
-            value, text, first, count, twice = pieces(data, offsets)
+            value, text, first, count, twice = (np.concatenate(x) for x in zip(*_pieces_by_slice(data, offsets), strict=True))
             order, there, at = c.by_bucket(value, bits)
             packed_count = (count.astype(np.uint64) << np.uint64(1) | twice.astype(np.uint64)).astype(np.uint32)
             bodies = [value[o].tobytes() + text[o].tobytes() + first[o].astype(np.uint32).tobytes() + packed_count[o].tobytes() for o in (order[i:j] for i, j in zip(at[:-1], at[1:], strict=True))]
