@@ -34,8 +34,8 @@ BITS = 20
 DIM = 1 << BITS
 SAMPLE = 24_000
 GRADES = 3
-LEAST_DOCS = 8
-EPOCHS = 15
+LEAST_DOCS = 12
+EPOCHS = 25
 CUT = 0.5
 _SHAPES = 9
 
@@ -89,6 +89,15 @@ class Model:
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
 
+    def __getstate__(self):
+        there = np.flatnonzero(self.weights).astype(np.int32)
+        return there, self.weights[there], self.thresholds
+
+    def __setstate__(self, state):
+        there, values, self.thresholds = state
+        self.weights = np.zeros(2 * DIM, dtype=np.float32)
+        self.weights[there] = values
+
     def position(self, x: np.ndarray, at: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
         """Positions of documents; count: their numbers of features, where x leaves some out that have no weight."""
         count = np.diff(at) if count is None else count
@@ -100,7 +109,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - self.position(x, at)[:, None], -40, 40)))
 
 
-def fit(x: np.ndarray, at: np.ndarray, grade: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, shrink: float = 1e-4) -> Model:
+def fit(x: np.ndarray, at: np.ndarray, grade: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, shrink: float = 3e-4) -> Model:
     """Cumulative-link regression by AdaGrad over shuffled batches; thresholds stay in order by their gaps' logarithms."""
     there = np.unique(grade)
     if len(there) < 2:

@@ -87,7 +87,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray):
         last = first[own] + count[own] - 1
         right = last + _SPAN - 1 - (window[last][:, ::-1] == value[own, None]).argmax(1)
         twice[own] = left != right
-    return value, text, first, count, twice
+    return c.mix(value + _MIX), text, first, count, twice  # least hashes are small; mixed again they spread over the buckets
 
 
 def _pieces_by_slice(data: np.ndarray, offsets: np.ndarray):
