@@ -40,6 +40,7 @@ NUM, DEN = 80, 100
 KEYS = 24
 LEAST_BITS = 128
 _SEEDS = (np.random.Generator(np.random.PCG64(9_2024)).integers(0, 2**63, 2 * KEYS, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
+_NO_ID = (1 << 63) - 1
 _SHORT = np.uint64(0x5B07)
 _STEP = np.uint64(0xA24BAED4963EE407)
 
@@ -257,35 +258,53 @@ def _link(key, rows):
     return pa.table({k: np.concatenate(v) for k, v in found.items()})
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
-    spark = docs.sparkSession
-    corpus = c.packed(docs)
+def _solve(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows described, and the classes (set_a, set_b, low, chunk, place) with their component's number."""
+    spark = corpus.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(4, min(22, parts.bit_length() + 1))
     all_docs = c.stored(corpus.mapInArrow(_describe, _CLASSES_DDL))
     # a class is named after its row: unique even where doc_ids repeat or are null
-    own = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("low"), "chunk", "place", "n", "keys", "bits")
-    classes = c.stored(
-        all_docs.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(own).alias("x"))
-        .select("set_a", "set_b", "x.*").withColumn("class", F.xxhash64("chunk", "place"))
-    )
+    own = F.struct(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias("low"), "chunk", "place", "n", "keys", "bits")
+    classes = all_docs.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(own).alias("x"))
+    classes = c.stored(classes.select("set_a", "set_b", "x.*").withColumn("class", F.xxhash64("chunk", "place")))
     dealt = classes.select("class", "n", "keys", "bits").mapInArrow(_deal(bits), "bucket int, body binary")
     forest = dealt.groupBy("bucket").applyInArrow(_tile, "a long, b long")
     gathered = c.stored(components(forest))
-    wanted = gathered.join(classes.select(F.col("class").alias("node"), "chunk", "place"), "node").select("chunk", F.col("place").cast("long").alias("place"), "node", "component")
+    wanted = gathered.join(classes.select(F.col("class").alias("node"), "chunk", F.col("place").cast("long").alias("place")), "node")
     asks = wanted.groupBy("chunk").agg(F.flatten(F.collect_list(F.array("place", "node", "component"))).alias("told"))
-    asks = asks.mapInArrow(_as_bytes, "chunk long, reply binary")
-    texts = c.with_replies(corpus, asks).mapInArrow(_send_texts, "component long, class long, text binary")
+    texts = c.with_replies(corpus, asks.mapInArrow(_as_bytes, "chunk long, reply binary")).mapInArrow(_send_texts, "component long, class long, text binary")
     linked = texts.groupBy(F.pmod(F.xxhash64("component"), F.lit(4 * parts)).alias("bucket")).applyInArrow(_link, "class long, component long")
-    names = classes.select("class", "set_a", "set_b", "low").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    names = classes.select("class", "set_a", "set_b", "low", "chunk", "place").join(linked, "class", "left")
+    return all_docs, c.stored(names.withColumn("component", F.coalesce("component", "class")))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
+    all_docs, names = _solve(c.packed(docs))
     lowest = names.groupBy("component").agg(F.min("low").alias("component_id"))
-    answer = c.stored(names.join(lowest, "component").select("set_a", "set_b", F.col("component_id")))
+    answer = c.stored(names.join(lowest, "component").select("set_a", "set_b", "component_id"))
     out = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b").join(answer, ["set_a", "set_b"], "left")
-    none = (F.col("n_shingles") == 0) | (F.col("component_id") == (1 << 63) - 1)
+    none = (F.col("n_shingles") == 0) | (F.col("component_id") == _NO_ID)
     return out.select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, less all but one row of every component (that of the smallest doc_id)."""
+    corpus = c.packed(docs, whole=True)
+    all_docs, names = _solve(corpus)
+    first = names.groupBy("component").agg(F.min(F.struct("low", "chunk", "place")).alias("x")).select("x.chunk", "x.place")
+    stay = first.unionByName(all_docs.filter("n = 0").select("chunk", "place"))
+    told = stay.groupBy("chunk").agg(F.collect_list(F.col("place").cast("long")).alias("told")).mapInArrow(_as_bytes, "chunk long, reply binary")
+    return c.unpacked_rows(c.with_replies(corpus, told).mapInArrow(_keep, c.ROWS_DDL), docs.schema)
+
+
+def _keep(batches):
+    for row in c.rows_of(batches):
+        if row["replies"]:
+            yield c.rows_at(row, np.sort(np.concatenate([np.frombuffer(x, dtype=np.int64) for x in row["replies"]])))
+
+
 def _as_bytes(batches):
     out = pa.schema([("chunk", pa.int64()), ("reply", pa.binary())])
     for batch in batches:

@@ -148,8 +148,8 @@ def table(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- packed corpus
 
-PACKED = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("offsets", pa.binary()), ("data", pa.binary())])
-PACKED_DDL = "chunk long, ids binary, known binary, offsets binary, data binary"
+PACKED = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("offsets", pa.binary()), ("data", pa.binary()), ("rest_offsets", pa.binary()), ("rest", pa.binary())])
+PACKED_DDL = "chunk long, ids binary, known binary, offsets binary, data binary, rest_offsets binary, rest binary"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,13 +159,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     size = 0
 
+    def joined(k):
+        offsets, at = [np.zeros(1, dtype=np.int64)], 0
+        for x in held:
+            offsets.append(x[k][1:] + at)
+            at += int(x[k][-1])
+        return np.concatenate(offsets).tobytes(), b"".join(x[k + 1] for x in held)
+
     def flush():
         nonlocal held, size, seq
-        offsets, at = [np.zeros(1, dtype=np.int64)], 0
-        for _, _, _, o in held:
-            offsets.append(o[1:] + at)
-            at += int(o[-1])
-        row = table(PACKED, chunk=[(part << 31) + seq], ids=[b"".join(x[0] for x in held)], known=[b"".join(x[1] for x in held)], offsets=[np.concatenate(offsets).tobytes()], data=[b"".join(x[2] for x in held)])
+        (offsets, data), (rest_offsets, rest) = joined(2), joined(4)
+        row = table(PACKED, chunk=[(part << 31) + seq], ids=[b"".join(x[0] for x in held)], known=[b"".join(x[1] for x in held)], offsets=[offsets], data=[data], rest_offsets=[rest_offsets], rest=[rest])
         held, size, seq = [], 0, seq + 1
         return row
 
@@ -174,28 +178,53 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.asarray(ids.is_valid())
         values = ids.fill_null(0).to_numpy(zero_copy_only=False)
         for a, b, data, offsets in text_parts(batch.column(1)):
-            held.append((values[a:b].tobytes(), known[a:b].tobytes(), data.tobytes(), offsets))
-            size += len(data) + 32 * (b - a)
+            (rest, rest_offsets), *more = [x[2:] for x in text_parts(batch.column(2).slice(a, b - a), 1 << 62)]
+            held.append((values[a:b].tobytes(), known[a:b].tobytes(), offsets, data.tobytes(), rest_offsets, rest.tobytes()))
+            size += len(data) + len(rest) + 32 * (b - a)
             if size >= CHUNK_BYTES * 3 // 4:
                 yield flush()
     if held:
         yield flush()
 
 
-def packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Write (doc_id, text) as a packed corpus table, bucketed by chunk, and read it back.
 
     The text is written once and never shuffled.  There are as many buckets as
     ``spark.sql.shuffle.partitions``, so that a join on chunk moves the other side only.
+    whole: the other columns come along as a JSON text of each row; see unpacked_rows.
     """
     spark = docs.sparkSession
     name = f"packed_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pack, PACKED_DDL)
+    others = [x for x in docs.columns if x not in ("doc_id", "text")]
+    rest = F.to_json(F.struct(*(F.col(f"`{x}`") for x in others))) if whole and others else F.lit("")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest.alias("rest")).mapInArrow(_pack, PACKED_DDL)
     rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name)
 
 
+ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("rest", pa.string())])
+ROWS_DDL = "doc_id long, text binary, rest string"
+
+
+def rows_at(row: dict, places: np.ndarray, texts: list | None = None) -> pa.RecordBatch:
+    """Rows of a chunk (packed whole), as ROWS; texts: what to put in place of their texts."""
+    ids, known, offsets, data = unpacked(row)
+    at, rest = np.frombuffer(row["rest_offsets"], dtype=np.int64), row["rest"].to_pybytes()
+    texts = [data[offsets[p] : offsets[p + 1]].tobytes() for p in places] if texts is None else texts
+    return table(ROWS, doc_id=ids_column(ids[places], known[places]), text=texts, rest=[rest[at[p] : at[p + 1]].decode() for p in places])
+
+
+def unpacked_rows(rows: DataFrame, schema) -> DataFrame:
+    """ROWS as a table of the given schema; bytes of a character that was cut apart are dropped."""
+    others = [f for f in schema if f.name not in ("doc_id", "text")]
+    kind = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in others) + ">"
+    parsed = rows.withColumn("rest", F.from_json("rest", kind)) if others else rows
+    text = F.col("text").cast("string")
+    return parsed.select(*(F.col("doc_id").cast(f.dataType).alias("doc_id") if f.name == "doc_id" else text.alias("text") if f.name == "text" else F.col(f"rest.`{f.name}`").alias(f.name) for f in schema))
+
+
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, known (false where the id is null), offsets and bytes of one packed row."""
     return np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["known"], dtype=bool), np.frombuffer(row["offsets"], dtype=np.int64), np.frombuffer(row["data"], dtype=np.uint8)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mapsieve.llm import bitmap_join, hash_ring, html_mincut, lm_bloom, permutation_index, suffix_dedup, warc_zst
+from mapsieve.llm import bitmap_join, hash_ring, html_mincut, lm_bloom, ordinal_quality, permutation_index, sentencepiece_sa, suffix_dedup, template_decontam, warc_zst
 from mapsieve.llm.common import stored
 
 
@@ -26,10 +26,19 @@ def op4_warc(spark, sf_dir):
     return warc_zst.read(stored(warc_zst.write(_table(spark, sf_dir, "pages")), "uncompressed"))
 
 
+def op5_sentencepiece(spark, sf_dir):
+    return sentencepiece_sa.encode(_table(spark, sf_dir, "documents"))
+
+
 def op6_main_text(spark, sf_dir):
     return html_mincut.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return ordinal_quality.score(docs, ordinal_quality.fit(*ordinal_quality.sampled(docs, _table(spark, sf_dir, "labels"))))
+
+
 def op8_neighbours(spark, sf_dir):
     return permutation_index.search(_table(spark, sf_dir, "embeddings"))
 
@@ -38,5 +47,9 @@ def op9_jaccard_join(spark, sf_dir):
     return bitmap_join.join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_shards, op4_warc, op6_main_text, op8_neighbours, op9_jaccard_join)}
+def op10_decontamination(spark, sf_dir):
+    return template_decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_suffix_dedup, op3_shards, op4_warc, op5_sentencepiece, op6_main_text, op7_quality, op8_neighbours, op9_jaccard_join, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}

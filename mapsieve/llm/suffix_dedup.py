@@ -264,33 +264,46 @@ def _settle(key, messages):
     return _replies(_by_chunk(owner[first], _WHOLE, np.stack([starts[first], np.diff(np.append(first, len(starts)))], 1)) if len(first) else [])
 
 
-_CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
-_CUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+_CUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _cut(with_kept: bool):
-    def run(batches):
-        for row in c.rows_of(batches):
-            ids, known, offsets, data = c.unpacked(row)
-            step = np.zeros(len(data) + 1, dtype=np.int32)
-            for x in row["replies"]:
-                first, count = np.frombuffer(x, dtype=np.int64, offset=8).reshape(-1, 2).T
-                np.add.at(step, first, 1)
-                np.add.at(step, first + count - 1 + LENGTH, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            total = np.append(0, np.cumsum(gone))
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            inner = offsets[:-1][offsets[:-1] < len(data)]
-            begins[inner] = gone[inner]
-            spans = np.append(0, np.cumsum(begins))
-            removed = total[offsets[1:]] - total[offsets[:-1]]
-            kept = []
-            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                kept.append(data[a:b].tobytes() if not removed[i] else data[a:b][~gone[a:b]].tobytes())
-            yield c.table(_CUT, doc_id=c.ids_column(ids, known), n_bytes=np.diff(offsets), n_removed=removed, n_spans=spans[offsets[1:]] - spans[offsets[:-1]], kept_sha256=[hashlib.sha256(x).hexdigest() for x in kept], kept=kept if with_kept else [None] * len(kept))
+def _covered(row, offsets: np.ndarray, data: np.ndarray):
+    """Which bytes of a chunk go, how many of each document, and in how many runs."""
+    step = np.zeros(len(data) + 1, dtype=np.int32)
+    for x in row["replies"]:
+        first, count = np.frombuffer(x, dtype=np.int64, offset=8).reshape(-1, 2).T
+        np.add.at(step, first, 1)
+        np.add.at(step, first + count - 1 + LENGTH, -1)
+    gone = np.cumsum(step[:-1]) > 0
+    total = np.append(0, np.cumsum(gone))
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    inner = offsets[:-1][offsets[:-1] < len(data)]
+    begins[inner] = gone[inner]
+    spans = np.append(0, np.cumsum(begins))
+    return gone, total[offsets[1:]] - total[offsets[:-1]], spans[offsets[1:]] - spans[offsets[:-1]]
+
+
+def _kept(data, offsets, gone, removed) -> list[bytes]:
+    return [data[a:b].tobytes() if not n else data[a:b][~gone[a:b]].tobytes() for a, b, n in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist(), strict=True)]
+
+
+def _cut(batches):
+    for row in c.rows_of(batches):
+        ids, known, offsets, data = c.unpacked(row)
+        gone, removed, spans = _covered(row, offsets, data)
+        yield c.table(_CUT, doc_id=c.ids_column(ids, known), n_bytes=np.diff(offsets), n_removed=removed, n_spans=spans, kept_sha256=[hashlib.sha256(x).hexdigest() for x in _kept(data, offsets, gone, removed)])
 
-    return run
+
+def _cut_rows(batches):
+    """Rows with what is left of their texts; those of which nothing is left go."""
+    for row in c.rows_of(batches):
+        _, _, offsets, data = c.unpacked(row)
+        gone, removed, _ = _covered(row, offsets, data)
+        texts = [x.decode(errors="ignore").encode() if n else x for x, n in zip(_kept(data, offsets, gone, removed), removed.tolist(), strict=True)]
+        places = np.flatnonzero([bool(x) or not n for x, n in zip(texts, removed.tolist(), strict=True)])
+        yield c.rows_at(row, places, [texts[p] for p in places])
 
 
 def _tagged(verdicts: DataFrame, kinds) -> DataFrame:
@@ -299,13 +312,23 @@ def _tagged(verdicts: DataFrame, kinds) -> DataFrame:
     return verdicts.filter(F.col("kind").isin(*kinds)).select("chunk", F.concat(tags[F.col("kind")], F.col("reply")).alias("reply"))
 
 
-def dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of (doc_id, text); with_kept adds the bytes that stay."""
-    spark = docs.sparkSession
-    corpus = c.packed(docs)
-    bits = max(4, min(22, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1))
+def _marked(corpus: DataFrame) -> DataFrame:
+    """The packed corpus with the runs of repeated starts of every chunk as its replies."""
+    bits = max(4, min(22, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1))
     judged = c.stored(corpus.mapInArrow(_deal(bits), _MESSAGE_DDL).groupBy("bucket").applyInArrow(_judge, _VERDICT_DDL))
     sent = c.with_replies(corpus, _tagged(judged, (_TEXT, _SINGLE))).mapInArrow(_answer(bits), _MESSAGE_DDL)
     settled = sent.groupBy("bucket", "kind").applyInArrow(_settle, _VERDICT_DDL)
-    cut = c.with_replies(corpus, _tagged(judged.unionByName(settled), (_WHOLE,))).mapInArrow(_cut(with_kept), _CUT_DDL)
-    return cut if with_kept else cut.drop("kept")
+    return c.with_replies(corpus, _tagged(judged.unionByName(settled), (_WHOLE,)))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of (doc_id, text)."""
+    return _marked(c.packed(docs)).mapInArrow(_cut, _CUT_DDL)
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, and the text that stays; rows that lose all their text go.
+
+    A character that a cut splits goes too.
+    """
+    return c.unpacked_rows(_marked(c.packed(docs, whole=True)).mapInArrow(_cut_rows, c.ROWS_DDL), docs.schema)
