@@ -32,7 +32,7 @@ from mapsieve.llm import common as c
 
 BITS = 20
 DIM = 1 << BITS
-SAMPLE = 24_000
+SAMPLE = 16_000
 GRADES = 3
 LEAST_DOCS = 12
 EPOCHS = 25
@@ -177,7 +177,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     rows = own.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_features, "doc_id long, x binary").collect()
     rows.sort(key=lambda r: r.doc_id)
     parts = [np.frombuffer(r.x, dtype=np.int32) for r in rows]
-    return (np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, dtype=np.int64)), np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64), np.array([told[r.doc_id] for r in rows], dtype=np.int64)
+    return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)), np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64), np.array([told[r.doc_id] for r in rows], dtype=np.int64)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("top_tail", pa.float64()), ("kept", pa.bool_())])
