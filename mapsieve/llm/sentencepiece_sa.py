@@ -19,6 +19,7 @@ decodes to a space; repeated rows get equal answers; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
@@ -43,6 +44,7 @@ class Pieces:
 
     def __init__(self, pieces: list[tuple[str, float, str]]):
         self.text = [p.encode() for p, _, _ in pieces]
+        self.name = hashlib.sha256(repr(pieces).encode()).hexdigest()
         self.byte_id = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == "byte"}
         self.byte_of = {i: bytes([b]) for b, i in self.byte_id.items()}
         self.silent = {i for i, (_, _, kind) in enumerate(pieces) if kind == "other"}
@@ -259,14 +261,24 @@ class Encoder:
 
 def _batches(pieces: Pieces, batch: pa.RecordBatch, column: int):
     """(first row, ids of every row, whether they decode to the text) for parts of a batch."""
-    encoder = _ENCODERS.get(id(pieces)) or _ENCODERS.setdefault(id(pieces), Encoder(pieces))
+    encoder = _encoder(pieces)
     for a, b, data, offsets in c.text_parts(batch.column(column)):
         texts = [data[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
         found = encoder.encode(texts)
         yield a, b, found, [encoder.decode(x) == t.replace(_MARK, b" ") for x, t in zip(found, texts, strict=True)]
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(pieces: Pieces) -> Encoder:
+    """The worker process's encoder for a vocabulary; later tasks in the process find its answers there."""
+    if pieces.name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[pieces.name] = Encoder(pieces)
+    return _ENCODERS[pieces.name]
+
+
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()), ("pieces", pa.list_(pa.int32()))])
 _OUT_DDL = "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, pieces array<int>"
 
