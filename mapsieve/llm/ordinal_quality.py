@@ -122,9 +122,10 @@ def fit(x: np.ndarray, at: np.ndarray, grade: np.ndarray, epochs: int = EPOCHS,
     w = np.zeros(2 * DIM)
     seen, seen_cut = np.full(2 * DIM, 1e-3), np.full(GRADES - 1, 1e-3)
     count = np.diff(at)
-    common = np.bincount(x, minlength=DIM)[x] >= LEAST_DOCS
-    common |= x >= DIM - 64 * _SHAPES
-    at = np.append(0, np.cumsum(common))[at]
+    often = np.bincount(x, minlength=DIM) >= LEAST_DOCS
+    often[DIM - 64 * _SHAPES :] = True
+    common = often[x]
+    at = np.append(0, np.cumsum(common, dtype=np.int32))[at]
     x, size = x[common], np.diff(at)
     for _ in range(epochs):
         order = rng.permutation(len(grade))
@@ -176,8 +177,13 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = own.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_features, "doc_id long, x binary").collect()
     rows.sort(key=lambda r: r.doc_id)
-    parts = [np.frombuffer(r.x, dtype=np.int32) for r in rows]
-    return (np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)), np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int64), np.array([told[r.doc_id] for r in rows], dtype=np.int64)
+    sizes, grade = [len(r.x) // 4 for r in rows], np.array([told[r.doc_id] for r in rows], dtype=np.int64)
+    x = np.empty(sum(sizes), dtype=np.int32)
+    at = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    for i in range(len(rows)):
+        x[at[i] : at[i + 1]] = np.frombuffer(rows[i].x, dtype=np.int32)
+        rows[i] = None
+    return x, at, grade
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("top_tail", pa.float64()), ("kept", pa.bool_())])
