@@ -165,7 +165,14 @@ def _replies(rows) -> pa.Table:
     return pa.table({"chunk": pa.array(chunk, type=pa.int64()), "kind": pa.array(kind, type=pa.int32()), "reply": pa.array(reply, type=pa.binary())}, schema=_VERDICT)
 
 
-def _judge(key, messages):
+def _judge(crowd: int):
+    def run(key, messages):
+        return _verdicts(messages, crowd)
+
+    return run
+
+
+def _verdicts(messages, most: int) -> pa.Table:
     """Verdict on every piece of a bucket: repeated as a whole, asked for, or (no reply) unique."""
     bodies = [x.as_buffer() for x in messages.column("body")]
     sizes = [len(x) // 24 for x in bodies]
@@ -185,7 +192,7 @@ def _judge(key, messages):
     kinds = np.bincount(group[rep])
     open_kinds = np.bincount(group[rep], weights=~whole[rep]) > 0
     ask = rep[((kinds[group[rep]] > 1) & open_kinds[group[rep]]) | (twice[rep] & ~whole[rep])]
-    crowd = kinds[group[ask]] > CROWD
+    crowd = kinds[group[ask]] > most
     out = _by_chunk(chunk[whole], _WHOLE, np.stack([first[whole], count[whole]], 1))
     for kind, own in ((_TEXT, ask[~crowd]), (_SINGLE, ask[crowd])):
         out += _by_chunk(chunk[own], kind, np.stack([value[own].view(np.int64), first[own], count[own]], 1))
@@ -312,23 +319,23 @@ def _tagged(verdicts: DataFrame, kinds) -> DataFrame:
     return verdicts.filter(F.col("kind").isin(*kinds)).select("chunk", F.concat(tags[F.col("kind")], F.col("reply")).alias("reply"))
 
 
-def _marked(corpus: DataFrame) -> DataFrame:
+def _marked(corpus: DataFrame, crowd: int) -> DataFrame:
     """The packed corpus with the runs of repeated starts of every chunk as its replies."""
     bits = max(4, min(22, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1))
-    judged = c.stored(corpus.mapInArrow(_deal(bits), _MESSAGE_DDL).groupBy("bucket").applyInArrow(_judge, _VERDICT_DDL))
+    judged = c.stored(corpus.mapInArrow(_deal(bits), _MESSAGE_DDL).groupBy("bucket").applyInArrow(_judge(crowd), _VERDICT_DDL))
     sent = c.with_replies(corpus, _tagged(judged, (_TEXT, _SINGLE))).mapInArrow(_answer(bits), _MESSAGE_DDL)
     settled = sent.groupBy("bucket", "kind").applyInArrow(_settle, _VERDICT_DDL)
     return c.with_replies(corpus, _tagged(judged.unionByName(settled), (_WHOLE,)))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of (doc_id, text)."""
-    return _marked(c.packed(docs)).mapInArrow(_cut, _CUT_DDL)
+    return _marked(c.packed(docs), crowd).mapInArrow(_cut, _CUT_DDL)
 
 
-def cut(docs: DataFrame) -> DataFrame:
+def cut(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """The rows of docs, with all their columns, and the text that stays; rows that lose all their text go.
 
     A character that a cut splits goes too.
     """
-    return c.unpacked_rows(_marked(c.packed(docs, whole=True)).mapInArrow(_cut_rows, c.ROWS_DDL), docs.schema)
+    return c.unpacked_rows(_marked(c.packed(docs, whole=True), crowd).mapInArrow(_cut_rows, c.ROWS_DDL), docs.schema)

@@ -7,8 +7,10 @@ numbers or names still matches.  Hits of a document with the same item and the s
 one alignment; its slots must be filled consistently: equal fillings of the item stand against
 equal fillings of the document and unequal ones against unequal ones; units match literally or
 as any other unit.  An alignment counts when it covers SHARE of the item's tokens, or LONG tokens.
+Windows of the words as they are, without capitals, are looked up as well, so that a copy in
+capitals, in which every word looks like a name, is found too.
 
-Windows with fewer than LITERAL literal tokens are not indexed, since placeholders alone say little.
+Template windows with fewer than LITERAL literal tokens are not indexed, since placeholders say little.
 Items shorter than WIDTH have one window of their own length; those under LEAST tokens match nothing.
 
 The index of the benchmark is broadcast in blocks of at most BLOCK_BYTES of text; every document
@@ -86,12 +88,13 @@ class Tokens:
         self.slot = number | unit | name
         self.template = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, self.literal)))
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Template hash of the window at every token, and whether the window lies in one document."""
-        n = max(len(self.template) - width + 1, 0)
+    def windows(self, width: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the window of template or literal tokens at every token, and whether the window lies in one document."""
+        tokens = getattr(self, kind)
+        n = max(len(tokens) - width + 1, 0)
         rolled = np.full(n, width, dtype=np.uint64)
         for i in range(width):
-            rolled = rolled * _STEP + self.template[i : i + n]
+            rolled = rolled * _STEP + tokens[i : i + n]
         fits = np.zeros(len(self.template) + 1, dtype=np.int32)
         long = np.flatnonzero(np.diff(self.first) >= width)
         np.add.at(fits, self.first[long], 1)
@@ -110,25 +113,25 @@ class Index:
         first = self.tokens.first
         self.size = np.diff(first)
         literals = np.append(0, np.cumsum(~self.tokens.slot))
-        self.by_width = {}
-        for width in sorted({min(WIDTH, int(n)) for n in self.size if n >= LEAST}):
-            hashes, fits = self.tokens.windows(width)
+        self.files = {}
+        for width, kind in ((w, k) for w in sorted({min(WIDTH, int(n)) for n in self.size if n >= LEAST}) for k in ("template", "literal")):
+            hashes, fits = self.tokens.windows(width, kind)
             at = np.flatnonzero(fits)
             item = np.searchsorted(first, at, side="right") - 1
             own = (self.size[item] >= WIDTH) if width == WIDTH else (self.size[item] == width)
-            own &= literals[at + width] - literals[at] >= min(LITERAL, width)
+            own &= (literals[at + width] - literals[at] >= min(LITERAL, width)) | (kind == "literal")
             at, item = at[own], item[own]
             order = np.lexsort((at, hashes[at]))
             gate = np.zeros(1 << 20, dtype=bool)
             gate[(hashes[at] >> np.uint64(44)).astype(np.int64)] = True
-            self.by_width[width] = (hashes[at][order], item[order], at[order] - first[item[order]], gate)
+            self.files[width, kind] = (hashes[at][order], item[order], at[order] - first[item[order]], gate)
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
         """(document, item, covered tokens) of the alignments that count; the best one of each document and item."""
         doc = Tokens(data, offsets)
         hits = []
-        for width, (known, item, place, gate) in self.by_width.items():
-            hashes, fits = doc.windows(width)
+        for (width, kind), (known, item, place, gate) in self.files.items():
+            hashes, fits = doc.windows(width, kind)
             maybe = np.flatnonzero(fits & gate[(hashes >> np.uint64(44)).astype(np.int64)]) if len(hashes) else np.zeros(0, dtype=np.int64)
             low, high = np.searchsorted(known, hashes[maybe]), np.searchsorted(known, hashes[maybe], side="right")
             many = high - low
