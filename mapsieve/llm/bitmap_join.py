@@ -16,8 +16,8 @@
    are already connected are skipped.
 5. A component's name goes back to all documents of its classes.
 
-Every link joins two classes of one gathered component, so none is lost.  A component's texts meet
-in one task: its classes differ from each other and passed the bound, copies are not among them.
+Every link joins two classes of one gathered component, so none is lost.  A component of more than
+WIDE classes is compared in several tasks; see _exact.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than WIDTH words
 make one shingle; a null, empty or blank text has the empty set and links with nothing; a null
@@ -40,6 +40,8 @@ NUM, DEN = 80, 100
 KEYS = 24
 LEAST_BITS = 128
 _SEEDS = (np.random.Generator(np.random.PCG64(9_2024)).integers(0, 2**63, 2 * KEYS, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
+#: Classes of a gathered component that are compared in one task, and those of them that stand in every task.
+WIDE, LEADERS = 512, 16
 _NO_ID = (1 << 63) - 1
 _SHORT = np.uint64(0x5B07)
 _STEP = np.uint64(0xA24BAED4963EE407)
@@ -142,13 +144,13 @@ def _deal(bits: int):
     return run
 
 
-def near_pairs(sizes: np.ndarray, maps: list[np.ndarray], accept) -> np.ndarray:
-    """Tree number of each set, when the pairs in the band whose bitmap bound holds and that accept(i, j) confirms are joined.
+def near_pairs(sizes: np.ndarray, maps: list[np.ndarray], accept, tree: np.ndarray | None = None) -> np.ndarray:
+    """Tree number of each set (tree: those known already), when the pairs in the band whose bitmap bound holds and that accept(i, j) confirms are joined.
 
     sizes ascend.  Each set is held against the smaller ones of its band at once; sets of its own
     tree are left out, before and after every pair that joins two trees.
     """
-    tree = np.arange(len(sizes))
+    tree = np.arange(len(sizes)) if tree is None else np.unique(tree, return_inverse=True)[1]
     stacks: dict[int, np.ndarray] = {}
     place = np.zeros(len(sizes), dtype=np.int64)
     widths = np.array([len(m) * 64 for m in maps])
@@ -211,15 +213,16 @@ def _tile(key, messages):
 
 
 def _send_texts(batches):
-    """Texts of the classes that a chunk is asked for: rows (component, class, text)."""
-    out = pa.schema([("component", pa.int64()), ("class", pa.int64()), ("text", pa.binary())])
+    """Texts of the classes that a chunk is asked for: rows (tile, class, tree, text)."""
+    out = pa.schema([("tile", pa.int64()), ("class", pa.int64()), ("tree", pa.int64()), ("text", pa.binary())])
     for row in c.rows_of(batches):
         if not row["replies"]:
             continue
         _, _, offsets, data = c.unpacked(row)
-        told = [np.frombuffer(x, dtype=np.int64) for x in row["replies"]]
-        place, name, component = np.concatenate(told).reshape(-1, 3).T
-        yield c.table(out, component=component, **{"class": name}, text=[data[offsets[p] : offsets[p + 1]].tobytes() for p in place])
+        told = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in row["replies"]]).reshape(-1, 4)
+        for i in range(0, len(told), 1024):
+            place, name, tile, tree = told[i : i + 1024].T
+            yield c.table(out, tile=tile, tree=tree, **{"class": name}, text=[data[offsets[p] : offsets[p + 1]].tobytes() for p in place])
 
 
 def sets_overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -232,12 +235,13 @@ def sets_overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _link(key, rows):
-    """Exact components of the gathered components of one bucket: (class, component)."""
-    component, name = rows.column("component").to_numpy(), rows.column("class").to_numpy()
+    """Exact links within the tiles of one bucket, as edges (class, root): root is the smallest class of the tree."""
+    tile, name, tree = (rows.column(x).to_numpy() for x in ("tile", "class", "tree"))
     texts = rows.column("text").to_pylist()
-    order = np.argsort(component, kind="stable")
-    cut = np.flatnonzero(np.append(True, component[order][1:] != component[order][:-1]))
-    found = {"class": [], "component": []}
+    order = np.lexsort((name, tile))
+    order = order[np.append(True, (tile[order][1:] != tile[order][:-1]) | (name[order][1:] != name[order][:-1]))]
+    cut = np.flatnonzero(np.append(True, tile[order][1:] != tile[order][:-1]))
+    found = {"class": [], "root": []}
     for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
         own = order[i:j]
         parts = [texts[k] for k in own.tolist()]
@@ -249,16 +253,65 @@ def _link(key, rows):
         def linked(x, y, each=each):
             return DEN * (o := sets_overlap(each[x], each[y])) >= NUM * (len(each[x]) + len(each[y]) - o)
 
-        roots = near_pairs(size[by], [np.frombuffer(bitmap(s), dtype=np.uint64) for s in each], linked)
+        roots = near_pairs(size[by], [np.frombuffer(bitmap(s), dtype=np.uint64) for s in each], linked, tree[own][by])
         names = name[own][by]
-        low = np.full(len(by), np.iinfo(np.int64).max)
+        low = np.full(int(roots.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(low, roots, names)
         found["class"].append(names)
-        found["component"].append(low[roots])
+        found["root"].append(low[roots])
     return pa.table({k: np.concatenate(v) for k, v in found.items()})
 
 
-def _solve(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _linked(corpus: DataFrame, places: DataFrame, tiles: DataFrame, parts: int) -> DataFrame:
+    """Edges (class, root) of tiles (node, tile, tree); places: (node, chunk, place) of the classes."""
+    wanted = tiles.join(places, "node")
+    asks = wanted.groupBy("chunk").agg(F.flatten(F.collect_list(F.array("place", "node", "tile", "tree"))).alias("told"))
+    texts = c.with_replies(corpus, asks.mapInArrow(_as_bytes, "chunk long, reply binary")).mapInArrow(_send_texts, "tile long, class long, tree long, text binary")
+    return texts.groupBy(F.pmod(F.xxhash64("tile"), F.lit(4 * parts)).alias("bucket")).applyInArrow(_link, "class long, root long")
+
+
+def _exact(corpus: DataFrame, places: DataFrame, gathered: DataFrame, parts: int, wide: int) -> DataFrame:
+    """(node, component) of the exact links within gathered components (node, component).
+
+    Components of more than ``wide`` classes are cut into tiles by hash; some leaders stand in every
+    tile, so that most of what belongs together is joined through them.  What is not yet in the
+    largest tree of its component then meets every tile once more, a block of it at a time, with
+    the trees so far; so every pair that is not joined has been compared.
+    """
+    sizes = gathered.groupBy("component").agg(F.count("*").alias("n"))
+    large = c.stored(sizes.filter(F.col("n") > wide))
+    few = F.ceil(F.col("n") / wide).cast("int")
+    share = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
+    small = gathered.join(large, "component", "left_anti").select("node", F.col("component").alias("tile"), F.col("node").alias("tree"))
+    if large.isEmpty():
+        return _linked(corpus, places, small, parts).select(F.col("class").alias("node"), F.col("root").alias("component"))
+    of_large = c.stored(gathered.join(large, "component").select("node", "component", "n", share(1, few).alias("salt")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), few.cast("long") - 1))
+    leaders = of_large.filter(share(2, F.ceil(F.col("n") / LEADERS)) == 0).withColumn("salt", every)
+    tile = F.xxhash64("component", "salt")
+    first = of_large.unionByName(leaders).select("node", tile.alias("tile"), F.col("node").alias("tree"))
+    edges = c.stored(_linked(corpus, places, small.unionByName(first), parts).select(F.col("class").alias("a"), F.col("root").alias("b")))
+    trees = c.stored(_trees(of_large, edges))
+    counts = trees.groupBy("component", "tree").agg(F.count("*").alias("k"))
+    biggest = counts.groupBy("component").agg(F.max_by("tree", F.struct("k", -F.col("tree"))).alias("biggest"))
+    rest = trees.join(biggest, "component").filter("tree <> biggest").drop("biggest")
+    blocks = rest.groupBy("component").agg(F.ceil(F.count("*") / wide).cast("long").alias("blocks"))
+    rest = rest.join(blocks, "component").withColumn("block", share(3, F.col("blocks"))).withColumn("salt", every)
+    members = trees.join(blocks, "component").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tile = F.xxhash64("component", "salt", "block")
+    again = members.unionByName(rest).select("node", tile.alias("tile"), "tree")
+    more = _linked(corpus, places, again, parts).select(F.col("class").alias("a"), F.col("root").alias("b"))
+    joined = edges.unionByName(more).unionByName(trees.select(F.col("node").alias("a"), F.col("tree").alias("b")))
+    found = components(joined)
+    return gathered.select("node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _trees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    found = components(edges).withColumnRenamed("component", "tree")
+    return nodes.join(found, "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+
+
+def _solve(corpus: DataFrame, wide: int) -> tuple[DataFrame, DataFrame]:
     """All rows described, and the classes (set_a, set_b, low, chunk, place) with their component's number."""
     spark = corpus.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -271,17 +324,15 @@ def _solve(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = classes.select("class", "n", "keys", "bits").mapInArrow(_deal(bits), "bucket int, body binary")
     forest = dealt.groupBy("bucket").applyInArrow(_tile, "a long, b long")
     gathered = c.stored(components(forest))
-    wanted = gathered.join(classes.select(F.col("class").alias("node"), "chunk", F.col("place").cast("long").alias("place")), "node")
-    asks = wanted.groupBy("chunk").agg(F.flatten(F.collect_list(F.array("place", "node", "component"))).alias("told"))
-    texts = c.with_replies(corpus, asks.mapInArrow(_as_bytes, "chunk long, reply binary")).mapInArrow(_send_texts, "component long, class long, text binary")
-    linked = texts.groupBy(F.pmod(F.xxhash64("component"), F.lit(4 * parts)).alias("bucket")).applyInArrow(_link, "class long, component long")
+    places = classes.select(F.col("class").alias("node"), "chunk", F.col("place").cast("long").alias("place"))
+    linked = _exact(corpus, places, gathered, parts, wide).withColumnRenamed("node", "class")
     names = classes.select("class", "set_a", "set_b", "low", "chunk", "place").join(linked, "class", "left")
     return all_docs, c.stored(names.withColumn("component", F.coalesce("component", "class")))
 
 
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
-    all_docs, names = _solve(c.packed(docs))
+    all_docs, names = _solve(c.packed(docs), wide)
     lowest = names.groupBy("component").agg(F.min("low").alias("component_id"))
     answer = c.stored(names.join(lowest, "component").select("set_a", "set_b", "component_id"))
     out = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b").join(answer, ["set_a", "set_b"], "left")
@@ -289,10 +340,10 @@ def join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     """The rows of docs, with all their columns, less all but one row of every component (that of the smallest doc_id)."""
     corpus = c.packed(docs, whole=True)
-    all_docs, names = _solve(corpus)
+    all_docs, names = _solve(corpus, wide)
     first = names.groupBy("component").agg(F.min(F.struct("low", "chunk", "place")).alias("x")).select("x.chunk", "x.place")
     stay = first.unionByName(all_docs.filter("n = 0").select("chunk", "place"))
     told = stay.groupBy("chunk").agg(F.collect_list(F.col("place").cast("long")).alias("told")).mapInArrow(_as_bytes, "chunk long, reply binary")

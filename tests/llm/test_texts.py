@@ -158,6 +158,19 @@ class TestJaccardJoin:
         got = [(r.doc_id, r.n_shingles, r.component_id) for r in bitmap_join.join(table).collect()]
         assert sorted(got, key=key) == sorted(self.brute(rows), key=key)
 
+    @pytest.mark.parametrize("wide", [1, 3])
+    def test_wide_components_are_cut_up_without_loss(self, spark, rows, wide):
+        rng = random.Random(5)
+        base = [word(rng) for _ in range(60)]
+        near = []
+        for i in range(40):
+            base = [w if rng.random() > 0.012 else word(rng) for w in base]
+            near.append((i, " ".join(base)))
+        want = self.brute(near)
+        assert 1 < len({x[2] for x in want}) < 40
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in bitmap_join.join(frame(spark, near), wide).collect()]
+        assert sorted(got) == sorted(want)
+
     def test_one_of_each(self, table, rows):
         out = bitmap_join.one_of_each(table)
         assert out.schema == table.schema
