@@ -23,7 +23,7 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], defaults: dict[
     if order:
         w = Window.partitionBy(*keys).orderBy(*[o.desc() for o in order])
         new = new.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
-    return existing.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new.select(*existing.columns))
+    return existing.join(new.select(*keys).distinct(), keys, "left_anti").select(*existing.columns).unionByName(new.select(*existing.columns))
 
 
 def append_with_ids(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
