@@ -41,7 +41,7 @@ def spatial_confidence(base: Column, kind: Column, road: Column, in_region: Colu
     return F.least(F.lit(1.0), F.coalesce(base, F.lit(0.5)) + (bonus + F.when(kind.contains("route_price"), near).when(kind.contains("block_number"), block).otherwise(0.0)))
 
 
-def relationship(distance: Column, angle: Column, w: Column, h: Column, radius: Column, max_distance: float = 100.0, angle_limit: float = 45.0) -> Column:
+def relationship(distance: Column, angle: Column, w: Column, h: Column, radius: Column, max_distance: float = 100.0, angle_limit: float = 30.0) -> Column:
     """Confidence that a text belongs to a circle; null for circles without size."""
     fold = folded_angle(angle)
     ratio = F.least(w, h) / F.nullif(radius * 2, F.lit(0))

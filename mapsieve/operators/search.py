@@ -77,11 +77,12 @@ def fuzzy_search(df: DataFrame, query: str, threshold: float = 70.0, k: int | No
     return out.limit(k) if k else out
 
 
-def ratio_search(df: DataFrame, query: str, least: float = 0.3, k: int | None = None, limit_first: bool = False, ties: tuple[str, ...] = ("page_id", "idx")) -> DataFrame:
-    """Rows by sequence ratio; an equal text counts 1, an empty query returns all; limit_first keeps the first k in scan order."""
+def ratio_search(df: DataFrame, query: str, least: float = 0.3, k: int | None = None, limit_first: bool = False, contained: bool = False, ties: tuple[str, ...] = ("page_id", "idx")) -> DataFrame:
+    """Rows by sequence ratio; contained: a text that holds the query counts 1; an empty query returns all; limit_first keeps the first k in scan order."""
     if not query:
         return df.withColumn("similarity", F.lit(1.0))
-    score = F.when(F.lower("text") == query.lower(), 1.0).otherwise(similarity.sequence_ratio(F.lit(query.lower()), F.lower("text")))
+    ratio = similarity.sequence_ratio(F.lit(query), F.col("text"))
+    score = F.when(F.col("text").contains(query), 1.0).otherwise(ratio) if contained else ratio
     out = df.withColumn("similarity", score).filter(F.col("similarity") > least)
     if limit_first and k:
         out = out.orderBy(*ties).limit(k)

@@ -132,3 +132,36 @@ def dbscan(points: DataFrame, eps: float = 150.0, page: str = "page_id", key: st
 
 def nearest_segment(point: tuple[Column, Column], segments: DataFrame) -> DataFrame:
     return segments.withColumn("distance", point_segment_distance(*point, *(F.col(c) for c in ("x1", "y1", "x2", "y2"))))
+
+
+def merged_lines(lines: DataFrame, page: str = "page_id", key: str = "idx", angle: float = 5.0, near: float = 20.0) -> DataFrame:
+    """Near-parallel lines (page, key, x1, y1, x2, y2) with close midpoints as one from end to end, along the first line's main axis."""
+    from mapsieve.functions.geometry import parallel_difference
+    from mapsieve.operators.fold import seed_groups
+
+    slope = lambda a: angle_degrees(a["x1"], a["y1"], a["x2"], a["y2"])
+    mid = lambda a: ((a["x1"] + a["x2"]) / 2, (a["y1"] + a["y2"]) / 2)
+    hit = lambda s, r: (parallel_difference(slope(s), slope(r)) < angle) & (distance(*mid(s), *mid(r)) < near)
+    groups = seed_groups(lines.select(page, key, "x1", "y1", "x2", "y2"), [page], [F.col(key)], hit)
+    m = F.col("members")
+    ends = F.flatten(F.transform(m, lambda x, i: F.array(*(F.struct(x[a].alias("x"), x[b].alias("y"), (i * 2 + k).alias("i")) for k, (a, b) in enumerate((("x1", "y1"), ("x2", "y2")))))))
+    flat = F.abs(m[0]["x2"] - m[0]["x1"]) > F.abs(m[0]["y2"] - m[0]["y1"])
+    along = F.transform(ends, lambda e: F.struct(F.when(flat, e["x"]).otherwise(e["y"]).alias("t"), e["i"].alias("i"), e["x"].alias("x"), e["y"].alias("y")))
+    low = F.array_min(along)
+    back = F.array_max(F.transform(along, lambda e: F.struct(e["t"].alias("t"), (-e["i"]).alias("i"), e["x"].alias("x"), e["y"].alias("y"))))
+    one = F.size(m) == 1
+    out = groups.withColumn("low", low).withColumn("high", back)
+    pick = lambda c, other: F.when(one, m[0][c]).otherwise(F.col(other))
+    return out.select(page, "group", pick("x1", "low.x").alias("x1"), pick("y1", "low.y").alias("y1"), pick("x2", "high.x").alias("x2"), pick("y2", "high.y").alias("y2"), F.size(m).alias("line_count"))
+
+
+def regions_at(regions: DataFrame, pdf_path: str, page: int, x: float, y: float) -> DataFrame:
+    """Regions (pdf_path, page_number, nx1, ny1, nx2, ny2) that hold a point of a page in shares of its size, borders included."""
+    return regions.filter((F.col("pdf_path") == pdf_path) & (F.col("page_number") == page) & F.lit(x).between(F.col("nx1"), F.col("nx2")) & F.lit(y).between(F.col("ny1"), F.col("ny2")))
+
+
+def graph_summary(nodes: DataFrame, edges: DataFrame, page: str = "page_id", key: str = "idx") -> DataFrame:
+    """A row a page: nodes, edges, components and mean degree."""
+    parts = components(nodes, edges, page, key).groupBy(page).agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("components"))
+    counts = edges.groupBy(page).agg(F.count("*").alias("edges"))
+    return parts.join(counts, page, "left").withColumn("edges", F.coalesce("edges", F.lit(0))).withColumn("mean_degree", 2 * F.col("edges") / F.col("nodes"))

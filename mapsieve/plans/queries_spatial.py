@@ -29,7 +29,7 @@ def _texts(s, d):
 
 _DIST = "sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy))"
 _FOLD = "least(abs(degrees(atan2(b.cy - a.cy, b.cx - a.cx))) % 90, 90 - abs(degrees(atan2(b.cy - a.cy, b.cx - a.cx))) % 90)"
-_CONF = f"(greatest(0.0::DOUBLE, 1 - {_DIST} / 100) * 0.5::DOUBLE + (1 - {_FOLD} / 45 * 0.3::DOUBLE) * 0.3::DOUBLE + CASE WHEN least(b.w, b.h) / (a.radius * 2) BETWEEN 0.3 AND 2.0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END * 0.2::DOUBLE)"
+_CONF = f"(greatest(0.0::DOUBLE, 1 - {_DIST} / 100) * 0.5::DOUBLE + CASE WHEN {_FOLD} <= 30 THEN 1 - {_FOLD} / 30 * 0.3::DOUBLE ELSE 1.0::DOUBLE END * 0.3::DOUBLE + CASE WHEN least(b.w, b.h) / (a.radius * 2) BETWEEN 0.3 AND 2.0 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END * 0.2::DOUBLE)"
 _REL = f"{WITH}, rel AS (SELECT a.page_id, a.idx AS circle, b.idx AS txt, {_DIST} AS dist, {_CONF} AS conf FROM det a JOIN det b ON a.page_id = b.page_id AND a.kind = 'circle' AND b.kind = 'text' AND {_DIST} <= 100)"
 
 

@@ -252,3 +252,43 @@ def test_streams(spark, tmp_path):
             spark.createDataFrame(extra, schema).write.mode("append").parquet(str(source))
         ingest.run_available(ingest.new_files(spark, str(source), schema), str(out), str(tmp_path / "ck"))
     assert {r.id for r in spark.read.parquet(str(out)).collect()} == {1, 2, 3}
+
+
+def test_service(spark):
+    import datetime as dt
+
+    from mapsieve.service import SearchService
+
+    files = spark.createDataFrame([("大阪府", "吹田市", "藤白台１", "p1"), ("大阪府", "吹田市", "青山台", "p2"), ("東京都", "港区", "芝", "p3")], "prefecture string, city string, district string, path string")
+    found = spark.createDataFrame([("p1", 1, 1, "115E", 0.9), ("p1", 1, 2, "藤白台１丁目", 0.8), ("p3", 2, 1, "115E", 0.7)], "path string, page_id long, idx int, text string, confidence double")
+    service = SearchService(spark, files, found)
+    assert [r[0] for r in service.cities("大阪府").collect()] == ["吹田市"] and service.prefectures().count() == 2
+    assert service.by_address("大阪府 吹田市 藤白台１").first().path == "p1"
+    now = dt.datetime(2024, 1, 1)
+    first = service.by_text("115E", now, prefecture="大阪府").collect()
+    assert [r.path for r in first] == ["p1"] and first[0].similarity == 100.0
+    assert service.by_text("115E", now + dt.timedelta(minutes=5), prefecture="大阪府").collect() == first
+    assert {r.path for r in service.by_text("115E", now).collect()} == {"p1", "p3"}
+    assert service.stats()["cache_hits"] == 1 and service.stats()["searches"] == 3
+    service.sweep(now + dt.timedelta(hours=2))
+    assert service.cache.count() == 0
+
+
+def test_merged_lines(spark):
+    lines = spark.createDataFrame([(1, 0, 0, 0, 50, 0), (1, 1, 20, 3, 60, 4), (1, 2, 0, 100, 3, 200), (1, 3, 25, -30, 25, 30)], "page_id int, idx int, x1 int, y1 int, x2 int, y2 int")
+    got = {tuple(r)[2:] for r in spatial.merged_lines(lines).collect()}
+    assert got == {(0, 0, 60, 4, 2), (0, 100, 3, 200, 1), (25, -30, 25, 30, 1)}
+
+
+def test_components_by_page(spark):
+    rng = random.Random(7)
+    points = [(p, i, rng.uniform(0, 300), rng.uniform(0, 300)) for p in range(3) for i in range(40)]
+    df = spark.createDataFrame(points, "page_id int, idx int, cx double, cy double")
+    edges = spatial.near_edges(df, 40.0)
+    plain = {(p, a[1], b[1]) for p in range(3) for a in points for b in points if a[0] == b[0] == p and a[1] < b[1] and ((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2) ** 0.5 <= 40}
+    assert {(r.page_id, r.a, r.b) for r in edges.collect()} == plain
+    up = {(p, i): i for p, i, _, _ in points}
+    for _ in range(60):
+        for p, a, b in plain:
+            up[p, a] = up[p, b] = min(up[p, a], up[p, b])
+    assert {(r.page_id, r.idx): r.component for r in spatial.components(df, edges).collect()} == up
