@@ -16,7 +16,7 @@ the driver over their feature numbers.  Scoring sends the weights (2 * DIM numbe
 to the workers and reads every text whole.
 
 Defined results: a null or empty text has no words and its shape alone speaks; labels that are
-null are left out, of repeated ones all count; with fewer than two grades in the sample every
+null are left out, of repeated ones the lowest grade counts, and of repeated documents one; with fewer than two grades in the sample every
 document gets the one grade there is (the top one where there are no labels); repeated rows get
 equal scores; extra columns are ignored.
 """
@@ -175,7 +175,8 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in told], "doc_id long")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = own.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_features, "doc_id long, x binary").collect()
+    found = own.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_features, "doc_id long, x binary")
+    rows = found.groupBy("doc_id").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r.doc_id)
     sizes, grade = [len(r.x) // 4 for r in rows], np.array([told[r.doc_id] for r in rows], dtype=np.int64)
     x = np.empty(sum(sizes), dtype=np.int32)
