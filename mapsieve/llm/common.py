@@ -43,10 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What this process has written into shared folders, and the names of tables among it.
+_written: list[tuple[str, str | None]] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process; results that still read them must have been written before."""
+    while _written:
+        path, name = _written.pop()
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    _written.append((path, None))
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -196,6 +211,7 @@ def packed(docs: DataFrame, whole: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     name = f"packed_{uuid.uuid4().hex}"
+    _written.append((f"{shared_dir(spark)}/{name}", name))
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     others = [x for x in docs.columns if x not in ("doc_id", "text")]
     rest = F.to_json(F.struct(*(F.col(f"`{x}`") for x in others))) if whole and others else F.lit("")

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -274,5 +275,11 @@ class TestSentencePiece:
         assert sentencepiece_sa.encode(empty(spark)).count() == 0
 
 
-def test_words_helper():
-    assert word(random.Random(1))
+def test_intermediate_tables_can_be_released(spark):
+    out = stored = common.stored(spark.range(3).toDF("x"))
+    path = common._written[-1][0].removeprefix("file://")
+    assert out.count() == 3 and stored is out
+    kept, common._written[:] = common._written[:-1], common._written[-1:]
+    common.release(spark)
+    common._written[:] = kept
+    assert not Path(path).exists()
