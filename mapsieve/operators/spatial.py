@@ -107,8 +107,54 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(nodes: DataFrame, edges: DataFrame, page: str = "page_id", key: str = "idx", rounds: int = 60) -> DataFrame:
-    """Nodes (page, key) with the smallest key that they are connected to, by rounds of minimum labels with a jump each."""
+def components(nodes: DataFrame, edges: DataFrame, page: str = "page_id", key: str = "idx") -> DataFrame:
+    """Nodes (page, key) with the smallest key that they are connected to, a page at a time.
+
+    Pages are brought together by one shuffle and streamed in order through union-find; for pages
+    that are too large for that there is components_by_rounds.
+    """
+    rows = nodes.select(F.col(page).cast("long").alias("p"), F.col(key).cast("long").alias("a"), F.col(key).cast("long").alias("b")).unionByName(edges.select(F.col(page).cast("long").alias("p"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    found = rows.repartition("p").sortWithinPartitions("p").mapInArrow(_united, "p long, a long, component long")
+    kind = {f.name: f.dataType for f in nodes.schema}
+    return found.select(F.col("p").cast(kind[page]).alias(page), F.col("a").cast(kind[key]).alias(key), F.col("component").cast(kind[key]).alias("component"))
+
+
+def _united(batches):
+    """Components of rows (p, a, b) sorted by p; the last page of a batch waits for the next."""
+    import numpy as np
+    import pyarrow as pa
+
+    def solve(table):
+        up: dict[tuple[int, int], int] = {}
+
+        def find(p, x):
+            while (y := up.setdefault((p, x), x)) != x:
+                up[p, x] = x = up[p, y]
+            return x
+
+        for p, a, b in zip(*(table.column(i).to_pylist() for i in range(3)), strict=True):
+            a, b = find(p, a), find(p, b)
+            if a != b:
+                up[p, max(a, b)] = min(a, b)
+        done = [(p, x, find(p, x)) for p, x in list(up)]
+        return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (zip(*done, strict=True) if done else ((), (), ()))], names=["p", "a", "component"])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        pages = table.column(0).to_numpy()
+        cut = int(np.searchsorted(pages, pages[-1]))
+        if cut:
+            yield solve(table.slice(0, cut))
+        held = table.slice(cut)
+    if held is not None:
+        yield solve(held)
+
+
+def components_by_rounds(nodes: DataFrame, edges: DataFrame, page: str = "page_id", key: str = "idx", rounds: int = 60) -> DataFrame:
+    """As components, by rounds of minimum labels with a jump each; no page need fit into a task."""
     both = _written(edges.select(page, F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(page, F.col("b").alias("x"), F.col("a").alias("y"))))
     labels = nodes.select(page, key).distinct().withColumn("component", F.col(key))
     for _ in range(rounds):

@@ -291,4 +291,5 @@ def test_components_by_page(spark):
     for _ in range(60):
         for p, a, b in plain:
             up[p, a] = up[p, b] = min(up[p, a], up[p, b])
-    assert {(r.page_id, r.idx): r.component for r in spatial.components(df, edges).collect()} == up
+    for f in (spatial.components, spatial.components_by_rounds):
+        assert {(r.page_id, r.idx): r.component for r in f(df, edges).collect()} == up
