@@ -33,11 +33,12 @@ ADJACENT, SAME_PARENT, PROXIMITY = 0.5, 0.7, 0.6
 MOST_ODDS = 6.0
 
 #: Elements by their part in a page.
-_RAW = frozenset({"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "head", "textarea", "select", "canvas", "audio", "video", "title"})
+_RAW = frozenset({"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "head", "textarea", "select", "canvas", "audio", "video", "title", "button"})
 _BLOCK = frozenset({"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "article", "section", "main", "header", "footer", "nav", "aside", "form", "fieldset", "blockquote", "pre", "figure", "figcaption", "address", "details", "summary", "dialog", "hr", "body", "html", "hgroup", "menu", "center", "legend", "option"})
 _HOLDS = _BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "option", "html", "body"}
 _APART = frozenset({"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"})
-_NAMED = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|comments?|comment\w*|repl(?:y|ies)|disqus|shar(?:e|ing)|social\w*|related|recommend\w*|side-?bar\w*|widget\w*|menu\w*|nav\w*|breadcrumbs?|pagination|pager|footer\w*|header|masthead|toolbar|login|search\w*|copyright|legal|disclaimer)(?:$|[^a-z])")
+_NAMED = re.compile(r"comment|side-?bar|advert|cookie|newsletter|breadcrumb|sponsor|popup|footer|(?:^|[^a-z])(?:ads?|promo\w*|banner|consent|gdpr|notice\w*|alert|modal|overlay|subscri\w*|signup|repl(?:y|ies)|disqus|shar(?:e|ing)|social\w*|related|recommend\w*|widget\w*|menu\w*|nav|navbar|navigation|pagination|pager|masthead|toolbar|login|search\w*|copyright|legal|disclaimer)(?:$|[^a-z])")
+_HEADER = re.compile(r"(?:^|[^a-z])(?:site-?|page-?|top-?)?header(?:$|[^a-z])")
 _GOOD = re.compile(r"(?:^|[^a-z])(?:article\w*|main\w*|content\w*|post\w*|entry\w*|story\w*|body\w*)(?:$|[^a-z])")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+>|[^>]*>)""", re.DOTALL)
 _ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
@@ -60,6 +61,7 @@ def blocks(html: str) -> list[Block]:
     # (tag, content root, apart, named apart, named content, number): what holds within the element
     stack = [("", False, False, False, False, 0)]
     number, links, in_link, tag, at, size = 0, 0, 0, "", 0, len(html)
+    own = (False, False)  # of the open paragraph or heading: named apart, named content
 
     def flush():
         nonlocal links
@@ -68,7 +70,7 @@ def blocks(html: str) -> list[Block]:
             held.clear()
             if text:
                 _, root, apart, named, good, parent = stack[-1]
-                out.append(Block(text, root, apart, named, good, min(1.0, links / len(text)), tag, parent))
+                out.append(Block(text, root, apart, named or own[0], good or own[1], min(1.0, links / len(text)), tag, parent))
         links = 0
 
     while at < size:
@@ -101,32 +103,44 @@ def blocks(html: str) -> list[Block]:
             held.append(" ")
         elif name in _BLOCK:
             flush()
-            tag = "" if closing else name
-            if name in _HOLDS:
-                if closing:
-                    for i in range(len(stack) - 1, 0, -1):
-                        if stack[i][0] == name:
-                            del stack[i:]
-                            break
-                    in_link = 0
-                else:
-                    number += 1
-                    _, root, apart, named, good, _ = stack[-1]
-                    words = ""
-                    if len(m[3]) > 1:
-                        for key, value in _ATTR.findall(m[3]):
-                            key, value = key.lower(), value.strip("\"'").lower()
-                            if key in ("class", "id", "role"):
-                                words += " " + value
-                            elif key == "style":
-                                words += " popup" if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) else ""
-                            elif key == "hidden" or value == "true":
-                                words += " popup"
-                    stack.append((name, root or name in ("article", "main") or " main" in f" {words} " and "role" in m[3], apart or name in _APART or (name == "header" and not root), named or bool(words and name not in ("article", "main") and _NAMED.search(words)), good or bool(words and _GOOD.search(words)), number))
+            tag, own = "" if closing else name, (False, False)
+            words = "" if closing or len(m[3]) < 2 else _names(m[3])
+            if name not in _HOLDS:
+                if words and name not in ("html", "body"):
+                    own = (bool(_NAMED.search(words)), bool(_GOOD.search(words)))
+            elif closing:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == name:
+                        del stack[i:]
+                        break
+                in_link = 0
+            else:
+                number += 1
+                _, root, apart, named, good, _ = stack[-1]
+                if words and name not in ("article", "main"):
+                    named = named or bool(_NAMED.search(words)) or (not root and bool(_HEADER.search(words)))
+                good = good or bool(words and _GOOD.search(words))
+                stack.append((name, root or name in ("article", "main") or " role=main" in words, apart or name in _APART or (name == "header" and not root), named, good, number))
     flush()
     return out
 
 
+def _names(attributes: str) -> str:
+    """Class, id and role of a tag, lower-cased; popup stands for what is hidden."""
+    words = ""
+    for key, value in _ATTR.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key in ("class", "id"):
+            words += " " + value
+        elif key == "role":
+            words += f" role={value} {value}"
+        elif key == "style":
+            words += " popup" if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) else ""
+        elif key == "hidden" or value == "true":
+            words += " popup"
+    return words
+
+
 def features(page: list[Block]) -> np.ndarray:
     rows = np.empty((len(page), len(FEATURES)))
     for i, b in enumerate(page):

@@ -82,6 +82,12 @@ class TestHtml:
     def test_article_is_kept_and_the_rest_is_not(self):
         assert html_mincut.main_text(self.page, html_mincut.PRIOR) == "Title & more\n\nFirst par <b> italic. second line\n\nSecond para is long enough, isn't it?"
 
+    def test_marks_on_all_kinds_of_elements(self):
+        page = """<body><div class="page-header">Big site name here</div><div id="main-content"><article class="post"><div class="post-header"><h1 class="title">Head line</h1></div>
+        <p class="lead">First words of the text.</p><p class="ad-slot ad">Buy it now.</p><p hidden>Not shown at all.</p><ul><li>One item of a list</li><li>Two items of a list</li></ul><button>Share</button>
+        <div class="usercomments"><p>Reader says so.</p></div><p>Last words.</p></article></div><div class="sidebar-left"><p>A long text in the sidebar, which goes on and on, with commas.</p></div><div role="navigation">Menu</div></body>"""
+        assert html_mincut.main_text(page, html_mincut.PRIOR).split("\n\n") == ["Head line", "First words of the text.", "One item of a list", "Two items of a list", "Last words."]
+
     def test_page_without_marks(self):
         page = "<body><div><a href=1>Home</a> <a href=2>About</a></div><div><p>This is the first paragraph of the story, with many words in it, and commas.</p><p>Another paragraph of a similar length, which says things, more or less.</p></div><div><a href=3>Terms</a> | <a href=4>Privacy</a></div></body>"
         assert html_mincut.main_text(page, html_mincut.PRIOR).count("\n\n") == 1
