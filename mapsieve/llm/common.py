@@ -167,7 +167,41 @@ PACKED = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("known", pa.bi
 PACKED_DDL = "chunk long, ids binary, known binary, offsets binary, data binary, rest_offsets binary, rest binary"
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Buckets that one writing task fills; it leaves so many files at most, whatever it reads.
+SPREAD = 4
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """The engine's hash() of 64-bit integers (Murmur3, seed 42), by which a bucketed table deals its rows."""
+    x = np.asarray(x, dtype=np.int64).view(np.uint64)
+    h = np.full(len(x), 42, dtype=np.uint32)
+    for k in ((x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)):
+        k = k * np.uint32(0xCC9E2D51)
+        k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+        h ^= k
+        h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+    h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view(np.int32)
+
+
+def chunk_id(part: int, seq: int, buckets: int) -> int:
+    """An id for a task's chunk that the engine deals to one of the task's own buckets."""
+    target, base = (part * SPREAD + seq % SPREAD) % buckets, (part << 40) + (seq << 20)
+    for low in range(0, 1 << 20, step := max(256, 8 * buckets)):
+        ids = base + np.arange(low, min(low + step, 1 << 20), dtype=np.int64)
+        fit = np.flatnonzero(spark_hash(ids) % np.int32(buckets) == target)
+        if len(fit):
+            return int(ids[fit[0]])
+    return base
+
+
+def _packer(buckets: int):
+    return lambda batches: _pack(batches, buckets)
+
+
+def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, seq = TaskContext.get().partitionId(), 0
@@ -184,7 +218,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         nonlocal held, size, seq
         (offsets, data), (rest_offsets, rest) = joined(2), joined(4)
-        row = table(PACKED, chunk=[(part << 31) + seq], ids=[b"".join(x[0] for x in held)], known=[b"".join(x[1] for x in held)], offsets=[offsets], data=[data], rest_offsets=[rest_offsets], rest=[rest])
+        row = table(PACKED, chunk=[chunk_id(part, seq, buckets)], ids=[b"".join(x[0] for x in held)], known=[b"".join(x[1] for x in held)], offsets=[offsets], data=[data], rest_offsets=[rest_offsets], rest=[rest])
         held, size, seq = [], 0, seq + 1
         return row
 
@@ -206,7 +240,8 @@ def packed(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Write (doc_id, text) as a packed corpus table, bucketed by chunk, and read it back.
 
     The text is written once and never shuffled.  There are as many buckets as
-    ``spark.sql.shuffle.partitions``, so that a join on chunk moves the other side only.
+    ``spark.sql.shuffle.partitions``, so that a join on chunk moves the other side only.  Chunk ids
+    are chosen so that a task fills SPREAD buckets, which keeps files few and large.
     whole: the other columns come along as a JSON text of each row; see unpacked_rows.
     """
     spark = docs.sparkSession
@@ -215,7 +250,7 @@ def packed(docs: DataFrame, whole: bool = False) -> DataFrame:
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     others = [x for x in docs.columns if x not in ("doc_id", "text")]
     rest = F.to_json(F.struct(*(F.col(f"`{x}`") for x in others))) if whole and others else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest.alias("rest")).mapInArrow(_pack, PACKED_DDL)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest.alias("rest")).mapInArrow(_packer(buckets), PACKED_DDL)
     rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
     return spark.table(name)
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -275,6 +276,18 @@ class TestSentencePiece:
         assert sentencepiece_sa.encode(empty(spark)).count() == 0
 
 
+def test_chunks_stay_in_their_tasks_buckets(spark, table):
+    import pyspark.sql.functions as F
+
+    ids = [0, 1, -1, 2**40 + 5, 2**62, -(2**63)]
+    assert [r[0] for r in spark.createDataFrame([(i,) for i in ids], "x long").select(F.hash("x")).collect()] == common.spark_hash(np.array(ids)).tolist()
+    for part, seq, buckets in itertools.product((0, 7, 1000), range(6), (1, 4, 211, 3000)):
+        found = common.chunk_id(part, seq, buckets)
+        assert int(common.spark_hash(np.array([found]))[0]) % buckets == (part * common.SPREAD + seq % common.SPREAD) % buckets
+    corpus = common.packed(table)
+    assert sum(len(common.unpacked(r.asDict())[0]) for r in corpus.collect()) == table.count()
+
+
 def test_intermediate_tables_can_be_released(spark):
     out = stored = common.stored(spark.range(3).toDF("x"))
     path = common._written[-1][0].removeprefix("file://")
