@@ -32,7 +32,7 @@ from mapsieve.llm import common as c
 
 BITS = 20
 DIM = 1 << BITS
-SAMPLE = 16_000
+SAMPLE = 12_000
 GRADES = 3
 LEAST_DOCS = 12
 EPOCHS = 25
@@ -176,13 +176,14 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     ids = spark.createDataFrame([(i,) for i in told], "doc_id long")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = own.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_features, "doc_id long, x binary")
-    rows = found.groupBy("doc_id").agg(F.min("x").alias("x")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    sizes, grade = [len(r.x) // 4 for r in rows], np.array([told[r.doc_id] for r in rows], dtype=np.int64)
+    # a partition at a time, which the driver's heap is spared for
+    rows = [(r.doc_id, r.x) for r in found.groupBy("doc_id").agg(F.min("x").alias("x")).toLocalIterator()]
+    rows.sort(key=lambda r: r[0])
+    sizes, grade = [len(x) // 4 for _, x in rows], np.array([told[i] for i, _ in rows], dtype=np.int64)
     x = np.empty(sum(sizes), dtype=np.int32)
     at = np.append(0, np.cumsum(sizes)).astype(np.int64)
     for i in range(len(rows)):
-        x[at[i] : at[i + 1]] = np.frombuffer(rows[i].x, dtype=np.int32)
+        x[at[i] : at[i + 1]] = np.frombuffer(rows[i][1], dtype=np.int32)
         rows[i] = None
     return x, at, grade
 

@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from mapsieve.llm import common as c
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ROUND_BYTES = 192 << 10
-CACHE_UNITS = 250_000
+ROUND_BYTES = 96 << 10
+CACHE_UNITS = 80_000
 _MARK = "▁".encode()
 #: Slots of the table that remembers which pairs of pieces can stand side by side.
-_PAIR_SLOTS = 1 << 21
+_PAIR_SLOTS = 1 << 20
 _NONE, _BEGIN, _BARE = -3, -2, -1
 
 
