@@ -32,7 +32,7 @@ from mapsieve.llm import common as c
 
 BITS = 20
 DIM = 1 << BITS
-SAMPLE = 12_000
+SAMPLE = 16_000
 GRADES = 3
 LEAST_DOCS = 12
 EPOCHS = 25
