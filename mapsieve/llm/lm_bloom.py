@@ -244,12 +244,14 @@ def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFram
     replies = answers.filter(F.col("kind") == _WORD).select("chunk", "reply")
     shared = None
     if _PAIR not in sums or sums[_PAIR].bytes <= max_filter_bytes:
-        at, size, joined, here = np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64), [], 0
-        for r in pages.collect():
-            at[r.bucket], size[r.bucket] = here, 8 * len(r.reply)
-            joined.append(np.frombuffer(r.reply, dtype=np.uint8))
-            here += len(r.reply)
-        shared = spark.sparkContext.broadcast((np.concatenate(joined) if joined else np.zeros(0, dtype=np.uint8), at, size))
+        at, size, here = np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64), 0
+        joined = np.empty(sums[_PAIR].bytes if _PAIR in sums else 0, dtype=np.uint8)
+        for r in pages.toLocalIterator():
+            n = len(r.reply)
+            at[r.bucket], size[r.bucket] = here, 8 * n
+            joined[here : here + n] = np.frombuffer(r.reply, dtype=np.uint8)
+            here += n
+        shared = spark.sparkContext.broadcast((joined, at, size))
         del joined
     else:
         levels = corpus.mapInArrow(_ask_levels(bits), "kind int, bucket int, chunk long, body binary").groupBy("bucket").cogroup(pages.groupBy("bucket")).applyInArrow(_tell_levels, "chunk long, reply binary")
