@@ -10,6 +10,12 @@ as any other unit.  An alignment counts when it covers SHARE of the item's token
 Windows of the words as they are, without capitals, are looked up as well, so that a copy in
 capitals, in which every word looks like a name, is found too.
 
+A capitalised word that opens a sentence may be a name or not, and a name may have several words.
+Therefore two further readings are looked up, in which a run of name words (within a sentence and
+without punctuation between them) is one token: in "runs" an opening word is literal, in "names" it
+is a name unless it is one of FUNCTION.  Hits of such a reading align by its own tokens; coverage is
+counted in words of the item in every reading.
+
 Template windows with fewer than LITERAL literal tokens are not indexed, since placeholders say little.
 Items shorter than WIDTH have one window of their own length; those under LEAST tokens match nothing.
 
@@ -36,6 +42,8 @@ LITERAL = 4
 SHARE = 0.5
 LONG = 16
 BLOCK_BYTES = 32 << 20
+#: The readings of a text, each with the space in which its shifts are counted.
+READINGS = {"template": 0, "literal": 0, "runs": 1, "names": 2}
 _STEP = np.uint64(0xA24BAED4963EE407)
 _NUM, _UNIT, _NAME = np.uint64(0x11), np.uint64(0x22), np.uint64(0x33)
 #: Measuring units, currencies and periods that stand for one another in a template.
@@ -47,6 +55,12 @@ UNITS = (
     "mph kmh km/h m/s hz khz mhz ghz w kw mw v a ohm j kj cal kcal kb mb gb tb "
     "dollar dollars cent cents euro euros usd eur gbp yen percent"
 ).split()
+#: Words that are no names where they open a sentence.
+FUNCTION = (
+    "who whom whose what which when where why how if then else than the a an and but or nor so because while although though since until unless after before "
+    "for in on at by from with without to of as into over under about between during this that these those there here it its he she they we you i his her their our my your "
+    "is are was were be do does did has have had can could should would not no yes all both each every some any many much most more"
+).split()
 
 
 def _hash_of(word: str) -> np.uint64:
@@ -55,20 +69,44 @@ def _hash_of(word: str) -> np.uint64:
 
 
 _UNIT_HASHES = np.sort(np.array([_hash_of(u) for u in UNITS], dtype=np.uint64))
+_FUNCTION_HASHES = np.sort(np.array([_hash_of(w) for w in FUNCTION], dtype=np.uint64))
 _DIGIT, _NUMERIC = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 _NUMERIC[[*range(48, 58), *b".,%-+/:"]] = True
 
 
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+class Reading:
+    """Tokens of some documents in one reading: their hashes, whether each is a slot, the first word of each (and the number of words), and where each document begins."""
+
+    def __init__(self, hashes: np.ndarray, slot: np.ndarray, word: np.ndarray, first: np.ndarray):
+        self.hashes, self.slot, self.word, self.first = hashes, slot, word, first
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the window at every token, and whether the window lies in one document."""
+        n = max(len(self.hashes) - width + 1, 0)
+        rolled = np.full(n, width, dtype=np.uint64)
+        for i in range(width):
+            rolled = rolled * _STEP + self.hashes[i : i + n]
+        fits = np.zeros(len(self.hashes) + 1, dtype=np.int32)
+        long = np.flatnonzero(np.diff(self.first) >= width)
+        np.add.at(fits, self.first[long], 1)
+        np.add.at(fits, self.first[long + 1] - width + 1, -1)
+        return c.mix(rolled), np.cumsum(fits)[:n] > 0
+
+
 class Tokens:
-    """Tokens of some documents: literal hashes, template hashes (placeholders replaced) and where each document begins."""
+    """Words of some documents: their literal hashes, where each document begins, and the readings."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         start, end, doc = c.words(data, offsets)
         self.first = np.searchsorted(doc, np.arange(len(offsets)))
         if not len(start):
-            self.literal = self.template = np.zeros(0, dtype=np.uint64)
-            self.slot = np.zeros(0, dtype=bool)
+            self.literal = np.zeros(0, dtype=np.uint64)
+            self.readings = dict.fromkeys(READINGS, Reading(self.literal, np.zeros(0, dtype=bool), np.zeros(1, dtype=np.int64), self.first))
             return
         a, b = c.stripped(data, start, end)
         empty = a >= b
@@ -76,30 +114,28 @@ class Tokens:
         self.literal = c.mix(c.span_hash(c.prefix_hash(data, True), a, b) + (b - a).astype(np.uint64))
         digits, numeric = np.append(0, np.cumsum(_DIGIT[data])), np.append(0, np.cumsum(_NUMERIC[data]))
         number = (digits[b] > digits[a]) & (numeric[b] - numeric[a] == b - a)
-        at = np.searchsorted(_UNIT_HASHES, self.literal)
-        unit = _UNIT_HASHES[np.minimum(at, len(_UNIT_HASHES) - 1)] == self.literal
+        unit = _among(self.literal, _UNIT_HASHES)
         head, second = data[a], data[np.minimum(a + 1, len(data) - 1)]
         capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
         # a sentence begins with a document, after . ! ? : or after a line's end
         opens = np.zeros(len(start), dtype=bool)
         opens[self.first[:-1][self.first[:-1] < len(start)]] = True
         opens[1:] |= np.isin(data[end[:-1] - 1], (46, 33, 63, 58)) | (np.append(0, np.cumsum(data == 10))[start[1:]] > np.append(0, np.cumsum(data == 10))[end[:-1]])
-        name = capital & ~opens & ~number & ~unit
-        self.slot = number | unit | name
-        self.template = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, self.literal)))
-
-    def windows(self, width: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the window of template or literal tokens at every token, and whether the window lies in one document."""
-        tokens = getattr(self, kind)
-        n = max(len(tokens) - width + 1, 0)
-        rolled = np.full(n, width, dtype=np.uint64)
-        for i in range(width):
-            rolled = rolled * _STEP + tokens[i : i + n]
-        fits = np.zeros(len(self.template) + 1, dtype=np.int32)
-        long = np.flatnonzero(np.diff(self.first) >= width)
-        np.add.at(fits, self.first[long], 1)
-        np.add.at(fits, self.first[long + 1] - width + 1, -1)
-        return c.mix(rolled), np.cumsum(fits)[:n] > 0
+        proper = capital & ~number & ~unit
+        name = proper & ~opens
+        wide = proper & ~(opens & _among(self.literal, _FUNCTION_HASHES))
+        held = np.append(False, ~opens[1:] & (b[:-1] == end[:-1]) & (a[1:] == start[1:]))
+        words = np.arange(len(start) + 1)
+        self.readings = {}
+        for kind, names, joined in (("template", name, None), ("runs", name, held), ("names", wide, held)):
+            slot = number | unit | names
+            hashes = np.where(number, _NUM, np.where(unit, _UNIT, np.where(names, _NAME, self.literal)))
+            if joined is None:
+                self.readings[kind] = Reading(hashes, slot, words, self.first)
+                self.readings["literal"] = Reading(self.literal, slot, words, self.first)
+            else:
+                at = np.flatnonzero(~(joined & names & np.append(False, names[:-1])))
+                self.readings[kind] = Reading(hashes[at], slot[at], np.append(at, len(start)), np.searchsorted(at, self.first))
 
 
 class Index:
@@ -110,60 +146,83 @@ class Index:
         raw = [t.encode() for _, t in items]
         offsets = np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
         self.tokens = Tokens(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
-        first = self.tokens.first
-        self.size = np.diff(first)
-        literals = np.append(0, np.cumsum(~self.tokens.slot))
+        self.size = np.diff(self.tokens.first)
         self.files = {}
-        for width, kind in ((w, k) for w in sorted({min(WIDTH, int(n)) for n in self.size if n >= LEAST}) for k in ("template", "literal")):
-            hashes, fits = self.tokens.windows(width, kind)
-            at = np.flatnonzero(fits)
-            item = np.searchsorted(first, at, side="right") - 1
-            own = (self.size[item] >= WIDTH) if width == WIDTH else (self.size[item] == width)
-            own &= (literals[at + width] - literals[at] >= min(LITERAL, width)) | (kind == "literal")
-            at, item = at[own], item[own]
-            order = np.lexsort((at, hashes[at]))
-            gate = np.zeros(1 << 20, dtype=bool)
-            gate[(hashes[at] >> np.uint64(44)).astype(np.int64)] = True
-            self.files[width, kind] = (hashes[at][order], item[order], at[order] - first[item[order]], gate)
+        for kind in READINGS:
+            own_reading = self.tokens.readings[kind]
+            first, size = own_reading.first, np.diff(own_reading.first)
+            literals = np.append(0, np.cumsum(~own_reading.slot))
+            for width in sorted({min(WIDTH, int(n)) for n in size if n >= LEAST}):
+                hashes, fits = own_reading.windows(width)
+                at = np.flatnonzero(fits)
+                item = np.searchsorted(first, at, side="right") - 1
+                own = (size[item] >= WIDTH) if width == WIDTH else (size[item] == width)
+                own &= (literals[at + width] - literals[at] >= min(LITERAL, width)) | (kind == "literal")
+                at, item = at[own], item[own]
+                if not len(at):
+                    continue
+                order = np.lexsort((at, hashes[at]))
+                gate = np.zeros(1 << 20, dtype=bool)
+                gate[(hashes[at] >> np.uint64(44)).astype(np.int64)] = True
+                self.files[width, kind] = (hashes[at][order], item[order], at[order] - first[item[order]], gate)
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-        """(document, item, covered tokens) of the alignments that count; the best one of each document and item."""
+        """(document, item, covered words) of the alignments that count; the best one of each document and item."""
         doc = Tokens(data, offsets)
         hits = []
         for (width, kind), (known, item, place, gate) in self.files.items():
-            hashes, fits = doc.windows(width, kind)
+            reading = doc.readings[kind]
+            hashes, fits = reading.windows(width)
             maybe = np.flatnonzero(fits & gate[(hashes >> np.uint64(44)).astype(np.int64)]) if len(hashes) else np.zeros(0, dtype=np.int64)
             low, high = np.searchsorted(known, hashes[maybe]), np.searchsorted(known, hashes[maybe], side="right")
             many = high - low
             if many.sum():
                 spot = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
                 at = np.repeat(maybe, many)
-                d = np.searchsorted(doc.first, at, side="right") - 1
-                hits.append(np.stack([d, item[spot], at - doc.first[d] - place[spot], place[spot], np.full(len(spot), width)], 1))
+                d = np.searchsorted(reading.first, at, side="right") - 1
+                hits.append(np.stack([d, item[spot], np.full(len(spot), READINGS[kind]), at - reading.first[d] - place[spot], place[spot], np.full(len(spot), width)], 1))
         if not hits:
             return []
         hits = np.concatenate(hits)
         hits = hits[np.lexsort(hits.T[::-1])]
-        cut = np.flatnonzero(np.append(True, (hits[1:, :3] != hits[:-1, :3]).any(1)))
+        cut = np.flatnonzero(np.append(True, (hits[1:, :4] != hits[:-1, :4]).any(1)))
+        kinds = {space: kind for kind, space in reversed(READINGS.items())}
         best: dict[tuple[int, int], int] = {}
         for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(hits)], strict=True):
-            d, k, shift = hits[i, :3].tolist()
-            covered = np.zeros(int(self.size[k]), dtype=bool)
-            for place, width in hits[i:j, 3:].tolist():
+            d, k, space, shift = hits[i, :4].tolist()
+            reading = self.tokens.readings[kinds[space]]
+            at = int(reading.first[k])
+            covered = np.zeros(int(reading.first[k + 1]) - at, dtype=bool)
+            for place, width in hits[i:j, 4:].tolist():
                 covered[place : place + width] = True
-            n = int(covered.sum())
-            if (n >= SHARE * len(covered) or n >= LONG) and n > best.get((d, k), 0) and self._consistent(doc, d, k, shift, np.flatnonzero(covered)):
+            n = int(np.diff(reading.word[at : at + len(covered) + 1])[covered].sum())
+            if (n >= SHARE * self.size[k] or n >= LONG) and n > best.get((d, k), 0) and self._consistent(doc, kinds[space], d, k, shift, np.flatnonzero(covered)):
                 best[d, k] = n
         return [(d, k, n) for (d, k), n in best.items()]
 
-    def _consistent(self, doc: Tokens, d: int, k: int, shift: int, covered: np.ndarray) -> bool:
+    def _consistent(self, doc: Tokens, kind: str, d: int, k: int, shift: int, covered: np.ndarray) -> bool:
         """Whether the fillings of the covered slots stand one to one."""
-        mine, theirs = self.tokens.first[k] + covered, doc.first[d] + covered + shift
-        slots = self.tokens.slot[mine]
-        pairs = set(zip(self.tokens.literal[mine[slots]].tolist(), doc.literal[theirs[slots]].tolist(), strict=True))
+        mine, theirs = self.tokens.readings[kind], doc.readings[kind]
+        at, to = mine.first[k] + covered, theirs.first[d] + covered + shift
+        slots = mine.slot[at]
+        at, to = at[slots], to[slots]
+        pairs = set()
+        for a, b, x, y in zip(mine.word[at].tolist(), mine.word[at + 1].tolist(), theirs.word[to].tolist(), theirs.word[to + 1].tolist(), strict=True):
+            pairs |= fillings(self.tokens.literal[a:b].tolist(), doc.literal[x:y].tolist())
         return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
 
 
+def fillings(mine: list, theirs: list) -> set[tuple[tuple, tuple]]:
+    """What stands for what in a slot: word by word, or, where the numbers of words differ, the middle parts between equal words (none against a part that is empty)."""
+    if len(mine) == len(theirs):
+        return {((a,), (b,)) for a, b in zip(mine, theirs, strict=True)}
+    least = min(len(mine), len(theirs))
+    left = next((i for i in range(least) if mine[i] != theirs[i]), least)
+    right = next((i for i in range(least - left) if mine[-1 - i] != theirs[-1 - i]), least - left)
+    a, b = tuple(mine[left : len(mine) - right]), tuple(theirs[left : len(theirs) - right])
+    return {((x,), (x,)) for x in mine[:left] + mine[len(mine) - right :]} | ({(a, b)} if a and b else set())
+
+
 def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Index]:
     """Indexes of (item_id, text), each over at most ``block_bytes`` of text (or one longer item)."""
     out, held, size = [], [], 0

@@ -242,6 +242,34 @@ class TestDecontamination:
         assert template_decontam.scan(empty(spark), benchmark).count() == 0
         assert not template_decontam.scan(documents, benchmark.limit(0)).first().contaminated
 
+    def found(self, item, text):
+        data = text.encode()
+        return [n for _, _, n in template_decontam.Index([(1, item)]).matches(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))]
+
+    def test_names_that_open_sentences(self):
+        item = "Tom has 3 apples. Ann has 5 pears. Who has more?"
+        assert self.found(item, "Sam has 4 apples. Eva has 9 pears. Who has more?") == [11]
+        assert self.found(item, "Sam has 4 apples. Eva has 9 pears. Who is cold?") == [9]
+        assert self.found(item + " Tom or Ann?", "Sam has 4 apples. Eva has 9 pears. Who has more? Sam or Eva?") == [14]
+        assert not self.found(item + " Tom or Ann?", "Sam has 4 apples. Eva has 9 pears. Who has more? Eva or Sam?")
+
+    def test_opening_function_words_are_no_names(self):
+        assert self.found("Who was the king of France?", "Who was the king of Spain?") == [6]
+        assert not self.found("Who was the king of France?", "Louis was the king of Spain?")
+
+    def test_names_of_several_words(self):
+        item = "Near the old mill Tom has red apples and buys 5 more while Ann looks at pears"
+        assert self.found(item, "Near the old mill Mary Ann has red apples and buys 7 more while Eva looks at pears") == [17]
+        assert self.found("Tom has 3 apples. Ann has 5 pears. Who has more?", "Mary Ann has 4 apples. Eva Lou Lee has 9 pears. Who has more?") == [11]
+        again = item + " so Tom goes home"
+        assert self.found(again, "Near the old mill Mary Ann has red apples and buys 7 more while Eva looks at pears so Mary Ann goes home") == [21]
+        assert 21 not in self.found(again, "Near the old mill Mary Ann has red apples and buys 7 more while Eva looks at pears so Eva goes home")
+
+    def test_fillings(self):
+        assert template_decontam.fillings([1, 2], [3, 4]) == {((1,), (3,)), ((2,), (4,))}
+        assert template_decontam.fillings([9, 1], [9, 3, 4]) == {((9,), (9,)), ((1,), (3, 4))}
+        assert template_decontam.fillings([1], [1, 4]) == {((1,), (1,))}
+
     def test_long_windows_against_plain_search(self, spark):
         rng = random.Random(11)
         vocabulary = ["x" + word(rng) for _ in range(40)]
