@@ -5,8 +5,8 @@ units <unit>, and names (capitalised words inside a sentence) <name>.  Windows o
 tokens of the benchmark are looked up in the windows of the documents, so a question with other
 numbers or names still matches.  Hits of a document with the same item and the same shift form
 one alignment; its slots must be filled consistently: equal fillings of the item stand against
-equal fillings of the document and unequal ones against unequal ones; units match literally or
-as any other unit.  An alignment counts when it covers SHARE of the item's tokens, or LONG tokens.
+equal fillings of the document (unequal ones may become equal, as new numbers may coincide); units
+match literally or as any other unit.  An alignment counts when it covers SHARE of the item's tokens, or LONG tokens.
 Windows of the words as they are, without capitals, are looked up as well, so that a copy in
 capitals, in which every word looks like a name, is found too.
 
@@ -201,7 +201,7 @@ class Index:
         return [(d, k, n) for (d, k), n in best.items()]
 
     def _consistent(self, doc: Tokens, kind: str, d: int, k: int, shift: int, covered: np.ndarray) -> bool:
-        """Whether the fillings of the covered slots stand one to one."""
+        """Whether each filling of the item stands for one filling of the document wherever it is covered."""
         mine, theirs = self.tokens.readings[kind], doc.readings[kind]
         at, to = mine.first[k] + covered, theirs.first[d] + covered + shift
         slots = mine.slot[at]
@@ -209,7 +209,7 @@ class Index:
         pairs = set()
         for a, b, x, y in zip(mine.word[at].tolist(), mine.word[at + 1].tolist(), theirs.word[to].tolist(), theirs.word[to + 1].tolist(), strict=True):
             pairs |= fillings(self.tokens.literal[a:b].tolist(), doc.literal[x:y].tolist())
-        return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+        return len({a for a, _ in pairs}) == len(pairs)
 
 
 def fillings(mine: list, theirs: list) -> set[tuple[tuple, tuple]]:

@@ -265,6 +265,12 @@ class TestDecontamination:
         assert self.found(again, "Near the old mill Mary Ann has red apples and buys 7 more while Eva looks at pears so Mary Ann goes home") == [21]
         assert 21 not in self.found(again, "Near the old mill Mary Ann has red apples and buys 7 more while Eva looks at pears so Eva goes home")
 
+    def test_new_fillings_may_coincide(self):
+        item = "Tom has 3 apples and buys 5 apples more on the way home"
+        assert self.found(item, "Sam has 4 apples and buys 4 apples more on the way home") == [13]
+        assert self.found(item.replace("5", "3"), "Sam has 4 apples and buys 4 apples more on the way home") == [13]
+        assert not self.found(item.replace("5", "3"), "Sam has 4 apples and buys 6 apples more on the way home")
+
     def test_fillings(self):
         assert template_decontam.fillings([1, 2], [3, 4]) == {((1,), (3,)), ((2,), (4,))}
         assert template_decontam.fillings([9, 1], [9, 3, 4]) == {((9,), (9,)), ((1,), (3, 4))}
