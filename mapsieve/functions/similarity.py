@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +33,20 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * common / (len(a) + len(b))
 
 
+def _full_windows_ratio(a: str, b: str) -> float:
+    """Best indel ratio of a (under 64 characters) against the windows of its length, all of them at once."""
+    n, text = len(a), np.frombuffer(b.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    masks = np.zeros(len(text), dtype=np.uint64)
+    for ch in set(a):
+        masks[text == ord(ch)] = sum(1 << i for i, x in enumerate(a) if x == ch)
+    s = np.full(len(text) - n + 1, (1 << n) - 1, dtype=np.uint64)
+    for j in range(n):
+        u = s & masks[j : j + len(s)]
+        s = (s + u) | (s - u)
+    common = n - int(np.bitwise_count(s & np.uint64((1 << n) - 1)).min())
+    return 200.0 * common / (2 * n)
+
+
 def best_window_ratio(a: str, b: str) -> float:
     """Best indel ratio of the shorter string against windows of the longer, of its length or cut at the ends."""
     if len(a) > len(b):
@@ -39,6 +54,8 @@ def best_window_ratio(a: str, b: str) -> float:
     if not a:
         return 100.0 if not b else 0.0
     n = len(a)
+    if n < 64 <= len(b):
+        return max(_full_windows_ratio(a, b), *(indel_ratio(a, w) for i in range(1, n) for w in {b[:i], b[-i:]}), 0.0)
     windows = [b[max(0, i) : i + n] for i in range(1 - n, len(b))]
     return max(indel_ratio(a, w) for w in dict.fromkeys(windows))
 

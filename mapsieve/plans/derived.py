@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _Q = "CAST(CAST(l_quantity AS INT) AS STRING)"
 _LETTER = "substr('ABCDEFGH', CAST(l_partkey % 8 AS INT) + 1, 1)"
@@ -45,3 +46,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page_id", "o_custkey AS pdf_id", "CAST(o_orderkey % 7 + 1 AS INT) AS page_number", "o_orderdate AS created_at", "o_totalprice AS seconds", "o_orderstatus <> 'P' AS success")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a searchable text with the keys of a detection."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.lit(1).alias("idx"), "text")

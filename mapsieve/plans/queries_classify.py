@@ -71,8 +71,8 @@ add("T10_merge_texts", lambda s, d: detections(s, d).select("page_id", "idx", T.
 add("T11_row_id", lambda s, d: detections(s, d).select("page_id", "idx", T.row_id(F.col("page_id"), F.col("idx"), F.col("text")).alias("id")), f"{WITH} SELECT page_id, idx, md5(CAST(page_id AS STRING) || '_' || CAST(idx AS STRING) || '_' || text) AS id FROM det")
 add("T14_json", lambda s, d: detections(s, d).select("page_id", "idx", F.to_json(F.struct("x1", "y1", "text")).alias("json")), f"{WITH} SELECT page_id, idx, '{{\"x1\":' || x1 || ',\"y1\":' || y1 || ',\"text\":\"' || text || '\"}}' AS json FROM det")
 add("T01_nfkc_documents", lambda s, d: table(s, d, "documents").select("doc_id", T.normalize_address(F.col("text")).alias("normal")))
-add("Y01_sequence_ratio", lambda s, d: table(s, d, "benchmark").select("item_id", similarity.sequence_ratio(F.lit("the thing and the other"), F.col("text")).alias("ratio")))
-add("Y02_partial_ratio", lambda s, d: table(s, d, "benchmark").select("item_id", similarity.partial_ratio(F.lit("thing and"), F.col("text")).alias("ratio")))
+add("Y01_sequence_ratio", lambda s, d: table(s, d, "documents").select("doc_id", similarity.sequence_ratio(F.lit("the thing and the other"), F.col("text")).alias("ratio")))
+add("Y02_partial_ratio", lambda s, d: table(s, d, "documents").select("doc_id", similarity.partial_ratio(F.lit("thing and"), F.col("text")).alias("ratio")))
 add("Y03_contained_or", lambda s, d: detections(s, d).select("page_id", "idx", similarity.contained_or(F.lit("1"), F.col("text"), F.lit(0.0)).alias("score")), f"{WITH} SELECT page_id, idx, CASE WHEN contains(text, '1') OR contains('1', text) THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM det")
 add("Y04_char_jaccard", lambda s, d: detections(s, d).select("page_id", "idx", rounded(similarity.char_jaccard(F.col("text"), F.lit("12-3A")), 6).alias("j")), f"{WITH}, c AS (SELECT page_id, idx, text, list_distinct(string_split(text, '')) AS a, list_distinct(string_split('12-3A', '')) AS b FROM det) SELECT page_id, idx, CASE WHEN text = '' THEN 0.0 ELSE floor(CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))) * 1000000 + 0.5) / 1000000 END AS j FROM c")
 

@@ -10,7 +10,7 @@ from mapsieve.functions import scores
 from mapsieve.functions import text as T
 from mapsieve.operators import search, spatial, statistics, tables
 from mapsieve.operators.statistics import rounded
-from mapsieve.plans.derived import WITH, detections, files, pages, table
+from mapsieve.plans.derived import WITH, detections, files, pages, table, texts
 from mapsieve.plans.queries_page import IOU, MIN_OVERLAP, R
 from mapsieve.sources import detections as D
 from mapsieve.sources import html
@@ -85,7 +85,8 @@ add("S13_region_files", lambda s, d: D.roi_files(files(s, d).select(F.concat(F.l
 add("S15_decoded_pages", lambda s, d: table(s, d, "pages").select("page_id", F.char_length(html.decoded(F.col("html").cast("binary"))).alias("n")))
 add("S16_decoded_index", lambda s, d: table(s, d, "pages").select("page_id", F.char_length(html.decoded_japanese(F.col("html").cast("binary"))).alias("n")))
 add("S22_mock_rows", lambda s, d: D.mock_rows(s, 600, 800), "SELECT text, CAST(x AS INT) AS x1, CAST(y AS INT) AS y1, CAST(x + 200 AS INT) AS x2, CAST(y + 30 AS INT) AS y2, 0.8::DOUBLE AS confidence, 'Mock' AS method FROM (VALUES ('六本木１丁目88-7', 50, 50), ('川合３丁目120E', 350, 50), ('東京都港区', 50, 450), ('示例地址123', 350, 450)) AS t(text, x, y)")
-add("Y07_patch_search", lambda s, d: search.ratio_search(table(s, d, "benchmark").withColumnRenamed("item_id", "page_id").withColumn("idx", F.lit(1)), "thing", contained=True).select("page_id", "similarity"))
+add("Y07_patch_search", lambda s, d: search.ratio_search(texts(s, d), "thing", contained=True).select("page_id", "similarity"))
 add("Y07_contained", lambda s, d: search.ratio_search(table(s, d, "benchmark").withColumnRenamed("item_id", "page_id").withColumn("idx", F.lit(1)), "thing", contained=True).filter("similarity = 1").select("page_id"), "SELECT item_id AS page_id FROM benchmark WHERE contains(text, 'thing')")
+add("Y07_contained_documents", lambda s, d: search.ratio_search(texts(s, d), "thing", contained=True).filter("similarity = 1").select("page_id"), "SELECT doc_id AS page_id FROM documents WHERE contains(text, 'thing')")
 add("T07_original_kept", lambda s, d: detections(s, d).select("page_id", "idx", T.corrected(F.col("text"), F.col("confidence")).alias("c")).select("page_id", "idx", "c.original_text"), f"{WITH} SELECT page_id, idx, text AS original_text FROM det")
 add("A20_per_place", lambda s, d: statistics.per_group(files(s, d), ["prefecture"], "file_id").select("prefecture", "n", "least", "most"), f"{WITH} SELECT prefecture, count(*) AS n, min(file_id) AS least, max(file_id) AS most FROM files GROUP BY 1")

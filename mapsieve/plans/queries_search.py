@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mapsieve.functions import text as T
 from mapsieve.operators import search, vision
-from mapsieve.plans.derived import WITH, detections, files, table
+from mapsieve.plans.derived import WITH, detections, files, table, texts
 from mapsieve.sources import hierarchy, html
 
 QUERIES: dict = {}
@@ -35,10 +35,10 @@ _WANT = {"prefecture": "ASIA", "city": "IN", "district": "BUILDING"}
 add("Y06_hierarchical_search", lambda s, d: search.hierarchical_search(files(s, d), _WANT).select("path", "score"), f"{WITH} SELECT path, {_SCORE} AS score FROM files WHERE {_SCORE} > 0 ORDER BY score DESC, path LIMIT 50")
 add("Y06_match_details", lambda s, d: search.match_details(files(s, d), _WANT).select("path", "prefecture_match", "city_match", "district_match"), f"{WITH} SELECT path, CASE WHEN prefecture = 'ASIA' THEN 'exact' WHEN contains(prefecture, 'ASIA') THEN 'partial' ELSE 'none' END AS prefecture_match, CASE WHEN city = 'IN' THEN 'exact' WHEN contains(city, 'IN') THEN 'partial' ELSE 'none' END AS city_match, CASE WHEN district = 'BUILDING' THEN 'exact' WHEN contains(district, 'BUILDING') THEN 'partial' ELSE 'none' END AS district_match FROM files")
 add("Y05_folder_search", lambda s, d: search.folder_search(hierarchy.folders(files(s, d)).withColumn("path", F.col("display_name")), "france build"))
-add("B05_fuzzy_search", lambda s, d: search.fuzzy_search(table(s, d, "benchmark").withColumnRenamed("item_id", "page_id").withColumn("idx", F.lit(1)), "thing and", 70.0).select("page_id", "similarity"))
-add("B06_fuzzy_exclusive", lambda s, d: search.fuzzy_search(table(s, d, "benchmark").withColumnRenamed("item_id", "page_id").withColumn("idx", F.lit(1)), "thing and", 50.0, 50, True).select("page_id", "similarity"))
-add("B07_ratio_search", lambda s, d: search.ratio_search(table(s, d, "benchmark").withColumnRenamed("item_id", "page_id").withColumn("idx", F.lit(1)), "the thing and the other thing", 0.3, 12).select("page_id", "similarity"))
-add("O06_limit_first", lambda s, d: search.ratio_search(table(s, d, "benchmark").withColumnRenamed("item_id", "page_id").withColumn("idx", F.lit(1)), "the thing and the other thing", 0.1, 12, True).select("page_id", "similarity"))
+add("B05_fuzzy_search", lambda s, d: search.fuzzy_search(texts(s, d), "thing and", 70.0).select("page_id", "similarity"))
+add("B06_fuzzy_exclusive", lambda s, d: search.fuzzy_search(texts(s, d), "thing and", 50.0, 50, True).select("page_id", "similarity"))
+add("B07_ratio_search", lambda s, d: search.ratio_search(texts(s, d), "the thing and the other thing", 0.3, 12).select("page_id", "similarity"))
+add("O06_limit_first", lambda s, d: search.ratio_search(texts(s, d), "the thing and the other thing", 0.1, 12, True).select("page_id", "similarity"))
 _HITS = f"{WITH}, h AS (SELECT *, kind = 'circle' AND (regexp_matches(trim(text), '^[0-9]{{1,4}}$') OR (length(trim(text)) <= 2 AND regexp_matches(trim(text), '[^\\x00-\\x7f]'))) AS strict FROM det WHERE contains(lower(text), '7'))"
 add("O04_quota_numeric", lambda s, d: search.quota_search(detections(s, d).withColumn("type", F.col("kind")), "7").select(*key), f"{_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY strict ORDER BY confidence DESC, page_id, idx) AS n, bool_or(strict) OVER () AS any_s FROM h) SELECT page_id, idx FROM r WHERE NOT any_s OR n <= 2 ORDER BY strict DESC, confidence DESC, page_id, idx LIMIT 4")
 add("O04_circle_only", lambda s, d: search.quota_search(detections(s, d).withColumn("type", F.col("kind")), "7", True).select(*key), f"{_HITS} SELECT page_id, idx FROM h WHERE strict ORDER BY confidence DESC, page_id, idx LIMIT 4")

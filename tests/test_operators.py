@@ -66,6 +66,16 @@ def test_partial_ratio_is_best_of_windows(spark):
         assert similarity.indel_ratio(a, b) == pytest.approx(200 * lcs(a, b) / (len(a) + len(b)))
 
 
+def test_partial_ratio_of_long_texts(spark):
+    rng = random.Random(2)
+    for n in (1, 2, 5, 30, 63, 64, 70):
+        for size in (63, 64, 65, 200):
+            a, b = ("".join(rng.choice("ab é日😀") for _ in range(k)) for k in (n, size))
+            short, long = sorted((a, b), key=len)
+            windows = [long[max(0, i) : i + len(short)] for i in range(1 - len(short), len(long))]
+            assert similarity.best_window_ratio(a, b) == max(similarity.indel_ratio(short, w) for w in windows)
+
+
 def boxes(rng, n, pages=3):
     out = []
     for p in range(pages):

@@ -2,11 +2,13 @@
 
 import math
 from decimal import Decimal
+from difflib import SequenceMatcher
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from mapsieve.functions import similarity
 from mapsieve.plans import registry
 
 DATA = Path("/root/testdata/sf0.001")
@@ -46,3 +48,35 @@ def test_query(spark, duck, name):
 
 def test_names_fit():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def test_string_searches_meet_all_documents(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+
+    def rows(name):
+        return [tuple(r) for r in registry.QUERIES[name](spark, str(DATA)).collect()]
+
+    def sequence(query):
+        return {i: SequenceMatcher(None, query, t).ratio() for i, t in docs if t is not None}
+
+    def partial(query):
+        return {i: similarity.best_window_ratio(query, t) for i, t in docs if t is not None}
+
+    assert len(docs) > 40
+    assert len(rows("Y01_sequence_ratio")) == len(rows("Y02_partial_ratio")) == len(docs)
+    assert dict(r for r in rows("Y01_sequence_ratio") if r[1] is not None) == sequence("the thing and the other")
+    assert dict(r for r in rows("Y02_partial_ratio") if r[1] is not None) == partial("thing and")
+
+    def best(scores, keep):
+        return sorted(((i, x) for i, x in scores.items() if keep(x)), key=lambda r: (-r[1], r[0]))
+
+    ratios = partial("thing and")
+    near = {i: 100.0 if "thing and" in t or t in "thing and" else ratios[i] for i, t in docs if t is not None}
+    assert rows("B05_fuzzy_search") == best(near, lambda x: x >= 70)
+    assert rows("B06_fuzzy_exclusive") == best(near, lambda x: x > 50)[:50]
+    whole = sequence("the thing and the other thing")
+    assert rows("B07_ratio_search") == best(whole, lambda x: x > 0.3)[:12]
+    first = sorted((i, x) for i, x in whole.items() if x > 0.1)[:12]
+    assert rows("O06_limit_first") == best(dict(first), lambda x: True)
+    held = {i: 1.0 if "thing" in t else SequenceMatcher(None, "thing", t).ratio() for i, t in docs if t is not None}
+    assert rows("Y07_patch_search") == best(held, lambda x: x > 0.3)
