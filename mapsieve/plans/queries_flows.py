@@ -50,8 +50,16 @@ def _statuses(s, d):
 add("R04_status_stream", _statuses, "SELECT date_trunc('day', ts) AS start, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status, count(*) AS n FROM events GROUP BY 1, 2")
 
 
+def _all_sheets(s, d):
+    return pages(s, d).select("page_id", F.lit("sheet").cast("binary").alias("image"), F.lit(200).alias("width"), F.lit(100).alias("height"))
+
+
 def _sheets(s, d):
-    return pages(s, d).filter("page_id % 10 = 0").select("page_id", F.lit("sheet").cast("binary").alias("image"), F.lit(200).alias("width"), F.lit(100).alias("height"))
+    return _all_sheets(s, d).filter("page_id % 10 = 0")
+
+
+def _scaled(sheets):
+    return sheets.crossJoin(F.broadcast(sheets.sparkSession.range(1, 3).select(F.col("id").cast("int").alias("scale")))).select("page_id", "image", (F.col("width") * F.col("scale")).alias("width"), (F.col("height") * F.col("scale")).alias("height"))
 
 
 def _registry():
@@ -62,7 +70,10 @@ def _registry():
 
 _CELLS = "(VALUES ('1', 0, 0, 100, 50), ('2', 100, 0, 200, 50), ('3', 0, 50, 100, 100), ('4', 100, 50, 200, 100)) AS c(text, x1, y1, x2, y2)"
 add("U01_engine_rows", lambda s, d: _registry().detect(_sheets(s, d)).select("page_id", "text", "x1", "y1", "x2", "y2", "engine"), f"{WITH} SELECT page_id, text, x1, y1, x2, y2, 'grid' AS engine FROM pg, {_CELLS} WHERE page_id % 10 = 0")
-add("B08_scales_and_engines", lambda s, d: _registry().detect(_sheets(s, d).crossJoin(F.broadcast(s.range(1, 3).select(F.col("id").cast("int").alias("scale")))).select("page_id", "image", (F.col("width") * F.col("scale")).alias("width"), (F.col("height") * F.col("scale")).alias("height"))).groupBy("page_id").agg(F.count("*").alias("n"), F.max("x2").alias("right")), f"{WITH} SELECT page_id, 8::BIGINT AS n, 400 AS \"right\" FROM pg WHERE page_id % 10 = 0")
+add("B08_scales_and_engines", lambda s, d: _registry().detect(_scaled(_sheets(s, d))).groupBy("page_id").agg(F.count("*").alias("n"), F.max("x2").alias("right")), f"{WITH} SELECT page_id, 8::BIGINT AS n, 400 AS \"right\" FROM pg WHERE page_id % 10 = 0")
+# the two above keep the tenth of the pages that their SQL asks; these take every page
+add("U01_engine_rows_all", lambda s, d: _registry().detect(_all_sheets(s, d)).select("page_id", "text", "x1", "y1", "x2", "y2", "engine"), f"{WITH} SELECT page_id, text, x1, y1, x2, y2, 'grid' AS engine FROM pg, {_CELLS}")
+add("B08_scales_and_engines_all", lambda s, d: _registry().detect(_scaled(_all_sheets(s, d))).groupBy("page_id").agg(F.count("*").alias("n"), F.max("x2").alias("right")), f"{WITH} SELECT page_id, 8::BIGINT AS n, 400 AS \"right\" FROM pg")
 add("B09_best_valid_number", lambda s, d: filters.number_regions(detections(s, d)).withColumn("clean", T.clean_number(F.col("text"))).filter("clean is not null").groupBy("page_id").agg(F.max_by("clean", F.struct("confidence", -F.col("idx"))).alias("number")))
 add("B02_batch_run", lambda s, d: statistics.batch_summary(pages(s, d).join(detections(s, d).groupBy("page_id").agg(F.count("*").alias("texts"), F.count_if(F.col("kind") == "circle").alias("circles")), "page_id").select(F.when(F.col("success"), "success").otherwise("error").alias("status"), "texts", "circles", F.lit(1).alias("seconds"))).select("total_files", "successful_files", "total_text_regions", "total_circles"), f"{WITH}, n AS (SELECT page_id, count(*) AS texts, count(*) FILTER (kind = 'circle') AS circles FROM det GROUP BY 1) SELECT count(*) AS total_files, count(*) FILTER (success) AS successful_files, CAST(coalesce(sum(texts) FILTER (success), 0) AS BIGINT) AS total_text_regions, CAST(coalesce(sum(circles) FILTER (success), 0) AS BIGINT) AS total_circles FROM pg JOIN n USING (page_id)")
 add("B03_two_branches", lambda s, d: detections(s, d).filter("kind = 'text'").groupBy("page_id").agg(F.count("*").alias("texts")).join(detections(s, d).filter("kind = 'circle'").groupBy("page_id").agg(F.count("*").alias("circles")), "page_id", "full").select("page_id", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("circles", F.lit(0)).alias("circles")), f"{WITH} SELECT page_id, count(*) FILTER (kind = 'text') AS texts, count(*) FILTER (kind = 'circle') AS circles FROM det GROUP BY 1")

@@ -13,7 +13,7 @@ from mapsieve.operators.statistics import rounded
 from mapsieve.plans.derived import WITH, detections, files, pages, table, texts
 from mapsieve.plans.queries_page import IOU, MIN_OVERLAP, R
 from mapsieve.sources import detections as D
-from mapsieve.sources import html
+from mapsieve.sources import hierarchy, html
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -79,6 +79,9 @@ add("A14_graph_summary", lambda s, d: spatial.graph_summary(detections(s, d), sp
 add("K03_recreate_table", lambda s, d: files(s, d).select("path", "prefecture"), f"{WITH} SELECT path, prefecture FROM files")
 add("K08_download_plan", lambda s, d: tables.missing_downloads(files(s, d).select(F.concat(F.lit("http://x/"), "path").alias("url"), "path"), files(s, d).filter("file_id % 2 = 0").select("path")).select("url", "path"), f"{WITH} SELECT 'http://x/' || path AS url, path FROM files WHERE file_id % 2 <> 0")
 add("K11_move_plan", lambda s, d: files(s, d).filter("file_id % 7 = 0").select("path", F.concat_ws("/", "prefecture", "city", F.concat("filename", F.lit(".pdf"))).alias("target")), f"{WITH} SELECT path, prefecture || '/' || city || '/' || filename || '.pdf' AS target FROM files WHERE file_id % 7 = 0")
+# K11_move_plan plans the files that its SQL asks; this one decides from every file's path, and files in debt lie in a ward that is put at city level
+_LAID = "CASE WHEN balance < 0 THEN prefecture || '/' || district || '/' || filename || '.pdf' ELSE path END"
+add("K11_misplaced_files", lambda s, d: hierarchy.moves(files(s, d).selectExpr(f"{_LAID} AS path"), files(s, d).select("prefecture", "city", F.col("district").alias("ward"), F.dense_rank().over(Window.partitionBy("prefecture").orderBy("city")).alias("ord")).distinct()), f"{WITH}, c AS (SELECT prefecture, district, min(city) AS city FROM files GROUP BY 1, 2), l AS (SELECT {_LAID} AS path, filename FROM files) SELECT path, prefecture || '/' || c.city || '/' || district || '/' || filename || '.pdf' AS target FROM l JOIN c ON split_part(path, '/', 1) = prefecture AND split_part(path, '/', 2) = district")
 add("K13_label_geometry", lambda s, d: detections(s, d).select("page_id", "idx", F.concat("text", F.lit(" ("), F.col("w").cast("string"), F.lit(")")).alias("label"), F.when(F.col("kind") == "circle", "red").otherwise("green").alias("colour"), F.greatest(F.lit(0), F.col("y1") - 5).alias("label_y")), f"{WITH} SELECT page_id, idx, text || ' (' || w || ')' AS label, CASE WHEN kind = 'circle' THEN 'red' ELSE 'green' END AS colour, greatest(0, y1 - 5) AS label_y FROM det")
 add("R01_expiring_entries", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("last")).select("user_id", (F.col("last") + F.expr("INTERVAL 3600 SECONDS")).alias("expires_at")), "SELECT user_id, max(ts) + INTERVAL 3600 SECOND AS expires_at FROM events GROUP BY 1")
 add("S13_region_files", lambda s, d: D.roi_files(files(s, d).select(F.concat(F.lit("roi/circle_"), F.col("file_id").cast("string"), F.lit("_original.jpg")).alias("path"))).select("path", "number"), f"{WITH} SELECT 'roi/circle_' || file_id || '_original.jpg' AS path, CAST(file_id AS STRING) AS number FROM files")

@@ -61,6 +61,15 @@ def misplaced(dirs: DataFrame, wards: DataFrame) -> DataFrame:
     return first.withColumn("current_path", F.concat_ws("/", "prefecture", "name")).withColumn("correct_path", F.concat_ws("/", "prefecture", "city", "name")).filter("current_path <> correct_path")
 
 
+def moves(files: DataFrame, wards: DataFrame) -> DataFrame:
+    """(path, target) of every file (path) whose directory at city level is a misplaced ward."""
+    part = F.split("path", "/")
+    at = files.select("path", part[0].alias("prefecture"), part[1].alias("name"))
+    plan = misplaced(at.select("prefecture", "name").distinct(), wards)
+    rest = F.expr("substring(path, char_length(current_path) + 1)")
+    return at.join(plan, ["prefecture", "name"]).select("path", F.concat("correct_path", rest).alias("target"))
+
+
 def move_plan_report(plan: DataFrame) -> DataFrame:
     """(city, report) of misplaced wards."""
     return plan.groupBy("city").agg(F.concat_ws(", ", F.array_sort(F.collect_list("name"))).alias("report"))

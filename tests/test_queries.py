@@ -50,6 +50,15 @@ def test_names_fit():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
 
+def test_flows_meet_all_pages_and_files(spark):
+    pages = spark.read.parquet(f"{DATA}/orders.parquet").count()
+    assert registry.QUERIES["U01_engine_rows_all"](spark, str(DATA)).select("page_id").distinct().count() == pages
+    assert registry.QUERIES["B08_scales_and_engines_all"](spark, str(DATA)).count() == pages
+    moves = registry.QUERIES["K11_misplaced_files"](spark, str(DATA)).collect()
+    assert len(moves) == spark.read.parquet(f"{DATA}/customer.parquet").filter("c_acctbal < 0").count() > 0
+    assert all(r.path.count("/") == 2 and r.target.count("/") == 3 for r in moves)
+
+
 def test_string_searches_meet_all_documents(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
 
