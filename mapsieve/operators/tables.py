@@ -42,6 +42,22 @@ def append_with_ids(existing: DataFrame, new: DataFrame, key: str, order: list[s
     return existing.unionByName(ranged.withColumn(key, offset + rank).select(*existing.columns))
 
 
+def placed(df: DataFrame, first: Column, bucket: Column, order: list[Column]) -> DataFrame:
+    """df with ``place``, the number of each row in an order that begins with first (descending), then bucket (ascending); no row is left out.
+
+    Rows are numbered within their bucket; what stands before it comes from counts, so that no task sorts the whole table.
+    """
+    df = df.withColumns({"__f": first, "__b": bucket})
+    counts = df.groupBy("__f", "__b").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("__f").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.groupBy("__f").agg(F.sum("__n").alias("__n"))
+    above = F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("__f")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = counts.withColumn("__before", before).alias("o").join(firsts.withColumn("__above", above).alias("s"), F.col("o.__f").eqNullSafe(F.col("s.__f"))).select(F.col("o.__f").alias("__g"), F.col("o.__b").alias("__c"), (F.col("__above") + F.col("__before")).alias("__offset"))
+    rows = df.withColumn("__row", F.row_number().over(Window.partitionBy("__f", "__b").orderBy(*order)))
+    joined = rows.join(at, F.col("__f").eqNullSafe(F.col("__g")) & F.col("__b").eqNullSafe(F.col("__c")))
+    return joined.withColumn("place", F.col("__offset") + F.col("__row")).drop("__f", "__b", "__g", "__c", "__offset", "__row")
+
+
 def processing_log(results: DataFrame) -> DataFrame:
     """(pdf_path, status, addresses_count, error_message) of files (pdf_path, addresses_count, error_message)."""
     status = F.when(F.col("error_message").isNotNull(), "error").when(F.col("addresses_count") > 0, "success").otherwise("no_addresses")

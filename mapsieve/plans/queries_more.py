@@ -67,6 +67,11 @@ add("W04_enumerated", lambda s, d: detections(s, d).select("page_id", "idx", F.r
 add("W01_best_per_engine", lambda s, d: detections(s, d).withColumn("n", F.row_number().over(Window.partitionBy("page_id", "engine").orderBy(F.desc("confidence"), "idx"))).filter("n = 1").select("page_id", "engine", "idx"), f"{WITH} SELECT page_id, engine, idx FROM det QUALIFY row_number() OVER (PARTITION BY page_id, engine ORDER BY confidence DESC, idx) = 1")
 add("O01_newest_first", lambda s, d: pages(s, d).orderBy(F.desc("created_at"), "page_id").limit(200).select("page_id"), f"{WITH} SELECT page_id FROM pg ORDER BY created_at DESC, page_id LIMIT 200")
 add("O02_reading_order", lambda s, d: detections(s, d).orderBy("page_id", "y1", "x1", "idx").limit(500).select("page_id", "idx"), f"{WITH} SELECT page_id, idx FROM det ORDER BY page_id, y1, x1, idx LIMIT 500")
+# O01, O02 and O08 keep the rows that their SQL asks; these give every row its place
+_BUCKET = "floor(page_id / 4096)"
+add("O01_newest_first_all", lambda s, d: tables.placed(pages(s, d), F.col("created_at"), F.expr(_BUCKET), [F.col("page_id")]).select("page_id", "place"), f"{WITH} SELECT page_id, row_number() OVER (ORDER BY created_at DESC, page_id) AS place FROM pg")
+add("O02_reading_order_all", lambda s, d: detections(s, d).select("page_id", "idx", F.row_number().over(Window.partitionBy("page_id").orderBy("y1", "x1", "idx")).alias("place")), f"{WITH} SELECT page_id, idx, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, idx) AS place FROM det")
+add("O08_by_area_all", lambda s, d: tables.placed(detections(s, d), F.col("w") * F.col("h"), F.expr(_BUCKET), [F.col("page_id"), F.col("idx")]).select("page_id", "idx", "place"), f"{WITH} SELECT page_id, idx, row_number() OVER (ORDER BY w * h DESC, page_id, idx) AS place FROM det")
 add("O05_cap_before_work", lambda s, d: detections(s, d).join(files(s, d).orderBy("path").limit(50).join(pages(s, d), F.col("file_id") == F.col("pdf_id")).select("page_id"), "page_id").select("page_id", "idx"), f"{WITH}, f AS (SELECT file_id FROM files ORDER BY path LIMIT 50) SELECT det.page_id, idx FROM det JOIN pg USING (page_id) JOIN f ON f.file_id = pg.pdf_id")
 add("O07_score_order_cap", lambda s, d: detections(s, d).orderBy(F.desc(scores.weighted(F.col("confidence"), F.lit("dbnet"))), "page_id", "idx").limit(1000).select("page_id", "idx"), f"{WITH} SELECT page_id, idx FROM det ORDER BY confidence * 0.9::DOUBLE DESC, page_id, idx LIMIT 1000")
 add("X02_ordered_distinct", lambda s, d: detections(s, d).groupBy("page_id").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("idx", "engine"))), lambda x: x["engine"])), "+").alias("engines")), f"{WITH}, g AS (SELECT page_id, engine, min(idx) AS first FROM det GROUP BY 1, 2) SELECT page_id, string_agg(engine, '+' ORDER BY first) AS engines FROM g GROUP BY 1")

@@ -59,6 +59,13 @@ def test_flows_meet_all_pages_and_files(spark):
     assert all(r.path.count("/") == 2 and r.target.count("/") == 3 for r in moves)
 
 
+def test_orders_keep_every_row(spark):
+    pages, detections = (spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("orders", "lineitem"))
+    for name, n in (("O01_newest_first_all", pages), ("O08_by_area_all", detections)):
+        assert sorted(r.place for r in registry.QUERIES[name](spark, str(DATA)).collect()) == list(range(1, n + 1))
+    assert registry.QUERIES["O02_reading_order_all"](spark, str(DATA)).count() == detections
+
+
 def test_string_searches_meet_all_documents(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
 
