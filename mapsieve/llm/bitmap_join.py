@@ -262,7 +262,7 @@ def _link(key, rows):
     return pa.table({k: np.concatenate(v) for k, v in found.items()})
 
 
-def _linked(corpus: DataFrame, places: DataFrame, tiles: DataFrame, parts: int) -> DataFrame:
+def _linked(corpus: c.Corpus, places: DataFrame, tiles: DataFrame, parts: int) -> DataFrame:
     """Edges (class, root) of tiles (node, tile, tree); places: (node, chunk, place) of the classes."""
     wanted = tiles.join(places, "node")
     asks = wanted.groupBy("chunk").agg(F.flatten(F.collect_list(F.array("place", "node", "tile", "tree"))).alias("told"))
@@ -270,7 +270,7 @@ def _linked(corpus: DataFrame, places: DataFrame, tiles: DataFrame, parts: int)
     return texts.groupBy(F.pmod(F.xxhash64("tile"), F.lit(4 * parts)).alias("bucket")).applyInArrow(_link, "class long, root long")
 
 
-def _exact(corpus: DataFrame, places: DataFrame, gathered: DataFrame, parts: int, wide: int) -> DataFrame:
+def _exact(corpus: c.Corpus, places: DataFrame, gathered: DataFrame, parts: int, wide: int) -> DataFrame:
     """(node, component) of the exact links within gathered components (node, component).
 
     Components of more than ``wide`` classes are cut into tiles by hash; some leaders stand in every
@@ -311,12 +311,11 @@ def _trees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("tree", F.coalesce("tree", "node"))
 
 
-def _solve(corpus: DataFrame, wide: int) -> tuple[DataFrame, DataFrame]:
+def _solve(corpus: c.Corpus, wide: int) -> tuple[DataFrame, DataFrame]:
     """All rows described, and the classes (set_a, set_b, low, chunk, place) with their component's number."""
-    spark = corpus.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(4, min(22, parts.bit_length() + 1))
-    all_docs = c.stored(corpus.mapInArrow(_describe, _CLASSES_DDL))
+    parts = int(corpus.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = corpus.message_bits()
+    all_docs = c.stored(corpus.rows.mapInArrow(_describe, _CLASSES_DDL))
     # a class is named after its row: unique even where doc_ids repeat or are null
     own = F.struct(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias("low"), "chunk", "place", "n", "keys", "bits")
     classes = all_docs.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(own).alias("x"))

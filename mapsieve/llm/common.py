@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,11 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a folder of this machine if all of Spark runs on it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints/mapsieve"
     return found.rstrip("/")
 
@@ -116,16 +119,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Words without up to ``most`` ASCII punctuation marks at either edge; a word of such marks alone may end empty."""
-    for _ in range(most):
-        left = (start < end) & _MARK[data[np.minimum(start, len(data) - 1)]]
-        start = start + left
-        right = (start < end) & _MARK[data[np.maximum(end, 1) - 1]]
-        end = end - right
-        if not left.any() and not right.any():
-            break
-    return start, end
+def stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the ASCII punctuation marks at either edge; a word of such marks alone ends empty."""
+    plain = np.flatnonzero(~_MARK[data])
+    left, right = np.searchsorted(plain, start), np.searchsorted(plain, end)
+    some = left < right
+    at = np.append(plain, 0)
+    return np.where(some, at[left], start), np.where(some, at[np.maximum(right, 1) - 1] + 1, start)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, folded: bool = True, strip: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +163,8 @@ def table(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- packed corpus
 
-PACKED = pa.schema([("chunk", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("offsets", pa.binary()), ("data", pa.binary()), ("rest_offsets", pa.binary()), ("rest", pa.binary())])
-PACKED_DDL = "chunk long, ids binary, known binary, offsets binary, data binary, rest_offsets binary, rest binary"
+PACKED = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("ids", pa.binary()), ("known", pa.binary()), ("offsets", pa.binary()), ("data", pa.binary()), ("rest_offsets", pa.binary()), ("rest", pa.binary())])
+PACKED_DDL = "chunk long, size long, ids binary, known binary, offsets binary, data binary, rest_offsets binary, rest binary"
 
 
 #: Buckets that one writing task fills; it leaves so many files at most, whatever it reads.
@@ -218,7 +218,7 @@ def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
     def flush():
         nonlocal held, size, seq
         (offsets, data), (rest_offsets, rest) = joined(2), joined(4)
-        row = table(PACKED, chunk=[chunk_id(part, seq, buckets)], ids=[b"".join(x[0] for x in held)], known=[b"".join(x[1] for x in held)], offsets=[offsets], data=[data], rest_offsets=[rest_offsets], rest=[rest])
+        row = table(PACKED, chunk=[chunk_id(part, seq, buckets)], size=[len(data)], ids=[b"".join(x[0] for x in held)], known=[b"".join(x[1] for x in held)], offsets=[offsets], data=[data], rest_offsets=[rest_offsets], rest=[rest])
         held, size, seq = [], 0, seq + 1
         return row
 
@@ -236,23 +236,53 @@ def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         yield flush()
 
 
-def packed(docs: DataFrame, whole: bool = False) -> DataFrame:
+#: Text bytes that one bucket of a packed table, and one bucket of messages, aims at.
+TABLE_BUCKET_BYTES = 128 << 20
+MESSAGE_BUCKET_BYTES = 8 << 20
+_MOST_TABLE_BUCKETS = 1 << 16
+
+
+class Corpus(NamedTuple):
+    """A packed table and its number of buckets."""
+
+    rows: DataFrame
+    buckets: int
+
+    def message_bits(self) -> int:
+        """Binary digits of the number of message buckets: by the bytes of the corpus alone, whatever the session's settings."""
+        size = self.rows.agg(F.sum("size")).first()[0] or 0
+        return max(4, min(24, (-(-size // MESSAGE_BUCKET_BYTES) - 1).bit_length()))
+
+    def dealt(self, messages: DataFrame, bits: int, *keys: str) -> DataFrame:
+        """Messages partitioned by their keys, in more partitions than the session has where there are more buckets."""
+        parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return messages.repartition(1 << bits, *keys) if 1 << bits > parts else messages
+
+
+def guessed_bytes(df: DataFrame) -> int | None:
+    """The optimizer's guess of a table's size, or None where it has none; for layouts, never for results."""
+    guess = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return guess if guess < 1 << 60 else None
+
+
+def packed(docs: DataFrame, whole: bool = False) -> Corpus:
     """Write (doc_id, text) as a packed corpus table, bucketed by chunk, and read it back.
 
-    The text is written once and never shuffled.  There are as many buckets as
-    ``spark.sql.shuffle.partitions``, so that a join on chunk moves the other side only.  Chunk ids
-    are chosen so that a task fills SPREAD buckets, which keeps files few and large.
+    The text is written once and never shuffled.  There are at least as many buckets as
+    ``spark.sql.shuffle.partitions`` (more where TABLE_BUCKET_BYTES asks for them), so that a join
+    on chunk moves the other side only.  Chunk ids are chosen so that a task fills SPREAD buckets,
+    which keeps files few and large.
     whole: the other columns come along as a JSON text of each row; see unpacked_rows.
     """
     spark = docs.sparkSession
     name = f"packed_{uuid.uuid4().hex}"
     _written.append((f"{shared_dir(spark)}/{name}", name))
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(_MOST_TABLE_BUCKETS, (guessed_bytes(docs) or 0) // TABLE_BUCKET_BYTES))
     others = [x for x in docs.columns if x not in ("doc_id", "text")]
     rest = F.to_json(F.struct(*(F.col(f"`{x}`") for x in others))) if whole and others else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest.alias("rest")).mapInArrow(_packer(buckets), PACKED_DDL)
     rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
-    return spark.table(name)
+    return Corpus(spark.table(name), buckets)
 
 
 ROWS = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("rest", pa.string())])
@@ -281,10 +311,38 @@ def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["known"], dtype=bool), np.frombuffer(row["offsets"], dtype=np.int64), np.frombuffer(row["data"], dtype=np.uint8)
 
 
-def with_replies(corpus: DataFrame, replies: DataFrame) -> DataFrame:
+def with_replies(corpus: Corpus, replies: DataFrame) -> DataFrame:
     """Packed rows with the list of replies to their chunk: replies (chunk, reply binary) -> column replies."""
+    if corpus.buckets > int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        replies = replies.repartition(corpus.buckets, "chunk")
     lists = replies.groupBy("chunk").agg(F.collect_list("reply").alias("replies"))
-    return corpus.join(lists.hint("shuffle_hash"), "chunk", "left")
+    return corpus.rows.join(lists.hint("shuffle_hash"), "chunk", "left")
+
+
+#: Rows of one key that a join may gather in one task, and the greatest number of shares that a key is split into.
+HOT_ROWS, MOST_SHARES = 100_000, 64
+
+
+def hot_join(left: DataFrame, few: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """left joined with few (unique keys, and ``n``: how many rows of left a key meets), so that no hot key gathers in one task.
+
+    few is written to the shared folder and measured.  It is broadcast where it is below the session's
+    broadcast threshold; otherwise its rows are repeated for each share of the rows of left (by the hash of left's first two
+    columns that are no keys, so that a task that runs again deals its rows as before).
+    """
+    few = stored(few)
+    rows, most = few.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    few = few.drop("n")
+    threshold = int(few.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    if rows * 64 * len(few.columns) <= threshold:
+        return left.join(F.broadcast(few), keys, how)
+    shares = max(1, min(MOST_SHARES, -(-most // HOT_ROWS)))
+    if shares == 1:
+        return left.join(few.hint("merge"), keys, how)
+    own = [x for x in left.columns if x not in keys]
+    left = left.withColumn("__share", F.pmod(F.xxhash64(*own[:2]), F.lit(shares)))
+    few = few.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    return left.join(few.hint("merge"), [*keys, "__share"], how).drop("__share")
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -11,6 +11,9 @@ model ``L * c(v, w) / c(v) + (1 - L) * P(w)`` is summed for each L in WEIGHTS, a
 the log10 of the equal mixture of these document probabilities.  A document that resembles
 nothing in the corpus therefore loses at most log10(len(WEIGHTS)) against the base.
 
+The number of buckets, and so of pages, follows from the bytes of the corpus alone, so neither the
+scores nor a bucket's size depend on the session's settings or on how the rows are dealt.
+
 The pages are broadcast while they total at most ``max_filter_bytes``.  Beyond that no page
 leaves its bucket: the chunks send the bigrams that they hold to the buckets, which probe their
 pages and answer with levels.  Both ways give the same score.
@@ -233,8 +236,8 @@ def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFram
     """Scores of every document of (doc_id, text) by a model of those that are not held out."""
     spark = docs.sparkSession
     corpus = c.packed(docs)
-    bits = max(4, min(24, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))
-    asked = corpus.mapInArrow(_request(bits), "kind int, bucket int, chunk long, body binary")
+    bits = corpus.message_bits()
+    asked = corpus.dealt(corpus.rows.mapInArrow(_request(bits), "kind int, bucket int, chunk long, body binary"), bits, "kind", "bucket")
     answers = c.stored(asked.groupBy("kind", "bucket").applyInArrow(_reduce, "kind int, bucket int, chunk long, reply binary, tokens long, types long"))
     sums = {r.kind: r for r in answers.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), F.sum(F.octet_length("reply")).alias("bytes")).collect()}
     if _WORD not in sums:
@@ -254,6 +257,8 @@ def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFram
         shared = spark.sparkContext.broadcast((joined, at, size))
         del joined
     else:
-        levels = corpus.mapInArrow(_ask_levels(bits), "kind int, bucket int, chunk long, body binary").groupBy("bucket").cogroup(pages.groupBy("bucket")).applyInArrow(_tell_levels, "chunk long, reply binary")
+        asked = corpus.dealt(corpus.rows.mapInArrow(_ask_levels(bits), "kind int, bucket int, chunk long, body binary"), bits, "bucket")
+        pages = corpus.dealt(pages, bits, "bucket")
+        levels = asked.groupBy("bucket").cogroup(pages.groupBy("bucket")).applyInArrow(_tell_levels, "chunk long, reply binary")
         replies = replies.unionByName(levels)
     return c.with_replies(corpus, replies).mapInArrow(_score(bits, int(sums[_WORD].tokens), int(sums[_WORD].types), train_docs, shared), SCORES_DDL)

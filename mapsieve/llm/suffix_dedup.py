@@ -9,17 +9,18 @@ suffixes is not needed for that: only which starts share their first LENGTH byte
    hash and place to the bucket of the minimizer.
 2. *Verdicts*.  A piece whose whole text occurs twice is repeated at every start.  Pieces that
    share their minimizer with different ones, or hold it twice, are asked for; others are unique.
-3. *Refinement*.  The pieces asked for meet in their bucket.  Their starts fall into buckets of
-   equal STEP-grams, and buckets are refined by the bucket identifiers at later offsets: depth
-   2d at i is the pair of the identifiers of depth d at i and at i + d, so each round's
-   identifiers serve the next.  Starts alone in their bucket leave after every round; those left
-   at depth LENGTH are repeated.
+3. *Refinement*.  The pieces asked for meet in their bucket.  Their positions fall into buckets of
+   equal STEP-grams, and buckets are refined by sorting on the bucket identifiers at later
+   offsets: a round takes the pair of the stored identifiers of depth d at i and at i + d, and
+   stores the pair's rank as the identifier of depth 2d, which the next round looks up.  Starts
+   alone in their bucket leave after every round; those left at depth LENGTH are repeated.
 4. *Cutting*.  The verdicts return to the chunks, which cut the covered bytes.
 
 A minimizer with more than CROWD different pieces (the rim of a passage that many documents
-share) is not gathered: its starts' identifiers of depth LENGTH are dealt out each by itself.
+share) is not gathered: the hashes of its starts' LENGTH bytes are dealt out each by itself.
 
-Identifiers are 64-bit hashes.  Defined results: a null text has 0 bytes; matches never cross
+So hashes of whole pieces and of crowded starts decide what they can, and refinement the rest:
+pieces that differ but share their minimizer.  All hashes have 64 bits.  Defined results: a null text has 0 bytes; matches never cross
 documents; shorter texts than LENGTH stay whole; repeated rows are documents of their own, so
 they remove each other; a null doc_id is returned as null; extra columns are ignored.
 """
@@ -101,13 +102,6 @@ def _pieces_by_slice(data: np.ndarray, offsets: np.ndarray):
         at = to
 
 
-def identifiers(prefix: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Bucket identifiers of the given depth: STEP-gram hashes, then pairs of identifiers of half the depth."""
-    if depth == STEP:
-        return c.mix(c.span_hash(prefix, at, at + STEP))
-    return c.mix(identifiers(prefix, at, depth // 2) * _MIX + identifiers(prefix, at + depth // 2, depth // 2))
-
-
 def shared(x: np.ndarray) -> np.ndarray:
     """Whether each value occurs twice at least."""
     order = np.argsort(x)
@@ -119,18 +113,35 @@ def shared(x: np.ndarray) -> np.ndarray:
 
 
 def refine(texts: list[np.ndarray], starts: list[np.ndarray]) -> list[np.ndarray]:
-    """Which starts of each slice have their LENGTH bytes elsewhere among all starts."""
-    alive = [np.ones(len(s), dtype=bool) for s in starts]
+    """Which starts of each slice have their LENGTH bytes elsewhere among all starts.
+
+    A position's bucket identifier is the number of its bucket.  Identifiers of depth STEP come
+    from the STEP-grams of all positions; a round sorts positions by their identifier and the one
+    that stands a depth later, and the ranks are the identifiers that the next round looks up.
+    """
+    alive = np.concatenate([s + at for s, at in zip(starts, np.cumsum([0, *map(len, texts)]), strict=False)]) if texts else np.zeros(0, dtype=np.int64)
+    hit = np.ones(len(alive), dtype=bool)
+    if not len(alive):
+        return [hit]
+    size = sum(map(len, texts))
+    identifier = np.zeros(size, dtype=np.int64)
+    grams, at = np.zeros(size, dtype=np.uint64), 0
+    for t in texts:
+        here = np.arange(max(len(t) - STEP + 1, 0))
+        grams[at : at + len(here)] = c.mix(c.span_hash(c.prefix_hash(t), here, here + STEP))
+        at += len(t)
+    _, identifier = np.unique(grams, return_inverse=True)
     depth = STEP
     while True:
-        found = [identifiers(c.prefix_hash(t), s[a], depth) for t, s, a in zip(texts, starts, alive, strict=True)]
-        left = shared(np.concatenate(found)) if found else np.zeros(0, dtype=bool)
-        at = 0
-        for a, f in zip(alive, found, strict=True):
-            a[np.flatnonzero(a)] = left[at : at + len(f)]
-            at += len(f)
+        hit[hit] = shared(identifier[alive[hit]])
         if depth == LENGTH:
-            return alive
+            return np.split(hit, np.cumsum([len(s) for s in starts])[:-1])
+        # the next round reads identifiers of twice the depth at the starts, and at those offsets later that its own pairs need
+        steps = np.arange(0, LENGTH, 2 * depth)
+        needed = np.unique((alive[hit][:, None] + steps[None, :]).ravel())
+        pair = identifier[needed] * np.int64(size) + identifier[needed + depth]
+        _, rank = np.unique(pair, return_inverse=True)
+        identifier[needed] = rank
         depth *= 2
 
 
@@ -226,7 +237,7 @@ def _answer(bits: int):
                         bodies.append(np.int64(j - i).tobytes() + first[o].tobytes() + count[o].tobytes() + text)
                 else:
                     starts = _starts(first, count)
-                    name = identifiers(c.prefix_hash(data), starts, LENGTH)
+                    name = c.mix(c.span_hash(c.prefix_hash(data), starts, starts + LENGTH))
                     order, there, at = c.by_bucket(name, bits)
                     bodies = [name[order[i:j]].tobytes() + starts[order[i:j]].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield c.table(_MESSAGE, bucket=there.astype(np.int32), kind=[kind] * len(there), chunk=[row["chunk"]] * len(there), body=bodies)
@@ -319,11 +330,12 @@ def _tagged(verdicts: DataFrame, kinds) -> DataFrame:
     return verdicts.filter(F.col("kind").isin(*kinds)).select("chunk", F.concat(tags[F.col("kind")], F.col("reply")).alias("reply"))
 
 
-def _marked(corpus: DataFrame, crowd: int) -> DataFrame:
+def _marked(corpus: c.Corpus, crowd: int) -> DataFrame:
     """The packed corpus with the runs of repeated starts of every chunk as its replies."""
-    bits = max(4, min(22, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")).bit_length() + 1))
-    judged = c.stored(corpus.mapInArrow(_deal(bits), _MESSAGE_DDL).groupBy("bucket").applyInArrow(_judge(crowd), _VERDICT_DDL))
-    sent = c.with_replies(corpus, _tagged(judged, (_TEXT, _SINGLE))).mapInArrow(_answer(bits), _MESSAGE_DDL)
+    bits = corpus.message_bits()
+    dealt = corpus.dealt(corpus.rows.mapInArrow(_deal(bits), _MESSAGE_DDL), bits, "bucket")
+    judged = c.stored(dealt.groupBy("bucket").applyInArrow(_judge(crowd), _VERDICT_DDL))
+    sent = corpus.dealt(c.with_replies(corpus, _tagged(judged, (_TEXT, _SINGLE))).mapInArrow(_answer(bits), _MESSAGE_DDL), bits, "bucket", "kind")
     settled = sent.groupBy("bucket", "kind").applyInArrow(_settle, _VERDICT_DDL)
     return c.with_replies(corpus, _tagged(judged.unionByName(settled), (_WHOLE,)))
 
