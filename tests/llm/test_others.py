@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -109,6 +110,47 @@ class TestHtml:
         assert {r.text for r in got if r.page_id in (2, 3)} == {""}
         assert html_mincut.extract(pages(spark, [])).count() == 0
 
+    @pytest.mark.parametrize("page", ["<a " * 300_000, "<a " * 300_000 + ">", '<b">"' * 200_000, "<title>" * 150_000, "</title " * 120_000 + ">", "<div>" * 100_000 + "</section>" * 100_000, "<p class='" * 100_000 + ">", "&#" + "9" * 100_000 + ";", "<![CDATA[" * 100_000 + ">", "<" * 1_000_000])
+    def test_scanning_is_linear(self, page):
+        began = time.perf_counter()
+        html_mincut.main_text(page, html_mincut.PRIOR)
+        assert time.perf_counter() - began < 5
+
+    def test_quotes_hold_tag_ends_unless_they_stay_open(self):
+        text = lambda html: [b.text for b in html_mincut.blocks(html)]
+        assert text("<p title='a > b' id=\"c > d\">x</p>y") == ["x", "y"]
+        assert text("<p title='a>x</p><p title=\"b\">y</p>") == ["x", "y"]
+        assert text("a < b <p>c</p> d <e") == ["a < b", "c", "d <e"]
+        assert text("&#0000000065;&#x41;&#99999999999;&lt;p&gt;") == ["AA\ufffd<p>"]
+
+    def test_names_are_read_as_words(self):
+        keep = "<p>Body text of the matter, long enough to stand.</p>"
+        for name in ("commentary", "commentary-body", "incident-report"):
+            assert "Body text" in html_mincut.main_text(f"<article><div class='{name}'>{keep}</div></article>", html_mincut.PRIOR)
+        for name in ("comment", "comments", "commentList", "user-comments", "userComment", "comment_form"):
+            assert html_mincut.main_text(f"<article><p>Words of the writer, enough of them.</p><div class='{name}'>{keep}</div></article>", html_mincut.PRIOR) == "Words of the writer, enough of them."
+
+    def test_what_is_learned_from_marks_holds_without_them(self):
+        rng = random.Random(11)
+        line = lambda n: " ".join(word(rng) for _ in range(n))
+
+        def page(marked):
+            part = lambda tag, inside: f"<{tag if marked else 'div'}>{inside}</{tag if marked else 'div'}>"
+            body = [f"{line(rng.randint(15, 60))}." for _ in range(rng.randint(3, 8))]
+            menu = "".join(f"<li><a href=x>{line(1)}</a></li>" for _ in range(6))
+            return part("nav", f"<ul>{menu}</ul>") + part("article", "".join(f"<p>{x}</p>" for x in body)) + part("footer", f"<p><a href=y>{line(2)}</a> {line(2)}</p>"), "\n\n".join(body)
+
+        learned = [html_mincut.blocks(page(True)[0]) for _ in range(100)]
+        rows, labels = np.concatenate([html_mincut.features(p) for p in learned]), np.array([html_mincut.own_label(b) for p in learned for b in p])
+        weights = html_mincut.train(rows, labels)
+        assert len(html_mincut.FEATURES) == rows.shape[1] and not set(html_mincut.FEATURES) & set(html_mincut.MARKS)
+        plain = [page(False) for _ in range(100)]
+        assert sum(html_mincut.main_text(html, weights) == text for html, text in plain) >= 95
+
+    def test_an_id_that_very_many_rows_share(self, spark):
+        rows = spark.range(20_000).selectExpr("1L as page_id", "'u' as url", "concat('<article><p>Some text, number ', id % 3, ', that is long enough.</p></article><nav><a>x</a></nav>') as html")
+        assert html_mincut.fitted(rows).shape == html_mincut.PRIOR.shape
+
     def test_classifier_learns_from_marks(self):
         rng = random.Random(4)
         good = [html_mincut.blocks(f"<article><p>{' '.join(word(rng) for _ in range(30))}.</p></article><nav><a href=x>{word(rng)}</a></nav>") for _ in range(50)]
