@@ -326,11 +326,10 @@ HOT_ROWS, MOST_SHARES = 100_000, 64
 def hot_join(left: DataFrame, few: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """left joined with few (unique keys, and ``n``: how many rows of left a key meets), so that no hot key gathers in one task.
 
-    few is written to the shared folder and measured.  It is broadcast where it is below the session's
+    few must be a stored table; it is measured, and broadcast where it is below the session's
     broadcast threshold; otherwise its rows are repeated for each share of the rows of left (by the hash of left's first two
     columns that are no keys, so that a task that runs again deals its rows as before).
     """
-    few = stored(few)
     rows, most = few.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     few = few.drop("n")
     threshold = int(few.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())

@@ -6,13 +6,15 @@ import itertools
 import random
 import struct
 import time
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from mapsieve.llm import components, html_mincut, ordinal_quality, permutation_index, template_decontam, warc_zst
+from mapsieve.llm import components, html_mincut, ordinal_quality, permutation_index, queries, template_decontam, warc_zst
 from mapsieve.llm.common import stored
 from tests.llm.corpus import docs, empty, frame, word
 
@@ -48,6 +50,40 @@ class TestWarc:
         payloads = collections.Counter((h or "").encode() for _, _, h in self.rows)
         assert all(payloads[r.payload] for r in got if r.record_type == "response")
 
+    def test_one_response_for_rows_of_one_id_and_payload(self, spark):
+        rows = [(1, "b", "x" * 200), (1, "a", "x" * 200), (1, "a", "x" * 200), (2, "u", "x" * 200), (1, "c", "short"), (1, "c", "short"), (None, "u", "x" * 200), (None, "u", "y" * 200), (None, "v", "y" * 200)]
+        got = warc_zst.read(stored(warc_zst.write(pages(spark, rows))), True).collect()
+        assert len(got) == len(rows)
+        assert [(r.page_id, r.url, bytes(r.payload)) for r in got if r.record_type == "response" and r.payload_digest == hashlib.sha256(b"x" * 200).hexdigest()] == [(1, "a", b"x" * 200)]
+        assert sorted(r.url for r in got if r.record_type == "revisit" and r.refers_to == 1) == ["a", "b", "u", "u"]
+        assert {r.payload_bytes for r in got if r.record_type == "revisit"} == {200}
+        assert sum(r.record_type == "response" for r in got) == 1 + 2 + 2
+
+    @pytest.mark.parametrize("threshold", ["10485760", "-1"])
+    def test_one_payload_of_very_many_pages(self, spark, threshold):
+        rows = spark.range(300_000).selectExpr("id as page_id", "'u' as url", "if(id % 3 > 0, repeat('same ', 50), concat('page ', id div 6, repeat(' own', 30))) as html")
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            got = stored(warc_zst.read(stored(warc_zst.write(rows))))
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert {(r.record_type, r["count"]) for r in got.groupBy("record_type").count().collect()} == {("response", 50_001), ("revisit", 249_999)}
+        assert got.filter("record_type = 'revisit' and refers_to = 1 and payload_bytes = 250").count() == 199_999
+
+    def test_a_lost_response_is_an_error(self, spark):
+        digest = hashlib.sha256(b"x" * 200).hexdigest()
+        content = warc_zst.archive([warc_zst.information("a"), warc_zst.record(2, "u", b"x" * 200, digest, 1)])
+        with pytest.raises(Exception, match="no response for the revisit of page 1"):
+            warc_zst.read(spark.createDataFrame([(bytearray(content),)], "content binary")).collect()
+
+    def test_large_records_get_a_dictionary(self):
+        rng = random.Random(2)
+        records = [warc_zst.record(i, "u", (" ".join(word(rng) for _ in range(120_000))).encode(), "0" * 64, None) for i in range(10)]
+        assert sum(map(len, records)) > 2 * warc_zst.TRAIN_BYTES
+        content = warc_zst.archive(records)
+        assert struct.unpack_from("<I", content)[0] == warc_zst.DICT_FRAME and list(warc_zst.frames(content)) == records
+
     def test_dictionary_stands_in_front_and_frames_stand_alone(self):
         records = [warc_zst.record(i, "u", f"some payload {i} with much in common".encode() * 5, "0" * 64, None) for i in range(300)]
         content = warc_zst.archive(records)
@@ -404,3 +440,18 @@ def test_pipeline_stages(spark, tmp_path):
             assert sentencepiece_sa.decode(out).count() == len(before) and all(r.round_trip for r in after)
         now = out
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+TABLES = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_give_the_rows_of_their_sql(spark, name):
+    con = duckdb.connect()
+    for p in TABLES.glob("*.parquet"):
+        con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    found = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, str(TABLES))
+    assert sorted(found.columns) == sorted(got.columns)
+    assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r)) for r in got.select(*found.columns).collect())

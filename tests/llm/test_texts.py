@@ -300,6 +300,14 @@ class TestShards:
     def test_empty(self, spark):
         assert hash_ring.shard(empty(spark)).count() == 0
 
+    def test_one_key_of_very_many_rows(self, spark):
+        rows = spark.range(150_000).selectExpr("cast(if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as long) as doc_id", "if(id % 6 < 3, 'same', concat('text ', id)) as text")
+        got = hash_ring.shard(rows)
+        sizes = got.groupBy("shard").agg({"*": "count", "slot": "max"}).collect()
+        assert len(sizes) == 40 and all(r["count(1)"] == r["max(slot)"] + 1 == 3750 for r in sizes)
+        assert got.select("shard", "slot").distinct().count() == 150_000
+        assert got.groupBy("doc_id", "size", "text_crc32").count().exceptAll(rows.selectExpr("doc_id", "cast(length(text) + 16 as long) as size", "crc32(cast(text as binary)) as text_crc32").groupBy("doc_id", "size", "text_crc32").count()).count() == 0
+
 
 class TestSentencePiece:
     def test_against_the_library(self, table, rows):
