@@ -16,19 +16,27 @@ without punctuation between them) is one token: in "runs" an opening word is lit
 is a name unless it is one of FUNCTION.  Hits of such a reading align by its own tokens; coverage is
 counted in words of the item in every reading.
 
-Template windows with fewer than LITERAL literal tokens are not indexed, since placeholders say little.
-Items shorter than WIDTH have one window of their own length; those under LEAST tokens match nothing.
-
-The index of the benchmark is broadcast in blocks of at most BLOCK_BYTES of text; every document
-passes all blocks, one after the other, without a shuffle.
+Template windows with fewer than LITERAL literal tokens say little by their placeholders; they are
+looked up by their words alone, so they match where they are filled alike.  Items shorter than WIDTH
+have one window of their own length; one of fewer than LEAST words matches the documents that consist
+of its words and nothing else.
+
+Both sides become rows.  Benchmark items give a row for each window: hash, item, place, fillings.
+Documents give the same for those of their windows whose hash stands in a gate, a bit array of the
+benchmark's hashes of at most 2**MOST_GATE bits, which is all that is broadcast; a hash that passes
+it by chance meets nothing later.  Both tables are joined on the hash (by broadcast where the
+benchmark's part is small, otherwise with hot hashes dealt out), the hits of a document are aligned
+and checked, and the answers go back to the packed documents, whose text is not moved.
 
 Defined results: a null, empty or blank text is clean; null items are skipped; repeated items
-count once each; of equally covered items the one with the smallest id is named; repeated rows
-get equal answers; extra columns are ignored.
+count once each; of equally covered items the one with the smallest id is named (null last);
+repeated rows get equal answers; an empty benchmark finds nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,26 +49,30 @@ LEAST = 4
 LITERAL = 4
 SHARE = 0.5
 LONG = 16
-BLOCK_BYTES = 32 << 20
-#: The readings of a text, each with the space in which its shifts are counted.
+LEAST_GATE, MOST_GATE = 16, 27
+_SLICE_BITS = 16
+#: The readings of a text, each with the space in which its shifts are counted (template and literal have the same tokens).
 READINGS = {"template": 0, "literal": 0, "runs": 1, "names": 2}
-_STEP = np.uint64(0xA24BAED4963EE407)
+_STEP_NUMBER = 0xA24BAED4963EE407
+_STEP = np.uint64(_STEP_NUMBER)
 _NUM, _UNIT, _NAME = np.uint64(0x11), np.uint64(0x22), np.uint64(0x33)
 #: Measuring units, currencies and periods that stand for one another in a template.
 UNITS = (
-    "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
-    "g kg mg lb lbs oz ton tons tonne tonnes gram grams kilogram kilograms pound pounds ounce ounces "
-    "s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
-    "l ml cl liter liters litre litres gallon gallons pint pints cup cups "
-    "mph kmh km/h m/s hz khz mhz ghz w kw mw v a ohm j kj cal kcal kb mb gb tb "
-    "dollar dollars cent cents euro euros usd eur gbp yen percent"
-).split()
+    "mm", "cm", "m", "km", "in", "ft", "yd", "mi", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "meter", "meters", "metre", "metres",
+    "kilometer", "kilometers", "kilometre", "kilometres", "g", "kg", "mg", "lb", "lbs", "oz", "ton", "tons", "tonne", "tonnes", "gram", "grams", "kilogram",
+    "kilograms", "pound", "pounds", "ounce", "ounces", "s", "sec", "secs", "second", "seconds", "min", "mins", "minute", "minutes", "h", "hr", "hrs", "hour",
+    "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "l", "ml", "cl", "liter", "liters", "litre", "litres", "gallon", "gallons",
+    "pint", "pints", "cup", "cups", "mph", "kmh", "km/h", "m/s", "hz", "khz", "mhz", "ghz", "w", "kw", "mw", "v", "a", "ohm", "j", "kj", "cal", "kcal", "kb",
+    "mb", "gb", "tb", "dollar", "dollars", "cent", "cents", "euro", "euros", "usd", "eur", "gbp", "yen", "percent",
+)
 #: Words that are no names where they open a sentence.
 FUNCTION = (
-    "who whom whose what which when where why how if then else than the a an and but or nor so because while although though since until unless after before "
-    "for in on at by from with without to of as into over under about between during this that these those there here it its he she they we you i his her their our my your "
-    "is are was were be do does did has have had can could should would not no yes all both each every some any many much most more"
-).split()
+    "who", "whom", "whose", "what", "which", "when", "where", "why", "how", "if", "then", "else", "than", "the", "a", "an", "and", "but", "or", "nor", "so",
+    "because", "while", "although", "though", "since", "until", "unless", "after", "before", "for", "in", "on", "at", "by", "from", "with", "without", "to",
+    "of", "as", "into", "over", "under", "about", "between", "during", "this", "that", "these", "those", "there", "here", "it", "its", "he", "she", "they",
+    "we", "you", "i", "his", "her", "their", "our", "my", "your", "is", "are", "was", "were", "be", "do", "does", "did", "has", "have", "had", "can", "could",
+    "should", "would", "not", "no", "yes", "all", "both", "each", "every", "some", "any", "many", "much", "most", "more",
+)
 
 
 def _hash_of(word: str) -> np.uint64:
@@ -138,78 +150,84 @@ class Tokens:
                 self.readings[kind] = Reading(hashes[at], slot[at], np.append(at, len(start)), np.searchsorted(at, self.first))
 
 
-class Index:
-    """Windows of benchmark items, by hash."""
-
-    def __init__(self, items: list[tuple[object, str]]):
-        self.ids = [i for i, _ in items]
-        raw = [t.encode() for _, t in items]
-        offsets = np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
-        self.tokens = Tokens(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
-        self.size = np.diff(self.tokens.first)
-        self.files = {}
-        for kind in READINGS:
-            own_reading = self.tokens.readings[kind]
-            first, size = own_reading.first, np.diff(own_reading.first)
-            literals = np.append(0, np.cumsum(~own_reading.slot))
-            for width in sorted({min(WIDTH, int(n)) for n in size if n >= LEAST}):
-                hashes, fits = own_reading.windows(width)
-                at = np.flatnonzero(fits)
-                item = np.searchsorted(first, at, side="right") - 1
-                own = (size[item] >= WIDTH) if width == WIDTH else (size[item] == width)
-                own &= (literals[at + width] - literals[at] >= min(LITERAL, width)) | (kind == "literal")
-                at, item = at[own], item[own]
-                if not len(at):
-                    continue
-                order = np.lexsort((at, hashes[at]))
-                gate = np.zeros(1 << 20, dtype=bool)
-                gate[(hashes[at] >> np.uint64(44)).astype(np.int64)] = True
-                self.files[width, kind] = (hashes[at][order], item[order], at[order] - first[item[order]], gate)
-
-    def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
-        """(document, item, covered words) of the alignments that count; the best one of each document and item."""
-        doc = Tokens(data, offsets)
-        hits = []
-        for (width, kind), (known, item, place, gate) in self.files.items():
-            reading = doc.readings[kind]
-            hashes, fits = reading.windows(width)
-            maybe = np.flatnonzero(fits & gate[(hashes >> np.uint64(44)).astype(np.int64)]) if len(hashes) else np.zeros(0, dtype=np.int64)
-            low, high = np.searchsorted(known, hashes[maybe]), np.searchsorted(known, hashes[maybe], side="right")
-            many = high - low
-            if many.sum():
-                spot = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-                at = np.repeat(maybe, many)
-                d = np.searchsorted(reading.first, at, side="right") - 1
-                hits.append(np.stack([d, item[spot], np.full(len(spot), READINGS[kind]), at - reading.first[d] - place[spot], place[spot], np.full(len(spot), width)], 1))
-        if not hits:
-            return []
-        hits = np.concatenate(hits)
-        hits = hits[np.lexsort(hits.T[::-1])]
-        cut = np.flatnonzero(np.append(True, (hits[1:, :4] != hits[:-1, :4]).any(1)))
-        kinds = {space: kind for kind, space in reversed(READINGS.items())}
-        best: dict[tuple[int, int], int] = {}
-        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(hits)], strict=True):
-            d, k, space, shift = hits[i, :4].tolist()
-            reading = self.tokens.readings[kinds[space]]
-            at = int(reading.first[k])
-            covered = np.zeros(int(reading.first[k + 1]) - at, dtype=bool)
-            for place, width in hits[i:j, 4:].tolist():
-                covered[place : place + width] = True
-            n = int(np.diff(reading.word[at : at + len(covered) + 1])[covered].sum())
-            if (n >= SHARE * self.size[k] or n >= LONG) and n > best.get((d, k), 0) and self._consistent(doc, kinds[space], d, k, shift, np.flatnonzero(covered)):
-                best[d, k] = n
-        return [(d, k, n) for (d, k), n in best.items()]
-
-    def _consistent(self, doc: Tokens, kind: str, d: int, k: int, shift: int, covered: np.ndarray) -> bool:
-        """Whether each filling of the item stands for one filling of the document wherever it is covered."""
-        mine, theirs = self.tokens.readings[kind], doc.readings[kind]
-        at, to = mine.first[k] + covered, theirs.first[d] + covered + shift
-        slots = mine.slot[at]
-        at, to = at[slots], to[slots]
-        pairs = set()
-        for a, b, x, y in zip(mine.word[at].tolist(), mine.word[at + 1].tolist(), theirs.word[to].tolist(), theirs.word[to + 1].tolist(), strict=True):
-            pairs |= fillings(self.tokens.literal[a:b].tolist(), doc.literal[x:y].tolist())
-        return len({a for a, _ in pairs}) == len(pairs)
+_KINDS = tuple(READINGS)
+
+
+def _keys(reading: Reading, kind: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Join keys of the windows of a reading, which tell kinds and widths apart, and whether each window lies in one text."""
+    hashes, fits = reading.windows(width)
+    return c.mix(hashes ^ np.uint64((64 * kind + width) * _STEP_NUMBER & (1 << 64) - 1)), fits
+
+
+def item_windows(tokens: Tokens):
+    """(kind, width, keys, item numbers, first tokens) of the windows that are looked up, for every kind and width there is."""
+    for kind, name in enumerate(_KINDS):
+        reading = tokens.readings[name]
+        size = np.diff(reading.first)
+        literals = np.append(0, np.cumsum(~reading.slot))
+        for width in sorted({min(WIDTH, int(n)) for n in size if n and (n >= LEAST or name == "literal")}):
+            keys, fits = _keys(reading, kind, width)
+            at = np.flatnonzero(fits)
+            item = np.searchsorted(reading.first, at, side="right") - 1
+            own = (size[item] >= WIDTH) if width == WIDTH else (size[item] == width)
+            own &= (literals[at + width] - literals[at] >= min(LITERAL, width)) | (name == "literal")
+            yield kind, width, keys[at[own]], item[own], at[own]
+
+
+def text_windows(tokens: Tokens, wanted: list[tuple[int, int]], gate: np.ndarray):
+    """The same for texts: windows of the wanted kinds and widths whose key stands in the gate."""
+    shift = np.uint64(64 - (8 * len(gate)).bit_length() + 1)
+    for kind, width in wanted:
+        reading = tokens.readings[_KINDS[kind]]
+        keys, fits = _keys(reading, kind, width)
+        if width < LEAST:
+            fits = np.zeros(len(keys), dtype=bool)
+            fits[reading.first[:-1][np.diff(reading.first) == width]] = True
+        at = np.flatnonzero(fits)
+        spot = (keys[at] >> shift).astype(np.int64)
+        at = at[(gate[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0]
+        if len(at):
+            yield kind, width, keys[at], np.searchsorted(reading.first, at, side="right") - 1, at
+
+
+def body(tokens: Tokens, kind: int, width: int, at: int) -> bytes:
+    """The tokens of a window: which are slots, their numbers of words, and the literal hashes of the words."""
+    reading = tokens.readings[_KINDS[kind]]
+    word = reading.word[at : at + width + 1]
+    return reading.slot[at : at + width].astype(np.int32).tobytes() + np.diff(word).astype(np.int32).tobytes() + tokens.literal[word[0] : word[-1]].tobytes()
+
+
+def _opened(body: bytes, width: int) -> list[tuple[int, list]]:
+    """(slot, words) of every token of a window."""
+    slot, n = np.frombuffer(body, dtype=np.int32, count=2 * width).reshape(2, width).tolist()
+    words = np.frombuffer(body, dtype=np.uint64, offset=8 * width).tolist()
+    ends = np.cumsum(n).tolist()
+    return [(s, words[e - k : e]) for s, k, e in zip(slot, n, ends, strict=True)]
+
+
+def aligned(hits: list[tuple]) -> list[tuple]:
+    """(item, item_id, covered words, words) of the alignments that count among a text's hits; the best one of each item.
+
+    hits: (item, item_id, words of the item, kind, shift, spot, width, body of the item's window, body of the text's window).
+    """
+    best: dict[object, tuple] = {}
+    hits = sorted(hits, key=lambda h: (h[0], READINGS[_KINDS[h[3]]], h[4], h[5], h[6]))
+    for (item, _, shift), own in itertools.groupby(hits, key=lambda h: (h[0], READINGS[_KINDS[h[3]]], h[4])):
+        own = list(own)
+        n, end, covered, pairs = own[0][2], -1, 0, set()
+        for k, (_, _, _, _, _, spot, width, mine, theirs) in enumerate(own):
+            # a window adds nothing where the next one begins within what is covered, or at this one's place, and reaches further
+            if spot + width <= end or (k + 1 < len(own) and own[k + 1][5] <= max(end, spot)):
+                continue
+            for j, ((slot, a), (_, b)) in enumerate(zip(_opened(mine, width), _opened(theirs, width), strict=True)):
+                if spot + j >= end:
+                    covered += len(a)
+                    if slot:
+                        pairs |= fillings(a, b)
+            end = spot + width
+        if (covered >= SHARE * n or covered >= LONG) and covered > best.get(item, (0, 0, 0))[2] and len({a for a, _ in pairs}) == len(pairs):
+            best[item] = (item, own[0][1], covered, n)
+    return list(best.values())
 
 
 def fillings(mine: list, theirs: list) -> set[tuple[tuple, tuple]]:
@@ -223,66 +241,120 @@ def fillings(mine: list, theirs: list) -> set[tuple[tuple, tuple]]:
     return {((x,), (x,)) for x in mine[:left] + mine[len(mine) - right :]} | ({(a, b)} if a and b else set())
 
 
-def indexes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Index]:
-    """Indexes of (item_id, text), each over at most ``block_bytes`` of text (or one longer item)."""
-    out, held, size = [], [], 0
-    for r in benchmark.filter(F.col("text").isNotNull()).select("item_id", F.col("text").cast("string").alias("text")).orderBy("item_id", "text").toLocalIterator():
-        if held and size + len(r.text) > block_bytes:
-            out.append(Index(held))
-            held, size = [], 0
-        held.append((r.item_id, r.text))
-        size += len(r.text)
-    return [*out, Index(held)] if held else out
+_ITEMS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("width", pa.int32()), ("item", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32()), ("spot", pa.int32()), ("item_body", pa.binary())])
+_ITEMS_DDL = "key long, kind int, width int, item long, item_id long, words int, spot int, item_body binary"
+_TEXTS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("width", pa.int32()), ("chunk", pa.int64()), ("place", pa.int32()), ("at", pa.int32()), ("body", pa.binary())])
+_TEXTS_DDL = "key long, kind int, width int, chunk long, place int, at int, body binary"
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string()), ("n_items", pa.int32()), ("item_id", pa.int64()), ("covered", pa.int32()), ("coverage", pa.float64())])
+def _of_items(batches):
+    for batch in batches:
+        for a, b, data, offsets in c.text_parts(batch.column(2)):
+            tokens, names = Tokens(data, offsets), batch.column(0).slice(a, b - a).to_numpy()
+            ids, size = batch.column(1).slice(a, b - a), np.diff(tokens.first)
+            for kind, width, keys, item, at in item_windows(tokens):
+                n = len(keys)
+                first = tokens.readings[_KINDS[kind]].first
+                yield c.table(_ITEMS, key=keys.view(np.int64), kind=[kind] * n, width=[width] * n, item=names[item], item_id=ids.take(pa.array(item)), words=size[item].astype(np.int32), spot=(at - first[item]).astype(np.int32), item_body=[body(tokens, kind, width, i) for i in at.tolist()])
 
 
-def _scan(shared):
+def _of_texts(wanted, gate):
     def run(batches):
-        index = shared.value
-        for batch in batches:
-            for a, b, data, offsets in c.text_parts(batch.column(1)):
-                n, item, covered, coverage = (batch.column(i).slice(a, b - a).to_pylist() for i in range(2, 6))
-                found: dict[int, list] = {}
-                for d, k, m in index.matches(data, offsets):
-                    found.setdefault(d, []).append((-m / int(index.size[k]), index.ids[k], m))
-                for d, all_found in found.items():
-                    share, name, m = min(all_found)
-                    n[d] += len(all_found)
-                    if -share > coverage[d]:
-                        item[d], covered[d], coverage[d] = name, m, -share
-                text = batch.column(1).slice(a, b - a)
-                yield c.table(_FOUND, doc_id=batch.column(0).slice(a, b - a), text=text.cast(pa.large_string()), n_items=n, item_id=item, covered=covered, coverage=coverage)
+        for row in c.rows_of(batches):
+            _, _, offsets, data = c.unpacked(row)
+            tokens = Tokens(data, offsets)
+            for kind, width, keys, doc, at in text_windows(tokens, wanted, gate.value):
+                n = len(keys)
+                first = tokens.readings[_KINDS[kind]].first
+                yield c.table(_TEXTS, key=keys.view(np.int64), kind=[kind] * n, width=[width] * n, chunk=[row["chunk"]] * n, place=doc.astype(np.int32), at=(at - first[doc]).astype(np.int32), body=[body(tokens, kind, width, i) for i in at.tolist()])
+
+    return run
+
+
+def _gate_slices(bits: int):
+    out = pa.schema([("slice", pa.int32()), ("held", pa.binary())])
+
+    def run(key, rows):
+        spot = rows.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+        held = np.zeros(1 << min(bits, _SLICE_BITS), dtype=bool)
+        held[(spot & np.uint64(len(held) - 1)).astype(np.int64)] = True
+        return pa.table({"slice": pa.array([key[0].as_py()], type=pa.int32()), "held": pa.array([np.packbits(held, bitorder="little").tobytes()], type=pa.binary())}, schema=out)
 
     return run
 
 
+def gate_of(items: DataFrame) -> np.ndarray:
+    """The bits of all keys of a windows table: about 16 for each key, at most 2**MOST_GATE."""
+    bits = max(LEAST_GATE, min(MOST_GATE, (16 * items.count()).bit_length()))
+    gate = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    number = F.shiftrightunsigned("key", 64 - bits + _SLICE_BITS).cast("int") if bits > _SLICE_BITS else F.lit(0)
+    for r in items.select("key", number.alias("slice")).distinct().groupBy("slice").applyInArrow(_gate_slices(bits), "slice int, held binary").collect():
+        gate[r.slice * len(r.held) : (r.slice + 1) * len(r.held)] = np.frombuffer(r.held, dtype=np.uint8)
+    return gate
+
+
+_FOUND = np.dtype([("place", "<i8"), ("n_items", "<i4"), ("known", "<i4"), ("item_id", "<i8"), ("covered", "<i8"), ("coverage", "<f8")])
+
+
+def named(found: list[tuple]) -> tuple:
+    """(item_id, covered, coverage) of the most covered item among aligned ones, of equals that with the smallest id, null last."""
+    share, _, item_id, covered = min((-m / n, (name is None, name or 0), name, m) for _, name, m, n in found)
+    return item_id, covered, -share
+
+
+def _align(key, rows):
+    columns = ("item", "item_id", "words", "kind", "at", "spot", "width", "item_body", "body")
+    hits = [(*h[:4], h[4] - h[5], *h[5:]) for h in zip(*(rows.column(x).to_pylist() for x in columns), strict=True)]
+    found = aligned(hits)
+    reply = []
+    if found:
+        item_id, covered, coverage = named(found)
+        reply = [np.array([(key[1].as_py(), len(found), item_id is not None, item_id or 0, covered, coverage)], dtype=_FOUND).tobytes()]
+    return pa.table({"chunk": pa.array([key[0].as_py()] * len(reply), type=pa.int64()), "reply": pa.array(reply, type=pa.binary())})
+
+
+def _marked(corpus: c.Corpus, benchmark: DataFrame) -> DataFrame:
+    """The packed corpus with what was found in every chunk's texts as its replies."""
+    keys = ["key", "kind", "width"]
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()).distinct()
+    items = c.stored(rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").mapInArrow(_of_items, _ITEMS_DDL))
+    wanted = sorted((r.kind, r.width) for r in items.select("kind", "width").distinct().collect())
+    gate = corpus.rows.sparkSession.sparkContext.broadcast(gate_of(items))
+    texts = c.stored(corpus.rows.mapInArrow(_of_texts(wanted, gate), _TEXTS_DDL))
+    met = items.join(texts.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    hits = c.hot_join(texts, c.stored(met), keys, "inner")
+    return c.with_replies(corpus, hits.groupBy("chunk", "place").applyInArrow(_align, "chunk long, reply binary"))
+
+
+_SCAN = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.bool_()), ("n_items", pa.int32()), ("item_id", pa.int64()), ("covered", pa.int32()), ("coverage", pa.float64())])
+_SCAN_DDL = "doc_id long, contaminated boolean, n_items int, item_id long, covered int, coverage double"
+
+
+def _replied(row: dict) -> np.ndarray:
+    return np.frombuffer(b"".join(x.to_pybytes() for x in row["replies"]), dtype=_FOUND)
+
+
+def _tell(batches):
+    for row in c.rows_of(batches):
+        ids, known, _, _ = c.unpacked(row)
+        out = np.zeros(len(ids), dtype=_FOUND)
+        found = _replied(row)
+        out[found["place"]] = found
+        yield c.table(_SCAN, doc_id=c.ids_column(ids, known), contaminated=out["n_items"] > 0, n_items=out["n_items"].copy(), item_id=pa.array(out["item_id"], mask=out["known"] == 0), covered=out["covered"].astype(np.int32), coverage=out["coverage"].copy())
+
+
+def _clean_rows(batches):
+    for row in c.rows_of(batches):
+        stays = np.ones(len(row["ids"]) // 8, dtype=bool)
+        stays[_replied(row)["place"]] = False
+        yield c.rows_at(row, np.flatnonzero(stays))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, contaminated, n_items, item_id, covered, coverage) of every row of (doc_id, text) against (item_id, text)."""
-    ddl = "doc_id long, text string, n_items int, item_id long, covered int, coverage double"
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("covered"), F.lit(0.0).alias("coverage"))
-    for index in indexes(benchmark):
-        out = out.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(index)), ddl)
-    return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "covered", "coverage")
+    return _marked(c.packed(docs), benchmark).mapInArrow(_tell, _SCAN_DDL)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, in which no item of the benchmark was found."""
-    schema = docs.schema
-    at = schema.fieldNames().index("text")
-
-    def keep(shared):
-        def run(batches):
-            for batch in batches:
-                stays = np.ones(batch.num_rows, dtype=bool)
-                for a, _, data, offsets in c.text_parts(batch.column(at)):
-                    for d, _, _ in shared.value.matches(data, offsets):
-                        stays[a + d] = False
-                yield batch.filter(pa.array(stays))
-
-        return run
-
-    for index in indexes(benchmark):
-        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(index)), schema)
-    return docs
+    return c.unpacked_rows(_marked(c.packed(docs, whole=True), benchmark).mapInArrow(_clean_rows, c.ROWS_DDL), docs.schema)

@@ -286,10 +286,32 @@ class TestDecontamination:
     def tables(self, spark, rows):
         return frame(spark, rows), spark.createDataFrame([(i, t, "x") for i, t in self.items], "item_id long, text string, rank string")
 
-    @pytest.mark.parametrize("block", [template_decontam.BLOCK_BYTES, 50])
-    def test_cases(self, spark, block, monkeypatch):
-        monkeypatch.setattr(template_decontam, "BLOCK_BYTES", block)
-        monkeypatch.setattr(template_decontam.indexes, "__defaults__", (block,))
+    def matches(self, items, texts):
+        """The operator's steps without tables: (text number, item number, covered words)."""
+        packed = lambda all_texts: (np.frombuffer(b"".join(x.encode() for x in all_texts), dtype=np.uint8), np.append(0, np.cumsum([len(x.encode()) for x in all_texts])))
+        mine, theirs = template_decontam.Tokens(*packed([t for _, t in items])), template_decontam.Tokens(*packed(texts))
+        size, known, hits = np.diff(mine.first), collections.defaultdict(list), collections.defaultdict(list)
+        body, kinds = template_decontam.body, list(template_decontam.READINGS)
+        for kind, width, keys, item, at in template_decontam.item_windows(mine):
+            for key, k, i in zip(keys.tolist(), item.tolist(), at.tolist(), strict=True):
+                known[key, kind, width].append((k, i))
+        for kind, width, keys, doc, at in template_decontam.text_windows(theirs, sorted({x[1:] for x in known}), np.full(1 << 13, 255, dtype=np.uint8)):
+            for key, d, j in zip(keys.tolist(), doc.tolist(), at.tolist(), strict=True):
+                for k, i in known.get((key, kind, width), ()):
+                    spot = i - int(mine.readings[kinds[kind]].first[k])
+                    hits[d].append((k, items[k][0], int(size[k]), kind, j - int(theirs.readings[kinds[kind]].first[d]) - spot, spot, width, body(mine, kind, width, i), body(theirs, kind, width, j)))
+        return [(d, k, n) for d, own in hits.items() for k, _, n, _ in template_decontam.aligned(own)]
+
+    @pytest.mark.parametrize("threshold", ["10485760", "-1"])
+    def test_cases(self, spark, threshold):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            self.check_cases(spark)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+    def check_cases(self, spark):
         long = " ".join(word(random.Random(3)) for _ in range(30_000))
         cases = {
             10: ("Intro. If Mary has 7 apples and gives 5 miles to Tom then Mary walks home", 1),
@@ -303,7 +325,9 @@ class TestDecontamination:
             18: ("well a b C, d f.", None),
             21: ("well a b c, d e.", 5),
             19: (long + " zap qux wob lim tor pin dag fex mul rod sip tan vot wex yaz " + long, 2),
-            20: ("short one", None),
+            20: ("Short, one!", 3),
+            22: ("a short one", None),
+            23: ("((((((((((((zap)))))))))))) qux wob lim tor pin dag fex mul", 2),
         }
         rows = [(i, t) for i, (t, _) in cases.items()] + [(13, cases[13][0]), (None, cases[10][0])]
         documents, benchmark = self.tables(spark, rows)
@@ -321,8 +345,7 @@ class TestDecontamination:
         assert not template_decontam.scan(documents, benchmark.limit(0)).first().contaminated
 
     def found(self, item, text):
-        data = text.encode()
-        return [n for _, _, n in template_decontam.Index([(1, item)]).matches(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))]
+        return [n for _, _, n in self.matches([(1, item)], [text])]
 
     def test_names_that_open_sentences(self):
         item = "Tom has 3 apples. Ann has 5 pears. Who has more?"
@@ -366,11 +389,61 @@ class TestDecontamination:
                 a = rng.randint(0, 10)
                 words[10:10] = own[a : a + rng.choice([5, 9, 10, 20])]
             texts.append(" ".join(words))
-        index = template_decontam.Index(items)
-        for text in texts:
-            data = text.encode()
-            got = {(k, n) for _, k, n in index.matches(np.frombuffer(data, dtype=np.uint8), np.array([0, len(data)]))}
-            assert got == set(self.plain(items, text.split()))
+        found = collections.defaultdict(set)
+        for d, k, n in self.matches(items, texts):
+            found[d].add((k, n))
+        for d, text in enumerate(texts):
+            assert found[d] == set(self.plain(items, text.split()))
+        got = template_decontam.scan(frame(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {r.doc_id: r.n_items for r in got} == {d: len(found[d]) for d in range(len(texts))}
+
+    def test_templates_against_plain_search(self, spark):
+        """Items with numbers and one-word names inside a sentence, refilled: what the rules say, checked place by place."""
+        rng = random.Random(13)
+        vocabulary = ["x" + word(rng) for _ in range(30)]
+        names = ["Ann", "Bob", "Eva", "Tom"]
+
+        def sentence():
+            return [rng.choice(vocabulary) if rng.random() < 0.75 else rng.choice(names) if rng.random() < 0.5 else str(rng.randint(1, 9)) for _ in range(18)]
+
+        items = [(i, " ".join(["start", *sentence()])) for i in range(15)]
+        texts = []
+        for i in range(150):
+            words = ["begin", *sentence(), *sentence()]
+            if i % 2:
+                own = rng.choice(items)[1].split()
+                swap = {w: rng.choice(names) if w in names else str(rng.randint(1, 99)) for w in own if w in names or w.isdigit()}
+                if i % 3 == 0:
+                    swap = {w: w for w in swap}
+                own = [swap.get(w, w) for w in own]
+                if i % 5 == 0:
+                    at = rng.randrange(len(own))
+                    own[at] = rng.choice(names)
+                words[10:10] = own[rng.randint(0, 6) :]
+            texts.append(" ".join(words))
+        got = collections.defaultdict(set)
+        for d, k, n in self.matches(items, texts):
+            got[d].add((k, n))
+        kind = lambda w: "#" if w.isdigit() else "@" if w in names else w
+        for d, text in enumerate(texts):
+            theirs, want = text.split(), set()
+            for k, (_, t) in enumerate(items):
+                mine, best = t.split(), 0
+                for shift in range(-len(mine), len(theirs)):
+                    covered = set()
+                    for p in range(max(0, -shift), min(len(mine), len(theirs) - shift) - 7):
+                        a, b = mine[p : p + 8], theirs[p + shift : p + shift + 8]
+                        if a == b or (list(map(kind, a)) == list(map(kind, b)) and sum(map(str.islower, a)) >= 4):
+                            covered |= set(range(p, p + 8))
+                    pairs = {(mine[p], theirs[p + shift]) for p in covered if kind(mine[p]) in "#@"}
+                    if len(covered) >= 9.5 and len({a for a, _ in pairs}) == len(pairs):
+                        best = max(best, len(covered))
+                if best:
+                    want.add((k, best))
+            runs = {(k, n) for k, n in got[d] if (k, n) not in want}
+            assert want <= got[d] | {(k, n) for k, n in want for m, more in got[d] if m == k and more >= n}
+            # readings that join runs of names may find more, never in a text that holds no item
+            assert d % 2 or not runs, (d, runs)
 
     def plain(self, items, words):
         for k, (_, t) in enumerate(items):
