@@ -1,19 +1,24 @@
 """Approximate nearest neighbours with a permutation index.
 
-A bounded sample of rows gives PIVOTS pivots, which the driver holds.  A vector is represented by
-the order of all pivots by nearness.  Vectors are packed into blocks; a block's index posts its
-rows in inverted files, one for each pivot, under the POSTED pivots nearest to them.  A query reads
-the files of its own POSTED nearest pivots, ranks the rows found there by Spearman's footrule of
-the two orders and reranks the best SHARE of the block by Euclidean distance.
+A bounded sample of vectors gives PIVOTS pivots, which the driver holds.  A vector is represented by
+the order of all pivots by nearness.  Every vector is posted in the inverted files of the POSTED pivots
+nearest to it, and a query goes to the files of the ASKED pivots nearest to it and to no others.  In a
+file the query ranks what is posted there by Spearman's footrule of the two orders and reranks the best
+(SHARE of each block of a file, LEAST at least) by Euclidean distance.
 
-Every block of queries meets every block of rows, as rows of an equi-join on the place that a
-block of rows was dealt to, so a task holds one block of each at a time.  Each pair of blocks
-yields at most k rows a query, and ranks are taken over a query's rows alone.
+Files and queries are blocks of rows, joined on the pivot by a sort-merge join, so a task holds one
+block of each at a time.  A file of more than FILE_ROWS vectors, or one asked by more than
+FILE_QUERIES queries, is split into shares, and every share of one side meets every share of the other.
+Only counts for each pivot reach the driver.
+
+Equal vectors are one posting, with their k + 1 smallest ids (no query needs more), so a vector that a
+third of all rows share fills neither a file nor a rerank list.  Queries with equal vectors are asked once.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
 nor do null vec_ids and vectors of another length than the commonest one (the shortest of equally
 common ones); equal distances rank by vec_id; with fewer than k candidates all are returned; rows
-of a repeated vec_id are one candidate each by its smallest distance; an empty table gives no rows.
+of a repeated vec_id are one candidate each by its smallest distance, and are queries together; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,24 +31,34 @@ from pyspark.sql import functions as F
 from mapsieve.llm import common as c
 
 PIVOTS = 256
-POSTED = 20
-SHARE = 0.06
-LEAST = 100
-BLOCK_ROWS = 4096
-QUERY_ROWS = 512
-_BLOCK = "n int, ids binary, ranks binary, vectors binary"
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+POSTED, ASKED = 2, 96
+SHARE, LEAST = 0.06, 24
+BLOCK_ROWS, QUERY_ROWS = 4096, 512
+FILE_ROWS, FILE_QUERIES = 1 << 16, 1 << 14
+#: Rows that a task holds before it deals them to files, and found rows that it holds before it merges them.
+_HELD, _FOUND_ROWS = 1 << 15, 1 << 19
+_FOUND = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+_BLOCK = pa.schema([("pivot", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("many", pa.binary()), ("vectors", pa.binary())])
+_BLOCK_DDL = "pivot int, n long, ids binary, many binary, vectors binary"
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<double>) of the vectors that take part."""
+    """(vec_id, embedding) of the vectors that take part; components keep their type where they are float, else are double."""
     v = F.col("embedding")
+    kind = "array<float>" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     sound = v.isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast("array<double>").alias("embedding")).filter(sound)
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.cast(kind).alias("embedding")).filter(sound)
     sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return rows.filter(F.size("embedding") == (sizes[0].d if sizes else 0))
 
 
+def classes(rows: DataFrame, ids: int) -> DataFrame:
+    """(class, ids array, embedding): the distinct vectors with at most so many of their smallest ids."""
+    rank = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    few = rows.distinct().withColumn("rank", rank).filter(F.col("rank") <= ids)
+    return few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.xxhash64("embedding").alias("class"), "ids", "embedding")
+
+
 def ranks(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Place of every pivot in each vector's order, nearest first, ties to the earlier pivot (at most 256 pivots)."""
     near = (pivots * pivots).sum(1) - 2 * vectors @ pivots.T
@@ -53,29 +68,39 @@ def ranks(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(pivots: np.ndarray, rows: int):
-    """Blocks of rows sorted by vec_id; rows of one Arrow batch after another fill them."""
+def _post(pivots: np.ndarray, most: int, rows: int, kind: str):
+    """Blocks for the files of the ``most`` pivots nearest to each vector; rows: (ids array, embedding)."""
     dim = pivots.shape[1]
-    schema = pa.schema([("n", pa.int32()), ("ids", pa.binary()), ("ranks", pa.binary()), ("vectors", pa.binary())])
 
     def run(batches):
         held, size = [], 0
 
-        def flush(take):
-            ids, v = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            by = np.argsort(ids[:take], kind="stable")
-            held[:] = [(ids[take:], v[take:])]
-            return c.table(schema, n=[len(by)], ids=[ids[by].tobytes()], ranks=[ranks(v[by], pivots).tobytes()], vectors=[v[by].tobytes()])
+        def flush():
+            nonlocal held, size
+            many, ids, v = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2))
+            held, size = [], 0
+            at = np.cumsum(many) - many
+            pivot = np.argsort(ranks(v.astype(np.float64), pivots), axis=1, kind="stable")[:, :most]
+            order = np.argsort(pivot.ravel(), kind="stable")
+            there, begin = np.unique(pivot.ravel()[order], return_index=True)
+            out = []
+            for p, i, j in zip(there.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+                for low in range(i, j, rows):
+                    own = order[low : min(j, low + rows)] // most
+                    spot = np.arange(int(many[own].sum())) - np.repeat(np.cumsum(many[own]) - many[own], many[own]) + np.repeat(at[own], many[own])
+                    out.append((p, len(own), ids[spot].tobytes(), many[own].astype(np.int32).tobytes(), v[own].tobytes()))
+            for i in range(0, len(out), 64):
+                yield c.table(_BLOCK, **{name: [x[k] for x in out[i : i + 64]] for k, name in enumerate(_BLOCK.names)})
 
         for batch in batches:
             if batch.num_rows:
-                held.append((batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, dim)))
+                lists, v = batch.column(0), batch.column(1)
+                held.append((np.diff(lists.offsets.to_numpy()).astype(np.int64), lists.flatten().to_numpy(), v.flatten().to_numpy().astype(kind).reshape(-1, dim)))
                 size += batch.num_rows
-                while size >= rows:
-                    yield flush(rows)
-                    size -= rows
+                if size >= _HELD:
+                    yield from flush()
         if size:
-            yield flush(size)
+            yield from flush()
 
     return run
 
@@ -85,56 +110,115 @@ def footrule(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.maximum(b, a) - np.minimum(b, a)).sum(1, dtype=np.uint32)
 
 
-def _search(dim: int, pivots: int, k: int):
+def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest ids of every query, each id by its smallest score; ties to the smaller id."""
+    order = np.lexsort((score, ids, query))
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.append(True, (query[1:] != query[:-1]) | (ids[1:] != ids[:-1]))[: len(query)]
+    query, ids, score = query[first], ids[first], score[first]
+    order = np.lexsort((ids, score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    begin = np.flatnonzero(np.append(True, query[1:] != query[:-1])[: len(query)])
+    place = np.arange(len(query)) - np.repeat(begin, np.diff(np.append(begin, len(query))))
+    return query[place < k], ids[place < k], score[place < k]
+
+
+def _search(pivots: np.ndarray, k: int, kind: str):
+    dim = pivots.shape[1]
+
     def read(row, name):
-        n = row[f"{name}n"]
-        return n, np.frombuffer(row[f"{name}ids"], dtype=np.int64), np.frombuffer(row[f"{name}ranks"], dtype=np.uint8).reshape(n, pivots), np.frombuffer(row[f"{name}vectors"], dtype=np.float64).reshape(n, dim)
+        many = np.frombuffer(row[f"{name}many"], dtype=np.int32)
+        v = np.frombuffer(row[f"{name}vectors"], dtype=kind).reshape(-1, dim).astype(np.float64)
+        return many, np.frombuffer(row[f"{name}ids"], dtype=np.int64), ranks(v, pivots), v
 
     def run(batches):
+        found, size = [], 0
+        last: dict[str, tuple] = {}
+
+        def kept(row, name):
+            # the join brings the same block several times in a row
+            key = row[f"{name}ids"].to_pybytes()
+            if name not in last or last[name][0] != key:
+                last[name] = key, read(row, name)
+            return last[name][1]
+
+        def merged():
+            return best_of(*(np.concatenate([x[i] for x in found]) for i in range(3)), k)
+
         for row in c.rows_of(batches):
-            n, ids, place, v = read(row, "")
-            _, q_ids, q_place, q_v = read(row, "q_")
-            posted, pivot = np.nonzero(place < POSTED)
-            by = np.argsort(pivot, kind="stable")
-            files = np.split(posted[by], np.searchsorted(pivot[by], np.arange(1, pivots)))
-            most = max(LEAST, k, int(SHARE * n))
-            out = []
-            for q_id, q_rank, q in zip(q_ids.tolist(), q_place, q_v, strict=True):
-                read_rows = np.zeros(n, dtype=bool)
-                for p in np.flatnonzero(q_rank < POSTED):
-                    read_rows[files[p]] = True
-                read_rows &= ids != q_id
-                own = np.flatnonzero(read_rows)
-                if len(own) < most:
-                    own = np.flatnonzero(ids != q_id)
+            many, ids, place, v = kept(row, "")
+            _, names, q_place, q_v = kept(row, "q_")
+            at = np.cumsum(many) - many
+            most = max(LEAST, k, int(SHARE * len(v)))
+            for name, q_rank, q in zip(names.tolist(), q_place, q_v, strict=True):
+                own = np.arange(len(v))
                 if len(own) > most:
-                    far = np.minimum(footrule(q_rank, place[own]), 65535).astype(np.uint16)
-                    own = own[np.argsort(far, kind="stable")[:most]]
+                    far = footrule(q_rank, place)
+                    own = np.argpartition(far, most - 1)[:most]
+                    # all that tie with the last stay, so that the order of a block's rows does not matter
+                    own = np.flatnonzero(far <= far[own].max())
                 score = np.sqrt(((v[own] - q) ** 2).sum(1))
-                best = np.lexsort((ids[own], score))
-                _, first = np.unique(ids[own][best], return_index=True)
-                best = best[np.sort(first)[:k]]
-                out.append((np.full(len(best), q_id), ids[own][best], score[best]))
-            yield pa.RecordBatch.from_pydict({name: np.concatenate([x[i] for x in out]) for i, name in enumerate(_FOUND.names)}, schema=_FOUND)
+                if len(own) > k:
+                    stays = score <= np.partition(score, k - 1)[k - 1]
+                    own, score = own[stays], score[stays]
+                spot = np.arange(int(many[own].sum())) - np.repeat(np.cumsum(many[own]) - many[own], many[own]) + np.repeat(at[own], many[own])
+                found.append((np.full(len(spot), name), ids[spot], np.repeat(score, many[own])))
+                size += len(spot)
+            if size >= _FOUND_ROWS:
+                found = [merged()]
+                size = len(found[0][0])
+                if size >= _FOUND_ROWS // 2:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, found[0])), schema=_FOUND)
+                    found, size = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, merged())), schema=_FOUND)
 
     return run
 
 
+def _shares(blocks: DataFrame, most: int) -> dict[int, int]:
+    """Pivots with more than ``most`` rows in their blocks, and into how many shares they are split."""
+    return {r.pivot: -(-r.n // most) for r in blocks.groupBy("pivot").agg(F.sum("n").alias("n")).filter(F.col("n") > most).collect()}
+
+
+def _paired(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """Every block of a file with every block of queries that ask it."""
+    split = [_shares(files, FILE_ROWS), _shares(asked, FILE_QUERIES)]
+
+    def of(own: dict[int, int]):
+        return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in own.items() for x in kv)), F.col("pivot")), F.lit(1)) if own else F.lit(1)
+
+    def dealt(blocks, own, other):
+        mine = F.pmod(F.xxhash64("ids"), of(split[own])).cast("int").alias(f"share_{own}")
+        theirs = F.explode(F.sequence(F.lit(0), of(split[other]).cast("int") - 1)).alias(f"share_{other}")
+        return blocks.select("*", mine, theirs)
+
+    queries = dealt(asked, 1, 0)
+    queries = queries.select("pivot", "share_0", "share_1", *(F.col(x).alias(f"q_{x}") for x in ("n", "ids", "many", "vectors")))
+    return dealt(files, 0, 1).join(queries.hint("merge"), ["pivot", "share_0", "share_1"])
+
+
 def search(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """The k nearest others of each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score."""
     rows = c.stored(usable(rows))
-    spark, n = rows.sparkSession, rows.count()
-    if n < 2:
+    spark = rows.sparkSession
+    kind = "f4" if rows.schema["embedding"].dataType.simpleString() == "array<float>" else "f8"
+    # one more than asked for, as a query finds itself
+    own = c.stored(classes(rows, k + 1))
+    sample = own.select("class", "embedding").orderBy("class").limit(PIVOTS).collect()
+    if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(8 * PIVOTS).collect()
-    pivots = np.array(list(dict.fromkeys(tuple(r.embedding) for r in sample))[:PIVOTS])
-    places = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK_ROWS)))
-    blocks = rows.repartition(places).mapInArrow(_blocks(pivots, BLOCK_ROWS), _BLOCK).withColumn("place", F.pmod(F.xxhash64("ids"), F.lit(places)))
-    queries = rows.filter(F.col("vec_id") % every == 0)
-    parts = max(1, -(-queries.count() // QUERY_ROWS))
-    asked = queries.repartition(parts).mapInArrow(_blocks(pivots, QUERY_ROWS), _BLOCK).select(*(F.col(x).alias(f"q_{x}") for x in ("n", "ids", "ranks", "vectors")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))).alias("place"))
-    pairs = blocks.join(asked.hint("shuffle_hash"), "place").drop("place")
-    found = pairs.mapInArrow(_search(pivots.shape[1], len(pivots), k), "query_id long, vec_id long, score double")
+    pivots = np.array([r.embedding for r in sample], dtype=np.float64)
+    queries = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding", F.xxhash64("embedding").alias("class")).distinct()
+    asking = queries.select(F.array("class").alias("ids"), "embedding").distinct()
+    files = c.stored(own.select("ids", "embedding").mapInArrow(_post(pivots, POSTED, BLOCK_ROWS, kind), _BLOCK_DDL))
+    asked = c.stored(asking.mapInArrow(_post(pivots, ASKED, QUERY_ROWS, kind), _BLOCK_DDL))
+    found = _paired(files, asked).mapInArrow(_search(pivots, k + 1, kind), "query long, vec_id long, score double")
+    found = found.groupBy("query", "vec_id").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
+    found = found.withColumn("rank", rank).filter(F.col("rank") <= k + 1).drop("rank")
+    # a query's id is left out wherever it was found, and ranks are counted again
+    found = queries.select(F.col("vec_id").alias("query_id"), F.col("class").alias("query")).join(found, "query").filter("query_id <> vec_id")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

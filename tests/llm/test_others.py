@@ -265,6 +265,43 @@ class TestNeighbours:
             for _, i, s in found:
                 assert s == pytest.approx(np.linalg.norm(np.float32(rows[q][1]).astype(float) - np.float32(rows[i][1]).astype(float)), rel=1e-12)
 
+    def recall(self, spark, rows, every=100):
+        got = collections.defaultdict(set)
+        for r in permutation_index.search(self.table(spark, rows), every).collect():
+            got[r.query_id].add((r.vec_id, round(r.score, 9)))
+        hits = total = 0
+        for q, a in rows:
+            if q % every == 0:
+                far = sorted((round(float(np.sqrt(((np.float32(a).astype(float) - np.float32(b).astype(float)) ** 2).sum())), 9), i) for i, b in rows if i != q)[:10]
+                hits += sum((i, d) in got[q] for d, i in far)
+                total += len(far)
+        return hits / total
+
+    @pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables here")
+    @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+    def test_recall_on_the_tables(self, spark, sf):
+        rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+        assert self.recall(spark, rows) >= 0.9
+
+    def test_recall_on_clusters_and_copies(self, spark):
+        rng = np.random.default_rng(21)
+        centers, rows = rng.normal(size=(12, 24)), []
+        for i in range(3000):
+            rows.append((i, [float(x) for x in centers[i % 12] + 0.05 * rng.normal(size=24)]))
+        assert self.recall(spark, rows) >= 0.9
+        rows = [(i, rows[1][1] if i % 3 == 0 else v) for i, v in rows]
+        assert self.recall(spark, rows) >= 0.9
+
+    def test_hot_files_are_split(self, spark, monkeypatch):
+        rng = np.random.default_rng(22)
+        rows = [(i, [float(x) for x in rng.normal(size=16)]) for i in range(1500)]
+        ask = lambda: sorted(map(tuple, permutation_index.search(self.table(spark, rows), 20).collect()))
+        whole = ask()
+        monkeypatch.setattr(permutation_index, "FILE_ROWS", 7)
+        monkeypatch.setattr(permutation_index, "FILE_QUERIES", 3)
+        split = ask()
+        assert len(split) == len(whole) and np.mean([a == b for a, b in zip(whole, split, strict=True)]) > 0.97
+
     def test_odd_vectors_and_ties(self, spark):
         good = [(0, [1.0, 0.0, 0.0]), (100, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (7, [0.0, 1.0, 0.0])]
         bad = [(200, None), (300, [0.0, 0.0, 0.0]), (400, [float("nan"), 1.0, 0.0]), (500, [float("inf"), 1.0, 0.0]), (600, [None, 1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (700, [1.0, 2.0]), (800, [])]
