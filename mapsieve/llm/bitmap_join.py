@@ -2,18 +2,23 @@
 
 1. A document's set is its distinct WIDTH-word shingles as 64-bit hashes.  Documents with equal
    sets fall into one class, represented by the smallest doc_id; classes are what is joined.
-2. Every class is dealt to tiles by KEYS keys, each a pair of minima of the set under two hash
-   functions.  Two sets with similarity s miss each other in all tiles with probability
-   (1 - s*s)**KEYS, below 3e-11 at 0.8.
+2. The shingles of all classes are counted: chunks send them to hash buckets, which answer with the
+   number of classes that hold each (counts above 64 in steps).  Every set is put in one order,
+   rarest shingles first, ties by hash.  Of two sets with similarity 0.8 or more, the heads of
+   ``n - ceil(0.8 n) + 1`` shingles share one; so every class is dealt to a tile for each shingle of
+   its head that another class holds too, and no link can be lost.  A text of which a fifth is its
+   own is dealt to none.
 3. In a tile, classes are sorted by size.  Only sizes within the band that the threshold allows
    meet, and every pair in the band is bounded by its signatures: the parity bitmaps of two sets
    differ in at most as many bits as the sets differ in shingles, so the overlap is at most
-   ``(|x| + |y| - popcount(x ^ y)) / 2``.  A bitmap has between 0.6 and 1.2 bits a shingle, folded
-   to the shorter of two.  Pairs whose bound falls short are no links.
-4. A tile returns a spanning forest of the pairs that are left, at most one edge a class.  Components of these forests
-   gather the classes that may be linked; within each, classes in order of size are compared with
-   sorted-array intersections, again within the band and below the bitmap bound, and pairs that
-   are already connected are skipped.
+   ``(|x| + |y| - popcount(x ^ y)) / 2``.  A bitmap has between 0.6 and 1.2 bits a shingle (in a tile
+   MOST_BITS at most), folded to the shorter of two.  Pairs whose bound falls short are no links.
+   A shingle of more than HOT classes has no tile: its classes are taken as one candidate group, so
+   that no task gathers them, and are compared in step 4.
+4. A tile returns candidate links: all of a small tile, a spanning forest of a larger one.
+   Components of these gather the classes that may be linked; within each, classes in order of size
+   are compared with sorted-array intersections, again within the band and below the bitmap bound,
+   and pairs that are already connected are skipped.
 5. A component's name goes back to all documents of its classes.
 
 Every link joins two classes of one gathered component, so none is lost.  A component of more than
@@ -22,7 +27,8 @@ WIDE classes is compared in several tasks; see _exact.
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than WIDTH words
 make one shingle; a null, empty or blank text has the empty set and links with nothing; a null
 doc_id is a document with a null component unless it shares one with known ids; rows of a
-repeated doc_id are documents of their own with that id; extra columns are ignored.
+repeated doc_id are documents of their own with that id; an empty table gives no rows; extra columns
+are ignored.  Shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,9 +43,9 @@ from mapsieve.llm.components import components
 
 WIDTH = 5
 NUM, DEN = 80, 100
-KEYS = 24
-LEAST_BITS = 128
-_SEEDS = (np.random.Generator(np.random.PCG64(9_2024)).integers(0, 2**63, 2 * KEYS, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
+LEAST_BITS, MOST_BITS = 128, 512
+#: Classes that share a shingle and still meet in one tile, and the size of tiles whose pairs are all taken at once.
+HOT, SMALL = 16_384, 8
 #: Classes of a gathered component that are compared in one task, and those of them that stand in every task.
 WIDE, LEADERS = 512, 16
 _NO_ID = (1 << 63) - 1
@@ -97,8 +103,8 @@ def overlap_needed(a, b):
     return -(-NUM * (a + b) // (DEN + NUM))
 
 
-_CLASSES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("chunk", pa.int64()), ("place", pa.int32()), ("keys", pa.binary()), ("bits", pa.binary())])
-_CLASSES_DDL = "doc_id long, n long, set_a long, set_b long, chunk long, place int, keys binary, bits binary"
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("chunk", pa.int64()), ("place", pa.int32())])
+_SETS_DDL = "doc_id long, n long, set_a long, set_b long, chunk long, place int"
 
 
 def _describe(batches):
@@ -109,46 +115,124 @@ def _describe(batches):
         full = np.flatnonzero(size)
         begin = at[:-1][full]
         a, b = np.zeros(len(ids), dtype=np.uint64), np.zeros(len(ids), dtype=np.uint64)
-        keys = np.zeros((len(ids), KEYS), dtype=np.uint64)
         if len(full):
             a[full] = c.mix(np.add.reduceat(sets, begin))
             b[full] = c.mix(np.bitwise_xor.reduceat(c.mix(sets ^ _STEP), begin) + size[full].astype(np.uint64))
-            for k in range(KEYS):
-                one = np.minimum.reduceat(sets * _SEEDS[2 * k], begin)
-                two = np.minimum.reduceat(sets * _SEEDS[2 * k + 1], begin)
-                keys[full, k] = c.mix(one * _STEP + two + np.uint64(k))
-        bits = [bitmap(sets[at[i] : at[i + 1]]) if size[i] else b"" for i in range(len(ids))]
-        yield c.table(_CLASSES, doc_id=c.ids_column(ids, known), n=size, set_a=a.view(np.int64), set_b=b.view(np.int64), chunk=np.full(len(ids), row["chunk"]), place=np.arange(len(ids), dtype=np.int32), keys=[x.tobytes() for x in keys], bits=bits)
+        yield c.table(_SETS, doc_id=c.ids_column(ids, known), n=size, set_a=a.view(np.int64), set_b=b.view(np.int64), chunk=np.full(len(ids), row["chunk"]), place=np.arange(len(ids), dtype=np.int32))
 
 
-def _deal(bits: int):
-    """Classes to tiles: messages (bucket, body) with keys, class numbers, sizes and bitmaps."""
-    out = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
+_MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
+_MESSAGE_DDL = "bucket int, chunk long, body binary"
+
+
+def _own_classes(row: dict):
+    """Names of the classes that a chunk stands for, their sets, joined, and where each begins; the other replies by their tag."""
+    told, answers = np.zeros(0, dtype=np.int64), {}
+    for x in row["replies"]:
+        tag = int(np.frombuffer(x, dtype=np.int64, count=1)[0])
+        if tag < 0:
+            told = np.concatenate([told, np.frombuffer(x, dtype=np.int64, offset=8)])
+        else:
+            answers[tag] = np.frombuffer(x, dtype=np.uint8, offset=8)
+    told = told.reshape(-1, 2)
+    told = told[np.argsort(told[:, 0])]
+    _, _, offsets, data = c.unpacked(row)
+    sets, at = shingle_sets(data, offsets)
+    size = np.diff(at)[told[:, 0]]
+    begin = np.append(0, np.cumsum(size))
+    return told[:, 1], sets[np.arange(int(begin[-1])) - np.repeat(begin[:-1], size) + np.repeat(at[told[:, 0]], size)], begin, answers
+
+
+def _ask(bits: int):
+    """The shingles of a chunk's classes, as the 32 bits that follow the bucket's."""
 
     def run(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
+        for row in c.rows_of(batches):
+            if row["replies"]:
+                _, sets, _, _ = _own_classes(row)
+                order, there, at = c.by_bucket(sets, bits)
+                short = (sets[order] >> np.uint64(32 - bits)).astype(np.uint32)
+                yield c.table(_MESSAGE, bucket=there.astype(np.int32), chunk=[row["chunk"]] * len(there), body=[short[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
+
+    return run
+
+
+def step_of(count: np.ndarray) -> np.ndarray:
+    """Counts up to 64 as they are, then eight steps for each doubling, in one byte."""
+    return np.where(count <= 64, count, np.minimum(255, 64 + np.floor(8 * np.log2(np.maximum(count, 64) / 64) + 1e-9))).astype(np.uint8)
+
+
+def _count(key, messages):
+    """How many classes hold each shingle of a bucket, told to every chunk in the order in which it asked."""
+    bodies = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in messages.column("body")]
+    _, back, n = np.unique(np.concatenate(bodies), return_inverse=True, return_counts=True)
+    steps, tag = step_of(n)[back], np.int64(key[0].as_py()).tobytes()
+    ends = np.cumsum([len(x) for x in bodies])
+    return pa.table({"chunk": messages.column("chunk"), "reply": pa.array([tag + steps[e - len(x) : e].tobytes() for e, x in zip(ends, bodies, strict=True)], type=pa.binary())})
+
+
+def heads(sets: np.ndarray, begin: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the shingles that a set must be found by, and the sets they are of: those of its head that others hold too."""
+    places, own = [], []
+    size = np.diff(begin)
+    alone = np.add.reduceat((steps == 1).astype(np.int64), begin[:-1]) if len(size) else size
+    short = size - -(-NUM * size // DEN) + 1 - alone
+    for k in np.flatnonzero(short > 0).tolist():
+        at = begin[k] + np.flatnonzero(steps[begin[k] : begin[k + 1]] > 1)
+        at = at[np.lexsort((sets[at], steps[at]))][: int(short[k])]
+        places.append(at)
+        own.append(np.full(len(at), k))
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(places), np.concatenate(own)) if places else (none, none)
+
+
+def tile_bits(size: int) -> int:
+    return min(MOST_BITS, bitmap_bits(size))
+
+
+def _post(bits: int, hot: int):
+    """Classes to tiles: messages (bucket, body) with keys, class numbers, sizes and bitmaps; those of hot keys to bucket -1, without more."""
+    limit = int(step_of(np.array([hot]))[0])
+
+    def run(batches):
+        for row in c.rows_of(batches):
+            if not row["replies"]:
                 continue
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), dtype=np.uint64).reshape(n, KEYS)
-            names, size = batch.column("class").to_numpy(), batch.column("n").to_numpy()
-            maps = batch.column("bits").to_pylist()
-            order, there, at = c.by_bucket(keys.ravel(), bits)
-            row = order // KEYS
-            bodies = []
-            for i, j in zip(at[:-1], at[1:], strict=True):
-                own = row[i:j]
-                bodies.append(np.int64(j - i).tobytes() + keys.ravel()[order[i:j]].tobytes() + names[own].tobytes() + size[own].astype(np.int64).tobytes() + b"".join(maps[r] for r in own.tolist()))
-            yield c.table(out, bucket=there.astype(np.int32), body=bodies)
+            names, sets, begin, answers = _own_classes(row)
+            order, there, _ = c.by_bucket(sets, bits)
+            steps = np.empty(len(sets), dtype=np.uint8)
+            steps[order] = np.concatenate([answers[b] for b in there.tolist()]) if len(there) else steps
+            place, own = heads(sets, begin, steps)
+            warm = steps[place] > limit
+            bodies = [(-1, np.stack([names[own[warm]], sets[place[warm]].view(np.int64)], 1).tobytes())] if warm.any() else []
+            place, own = place[~warm], own[~warm]
+            size = np.diff(begin)
+            maps = {k: folded(np.frombuffer(bitmap(sets[begin[k] : begin[k + 1]]), dtype=np.uint64)[None, :], MOST_BITS).tobytes() for k in np.unique(own).tolist()}
+            order, there, at = c.by_bucket(sets[place], bits)
+            for b, i, j in zip(there.tolist(), at[:-1], at[1:], strict=True):
+                members, back = np.unique(own[order[i:j]], return_inverse=True)
+                head = np.array([len(members), j - i], dtype=np.int64).tobytes()
+                bodies.append((b, head + names[members].tobytes() + size[members].astype(np.int64).tobytes() + sets[place[order[i:j]]].tobytes() + back.astype(np.int64).tobytes() + b"".join(maps[k] for k in members.tolist())))
+            yield c.table(_MESSAGE, bucket=[b for b, _ in bodies], chunk=[row["chunk"]] * len(bodies), body=[x for _, x in bodies])
 
     return run
 
 
+def _hot_edges(batches):
+    """Classes and the hot shingles that they stand for, as edges."""
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for batch in batches:
+        for x in batch.column("body"):
+            a, b = np.frombuffer(x.as_buffer(), dtype=np.int64).reshape(-1, 2).T
+            yield c.table(out, a=a, b=b)
+
+
 def near_pairs(sizes: np.ndarray, maps: list[np.ndarray], accept, tree: np.ndarray | None = None) -> np.ndarray:
     """Tree number of each set (tree: those known already), when the pairs in the band whose bitmap bound holds and that accept(i, j) confirms are joined.
 
-    sizes ascend.  Each set is held against the smaller ones of its band at once; sets of its own
-    tree are left out, before and after every pair that joins two trees.
+    sizes ascend.  Each set is held against the latest of the greatest tree, then against the smaller
+    ones of its band at once; sets of its own tree are left out, before and after every pair that
+    joins two trees.
     """
     tree = np.arange(len(sizes)) if tree is None else np.unique(tree, return_inverse=True)[1]
     stacks: dict[int, np.ndarray] = {}
@@ -158,8 +242,28 @@ def near_pairs(sizes: np.ndarray, maps: list[np.ndarray], accept, tree: np.ndarr
         own = np.flatnonzero(widths == width)
         stacks[width] = np.stack([maps[i] for i in own.tolist()])
         place[own] = np.arange(len(own))
+    many = np.bincount(tree, minlength=len(sizes)) if len(tree) else np.zeros(0, dtype=np.int64)
+    latest, leader = 0, int(tree[0]) if len(tree) else 0
+
+    def may_be(i, j):
+        least = int(min(widths[i], widths[j]))
+        differ = int(np.bitwise_count(folded(maps[i][None, :], least) ^ folded(maps[j][None, :], least)).sum())
+        total = int(sizes[i] + sizes[j])
+        return total - differ >= 2 * overlap_needed(total, 0)
+
+    def united(i, j):
+        nonlocal leader, latest
+        gone = int(tree[j])
+        many[tree[i]] += many[gone]
+        tree[tree == gone] = tree[i]
+        if many[tree[i]] >= many[leader] or leader == gone:
+            leader = int(tree[i])
+        latest = j if tree[j] == leader else latest
+
     for j in range(1, len(sizes)):
         low = int(np.searchsorted(sizes[:j], -(-NUM * int(sizes[j]) // DEN)))
+        if low <= latest < j and tree[latest] != tree[j] and may_be(latest, j) and accept(latest, j):
+            united(latest, j)
         band = low + np.flatnonzero(tree[low:j] != tree[j])
         if not len(band):
             continue
@@ -174,42 +278,70 @@ def near_pairs(sizes: np.ndarray, maps: list[np.ndarray], accept, tree: np.ndarr
         while len(left):
             i, left = int(left[0]), left[1:]
             if accept(i, j):
-                tree[tree == tree[j]] = tree[i]
+                united(i, j)
                 left = left[tree[left] != tree[j]]
     return tree
 
 
+def _pairs_of_small(cut: np.ndarray, many: np.ndarray, member: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs within the band and the bitmap bound, of all tiles of at most SMALL members."""
+    left, right = [], []
+    for m in range(2, SMALL + 1):
+        tiles = member[cut[many == m][:, None] + np.arange(m)[None, :]]
+        i, j = np.triu_indices(m, 1)
+        left.append(tiles[:, i].ravel())
+        right.append(tiles[:, j].ravel())
+    left, right = np.concatenate(left), np.concatenate(right)
+    near = sizes[left] * DEN >= NUM * sizes[right]
+    pairs = np.unique(left[near] * np.int64(len(sizes)) + right[near])
+    left, right = pairs // max(1, len(sizes)), pairs % max(1, len(sizes))
+    widths = np.array([len(x) * 64 for x in maps], dtype=np.int64)
+    keep = np.zeros(len(pairs), dtype=bool)
+    for a, b in set(zip(widths[left].tolist(), widths[right].tolist(), strict=True)):
+        own = np.flatnonzero((widths[left] == a) & (widths[right] == b))
+        for low in range(0, len(own), 1 << 16):
+            some = own[low : low + (1 << 16)]
+            x, y = (folded(np.stack([maps[k] for k in side[some].tolist()]), min(a, b)) for side in (left, right))
+            total = sizes[left[some]] + sizes[right[some]]
+            keep[some] = total - np.bitwise_count(x ^ y).sum(1, dtype=np.int64) >= 2 * overlap_needed(total, 0)
+    return left[keep], right[keep]
+
+
 def _tile(key, messages):
-    """Spanning forests of the pairs that may be links, in every tile of a bucket."""
-    keys, names, sizes, maps = [], [], [], []
+    """Pairs that may be links in every tile of a bucket: all in small tiles, spanning forests in others."""
+    keys, member, names, sizes, maps, before = [], [], [], [], [], 0
     for x in messages.column("body"):
         x = x.as_buffer()
-        n = int(np.frombuffer(x, dtype=np.int64, count=1)[0])
-        keys.append(np.frombuffer(x, dtype=np.uint64, offset=8, count=n))
-        names.append(np.frombuffer(x, dtype=np.int64, offset=8 + 8 * n, count=n))
-        size = np.frombuffer(x, dtype=np.int64, offset=8 + 16 * n, count=n)
-        sizes.append(size)
-        at = 8 + 24 * n
-        for s in size.tolist():
-            w = bitmap_bits(s) // 64
+        n, k = np.frombuffer(x, dtype=np.int64, count=2).tolist()
+        names.append(np.frombuffer(x, dtype=np.int64, offset=16, count=n))
+        sizes.append(np.frombuffer(x, dtype=np.int64, offset=16 + 8 * n, count=n))
+        keys.append(np.frombuffer(x, dtype=np.uint64, offset=16 + 16 * n, count=k))
+        member.append(np.frombuffer(x, dtype=np.int64, offset=16 + 16 * n + 8 * k, count=k) + before)
+        at, before = 16 + 16 * n + 16 * k, before + n
+        for s in sizes[-1].tolist():
+            w = tile_bits(s) // 64
             maps.append(np.frombuffer(x, dtype=np.uint64, offset=at, count=w))
             at += 8 * w
-    keys, names, sizes = np.concatenate(keys), np.concatenate(names), np.concatenate(sizes)
-    order = np.lexsort((names, sizes, keys))
-    cut = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-    out_a, out_b = [], []
-    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
-        if j - i < 2:
-            continue
-        own = order[i:j]
-
-        def keep(x, y, own=own):
-            out_a.append(int(names[own[x]]))
-            out_b.append(int(names[own[y]]))
+    keys, member, names, sizes = (np.concatenate(x) for x in (keys, member, names, sizes))
+    order = np.lexsort((names[member], sizes[member], keys))
+    keys, member = keys[order], member[order]
+    cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    many = np.diff(np.append(cut, len(keys)))
+    a, b = _pairs_of_small(cut, many, member, sizes, maps)
+    out_a, out_b = [names[a]], [names[b]]
+    for i, m in zip(cut[many > SMALL].tolist(), many[many > SMALL].tolist(), strict=True):
+        own = member[i : i + m]
+        pairs: list[tuple[int, int]] = []
+
+        def keep(x, y, pairs=pairs):
+            pairs.append((x, y))
             return True
 
         near_pairs(sizes[own], [maps[k] for k in own.tolist()], keep)
-    return pa.table({"a": pa.array(out_a, type=pa.int64()), "b": pa.array(out_b, type=pa.int64())})
+        x, y = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+        out_a.append(names[own[x]])
+        out_b.append(names[own[y]])
+    return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
 
 
 def _send_texts(batches):
@@ -279,27 +411,29 @@ def _exact(corpus: c.Corpus, places: DataFrame, gathered: DataFrame, parts: int,
     the trees so far; so every pair that is not joined has been compared.
     """
     sizes = gathered.groupBy("component").agg(F.count("*").alias("n"))
-    large = c.stored(sizes.filter(F.col("n") > wide))
-    few = F.ceil(F.col("n") / wide).cast("int")
+    large = c.stored(sizes.filter(F.col("n") > wide).withColumn("size", F.col("n")))
+    few = F.ceil(F.col("size") / wide).cast("int")
     share = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
-    small = gathered.join(large, "component", "left_anti").select("node", F.col("component").alias("tile"), F.col("node").alias("tree"))
+    sized = c.hot_join(gathered, large, ["component"])
+    small = sized.filter("size is null").select("node", F.col("component").alias("tile"), F.col("node").alias("tree"))
     if large.isEmpty():
         return _linked(corpus, places, small, parts).select(F.col("class").alias("node"), F.col("root").alias("component"))
-    of_large = c.stored(gathered.join(large, "component").select("node", "component", "n", share(1, few).alias("salt")))
+    of_large = c.stored(sized.filter("size is not null").select("node", "component", "size", share(1, few).alias("salt")))
     every = F.explode(F.sequence(F.lit(0).cast("long"), few.cast("long") - 1))
-    leaders = of_large.filter(share(2, F.ceil(F.col("n") / LEADERS)) == 0).withColumn("salt", every)
+    leaders = of_large.filter(share(2, F.ceil(F.col("size") / LEADERS)) == 0).withColumn("salt", every)
     tile = F.xxhash64("component", "salt")
     first = of_large.unionByName(leaders).select("node", tile.alias("tile"), F.col("node").alias("tree"))
     edges = c.stored(_linked(corpus, places, small.unionByName(first), parts).select(F.col("class").alias("a"), F.col("root").alias("b")))
     trees = c.stored(_trees(of_large, edges))
     counts = trees.groupBy("component", "tree").agg(F.count("*").alias("k"))
-    biggest = counts.groupBy("component").agg(F.max_by("tree", F.struct("k", -F.col("tree"))).alias("biggest"))
-    rest = trees.join(biggest, "component").filter("tree <> biggest").drop("biggest")
-    blocks = rest.groupBy("component").agg(F.ceil(F.count("*") / wide).cast("long").alias("blocks"))
-    rest = rest.join(blocks, "component").withColumn("block", share(3, F.col("blocks"))).withColumn("salt", every)
-    members = trees.join(blocks, "component").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    biggest = counts.groupBy("component").agg(F.max_by("tree", F.struct("k", -F.col("tree"))).alias("biggest"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("left"))
+    # the rest of a component is what its greatest tree leaves; it is cut into blocks of at most wide classes or so
+    biggest = c.stored(biggest.filter(F.col("left") > 0).select("component", "n", "biggest", F.ceil(F.col("left") / wide).cast("long").alias("blocks")))
+    told = c.stored(c.hot_join(trees, biggest, ["component"], "inner"))
+    rest = told.filter("tree <> biggest").withColumn("block", share(3, F.col("blocks"))).withColumn("salt", every)
+    members = told.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tile = F.xxhash64("component", "salt", "block")
-    again = members.unionByName(rest).select("node", tile.alias("tile"), "tree")
+    again = members.unionByName(rest.select(*members.columns)).select("node", tile.alias("tile"), "tree")
     more = _linked(corpus, places, again, parts).select(F.col("class").alias("a"), F.col("root").alias("b"))
     joined = edges.unionByName(more).unionByName(trees.select(F.col("node").alias("a"), F.col("tree").alias("b")))
     found = components(joined)
@@ -311,38 +445,48 @@ def _trees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("tree", F.coalesce("tree", "node"))
 
 
-def _solve(corpus: c.Corpus, wide: int) -> tuple[DataFrame, DataFrame]:
-    """All rows described, and the classes (set_a, set_b, low, chunk, place) with their component's number."""
-    parts = int(corpus.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _solve(corpus: c.Corpus, wide: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """All rows described, and the classes (set_a, set_b, copies, low, chunk, place) with their component's number."""
     bits = corpus.message_bits()
-    all_docs = c.stored(corpus.rows.mapInArrow(_describe, _CLASSES_DDL))
+    parts = max(int(corpus.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
+    all_docs = c.stored(corpus.rows.mapInArrow(_describe, _SETS_DDL))
     # a class is named after its row: unique even where doc_ids repeat or are null
-    own = F.struct(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias("low"), "chunk", "place", "n", "keys", "bits")
-    classes = all_docs.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(own).alias("x"))
-    classes = c.stored(classes.select("set_a", "set_b", "x.*").withColumn("class", F.xxhash64("chunk", "place")))
-    dealt = classes.select("class", "n", "keys", "bits").mapInArrow(_deal(bits), "bucket int, body binary")
-    forest = dealt.groupBy("bucket").applyInArrow(_tile, "a long, b long")
-    gathered = c.stored(components(forest))
+    own = F.struct(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias("low"), "chunk", "place")
+    classes = all_docs.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(own).alias("x"), F.count("*").alias("copies"))
+    classes = c.stored(classes.select("set_a", "set_b", "copies", "x.*").withColumn("class", F.xxhash64("chunk", "place")))
     places = classes.select(F.col("class").alias("node"), "chunk", F.col("place").cast("long").alias("place"))
+    told = places.groupBy("chunk").agg(F.flatten(F.concat(F.array(F.array(F.lit(-1).cast("long"))), F.collect_list(F.array("place", "node")))).alias("told"))
+    told = c.stored(told.mapInArrow(_as_bytes, "chunk long, reply binary"))
+    asked = corpus.dealt(c.with_replies(corpus, told).mapInArrow(_ask(bits), _MESSAGE_DDL), bits, "bucket")
+    counts = asked.groupBy("bucket").applyInArrow(_count, "chunk long, reply binary")
+    dealt = c.stored(c.with_replies(corpus, told.unionByName(counts)).mapInArrow(_post(bits, hot), _MESSAGE_DDL))
+    tiles = corpus.dealt(dealt.filter("bucket >= 0"), bits, "bucket")
+    forest = tiles.groupBy("bucket").applyInArrow(_tile, "a long, b long")
+    glued = dealt.filter("bucket < 0")
+    if glued.isEmpty():
+        gathered = c.stored(components(forest))
+    else:
+        found = components(forest.unionByName(glued.select("body").mapInArrow(_hot_edges, "a long, b long")))
+        gathered = c.stored(found.join(places.select("node"), "node", "left_semi"))
     linked = _exact(corpus, places, gathered, parts, wide).withColumnRenamed("node", "class")
-    names = classes.select("class", "set_a", "set_b", "low", "chunk", "place").join(linked, "class", "left")
+    names = classes.select("class", "set_a", "set_b", "copies", "low", "chunk", "place").join(linked, "class", "left")
     return all_docs, c.stored(names.withColumn("component", F.coalesce("component", "class")))
 
 
-def join(docs: DataFrame, wide: int = WIDE) -> DataFrame:
+def join(docs: DataFrame, wide: int = WIDE, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
-    all_docs, names = _solve(c.packed(docs), wide)
-    lowest = names.groupBy("component").agg(F.min("low").alias("component_id"))
-    answer = c.stored(names.join(lowest, "component").select("set_a", "set_b", "component_id"))
-    out = all_docs.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b").join(answer, ["set_a", "set_b"], "left")
+    all_docs, names = _solve(c.packed(docs), wide, hot)
+    lowest = c.stored(names.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n")))
+    answer = c.stored(c.hot_join(names, lowest, ["component"], "inner").select("set_a", "set_b", "component_id", F.col("copies").alias("n")))
+    out = c.hot_join(all_docs.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b"), answer, ["set_a", "set_b"])
     none = (F.col("n_shingles") == 0) | (F.col("component_id") == _NO_ID)
     return out.select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, wide: int = WIDE) -> DataFrame:
+def one_of_each(docs: DataFrame, wide: int = WIDE, hot: int = HOT) -> DataFrame:
     """The rows of docs, with all their columns, less all but one row of every component (that of the smallest doc_id)."""
     corpus = c.packed(docs, whole=True)
-    all_docs, names = _solve(corpus, wide)
+    all_docs, names = _solve(corpus, wide, hot)
     first = names.groupBy("component").agg(F.min(F.struct("low", "chunk", "place")).alias("x")).select("x.chunk", "x.place")
     stay = first.unionByName(all_docs.filter("n = 0").select("chunk", "place"))
     told = stay.groupBy("chunk").agg(F.collect_list(F.col("place").cast("long")).alias("told")).mapInArrow(_as_bytes, "chunk long, reply binary")

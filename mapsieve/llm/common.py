@@ -324,23 +324,28 @@ HOT_ROWS, MOST_SHARES = 100_000, 64
 
 
 def hot_join(left: DataFrame, few: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """left joined with few (unique keys, and ``n``: how many rows of left a key meets), so that no hot key gathers in one task.
+    """left joined with few (and ``n``: how many rows of left a key meets), so that no hot key gathers in one task; how: left or inner.
 
-    few must be a stored table; it is measured, and broadcast where it is below the session's
-    broadcast threshold; otherwise its rows are repeated for each share of the rows of left (by the hash of left's first two
-    columns that are no keys, so that a task that runs again deals its rows as before).
+    few is a stored table, which is measured.  It is broadcast where it is below the session's
+    broadcast threshold.  Otherwise its hot keys alone are, where they are below it; failing that too,
+    few's rows are repeated for each share of left's rows (by the hash of left's first two columns that
+    are no keys, so that a task that runs again deals its rows as before).
     """
-    rows, most = few.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    few = few.drop("n")
+    rows, hot, most = few.agg(F.count("*"), F.count(F.when(F.col("n") > HOT_ROWS, 1)), F.coalesce(F.max("n"), F.lit(0))).first()
     threshold = int(few.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    if rows * 64 * len(few.columns) <= threshold:
-        return left.join(F.broadcast(few), keys, how)
-    shares = max(1, min(MOST_SHARES, -(-most // HOT_ROWS)))
-    if shares == 1:
-        return left.join(few.hint("merge"), keys, how)
+    fits = lambda n: n * 64 * len(few.columns) <= threshold
+    if fits(rows):
+        return left.join(F.broadcast(few.drop("n")), keys, how)
+    if not hot:
+        return left.join(few.drop("n").hint("merge"), keys, how)
+    if fits(hot):
+        of_hot = few.filter(F.col("n") > HOT_ROWS).drop("n")
+        cold = left.join(F.broadcast(of_hot.select(*keys).distinct()), keys, "left_anti")
+        return left.join(F.broadcast(of_hot), keys).unionByName(cold.join(few.filter(F.col("n") <= HOT_ROWS).drop("n").hint("merge"), keys, how))
+    shares = min(MOST_SHARES, -(-most // HOT_ROWS))
     own = [x for x in left.columns if x not in keys]
     left = left.withColumn("__share", F.pmod(F.xxhash64(*own[:2]), F.lit(shares)))
-    few = few.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    few = few.drop("n").withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
     return left.join(few.hint("merge"), [*keys, "__share"], how).drop("__share")
 
 

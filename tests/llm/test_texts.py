@@ -233,6 +233,40 @@ class TestJaccardJoin:
         got = [(r.doc_id, r.n_shingles, r.component_id) for r in bitmap_join.join(frame(spark, near), wide).collect()]
         assert sorted(got) == sorted(want)
 
+    @pytest.mark.parametrize("hot", [1, 2])
+    def test_hot_shingles_lose_no_link(self, table, rows, hot):
+        key = lambda x: tuple((y is None, y or 0) for y in x)
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in bitmap_join.join(table, 3, hot).collect()]
+        assert sorted(got, key=key) == sorted(self.brute(rows), key=key)
+
+    def test_linked_sets_share_a_posted_shingle(self):
+        rng = np.random.default_rng(14)
+        for _ in range(40):
+            base = rng.integers(0, 2**40, int(rng.integers(4, 60)), dtype=np.uint64)
+            sets = []
+            for _ in range(12):
+                own = base[rng.random(len(base)) > rng.choice([0, 0.03, 0.1])]
+                sets.append(np.unique(np.concatenate([own, rng.integers(0, 2**40, int(rng.integers(0, 4)), dtype=np.uint64), base[:1]])))
+            joined, begin = np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets]))
+            _, back, n = np.unique(joined, return_inverse=True, return_counts=True)
+            place, own = bitmap_join.heads(joined, begin, bitmap_join.step_of(n)[back])
+            posted = [set(joined[place[own == k]].tolist()) for k in range(len(sets))]
+            for x, y in itertools.combinations(range(len(sets)), 2):
+                both = len(np.intersect1d(sets[x], sets[y]))
+                if 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                    assert posted[x] & posted[y]
+
+    def test_a_large_group_of_near_copies(self, spark):
+        rng = random.Random(15)
+        base = [word(rng) for _ in range(120)]
+        rows = [(i, " ".join(w if rng.random() > 0.004 else word(rng) for w in base)) for i in range(2500)] + [(i, " ".join(word(rng) for _ in range(60)) + " " + " ".join(base[:40])) for i in range(3000, 3300)]
+        got = {r.doc_id: r.component_id for r in bitmap_join.join(frame(spark, rows)).collect()}
+        sets = self.sets(rows)
+        for i in rng.sample(range(2500), 200):
+            near = sum(100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for j in range(0, 2500, 10) if j != i)
+            assert not near or got[i] == 0
+        assert all(got[i] == i for i in range(3000, 3300))
+
     def test_one_of_each(self, table, rows):
         out = bitmap_join.one_of_each(table)
         assert out.schema == table.schema
