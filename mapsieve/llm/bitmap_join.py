@@ -15,14 +15,13 @@
    MOST_BITS at most), folded to the shorter of two.  Pairs whose bound falls short are no links.
    A shingle of more than HOT classes has no tile: its classes are taken as one candidate group, so
    that no task gathers them, and are compared in step 4.
-4. A tile returns candidate links: all of a small tile, a spanning forest of a larger one.
-   Components of these gather the classes that may be linked; within each, classes in order of size
+4. A bucket of tiles returns the trees of its candidate links.  Components of these gather the classes that may be linked; within each, classes in order of size
    are compared with sorted-array intersections, again within the band and below the bitmap bound,
    and pairs that are already connected are skipped.
 5. A component's name goes back to all documents of its classes.
 
 Every link joins two classes of one gathered component, so none is lost.  A component of more than
-WIDE classes is compared in several tasks; see _exact.
+WIDE classes or so is compared in several tasks; see _exact.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than WIDTH words
 make one shingle; a null, empty or blank text has the empty set and links with nothing; a null
@@ -46,8 +45,9 @@ NUM, DEN = 80, 100
 LEAST_BITS, MOST_BITS = 128, 512
 #: Classes that share a shingle and still meet in one tile, and the size of tiles whose pairs are all taken at once.
 HOT, SMALL = 16_384, 8
-#: Classes of a gathered component that are compared in one task, and those of them that stand in every task.
-WIDE, LEADERS = 512, 16
+#: Classes of a gathered component that are compared in one task (one of many shingles counts for several, one for each
+#: HEAVY shingles), and those of them that stand in every task.
+WIDE, HEAVY, LEADERS = 2048, 1024, 16
 _NO_ID = (1 << 63) - 1
 _SHORT = np.uint64(0x5B07)
 _STEP = np.uint64(0xA24BAED4963EE407)
@@ -130,8 +130,8 @@ def _own_classes(row: dict):
     told, answers = np.zeros(0, dtype=np.int64), {}
     for x in row["replies"]:
         tag = int(np.frombuffer(x, dtype=np.int64, count=1)[0])
-        if tag < 0:
-            told = np.concatenate([told, np.frombuffer(x, dtype=np.int64, offset=8)])
+        if tag < 0:  # -1 reads the same from both ends
+            told = np.concatenate([told, c.numbers_of(x, 8)])
         else:
             answers[tag] = np.frombuffer(x, dtype=np.uint8, offset=8)
     told = told.reshape(-1, 2)
@@ -308,7 +308,7 @@ def _pairs_of_small(cut: np.ndarray, many: np.ndarray, member: np.ndarray, sizes
 
 
 def _tile(key, messages):
-    """Pairs that may be links in every tile of a bucket: all in small tiles, spanning forests in others."""
+    """Trees of the pairs that may be links in the tiles of a bucket, as edges to the smallest class of each."""
     keys, member, names, sizes, maps, before = [], [], [], [], [], 0
     for x in messages.column("body"):
         x = x.as_buffer()
@@ -328,7 +328,7 @@ def _tile(key, messages):
     cut = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     many = np.diff(np.append(cut, len(keys)))
     a, b = _pairs_of_small(cut, many, member, sizes, maps)
-    out_a, out_b = [names[a]], [names[b]]
+    out_a, out_b = [a], [b]
     for i, m in zip(cut[many > SMALL].tolist(), many[many > SMALL].tolist(), strict=True):
         own = member[i : i + m]
         pairs: list[tuple[int, int]] = []
@@ -339,9 +339,25 @@ def _tile(key, messages):
 
         near_pairs(sizes[own], [maps[k] for k in own.tolist()], keep)
         x, y = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
-        out_a.append(names[own[x]])
-        out_b.append(names[own[y]])
-    return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
+        out_a.append(own[x])
+        out_b.append(own[y])
+    root = roots(len(names), np.concatenate(out_a), np.concatenate(out_b))
+    low = np.full(len(names), np.iinfo(np.int64).max)
+    np.minimum.at(low, root, names)
+    far = np.flatnonzero(names != low[root])
+    return pa.table({"a": pa.array(names[far]), "b": pa.array(low[root[far]])})
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tree of each of n nodes under the edges a - b, as the number of a node in it."""
+    root = np.arange(n)
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root != root[root]).any():
+            root = root[root]
+    return root
 
 
 def _send_texts(batches):
@@ -351,7 +367,7 @@ def _send_texts(batches):
         if not row["replies"]:
             continue
         _, _, offsets, data = c.unpacked(row)
-        told = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in row["replies"]]).reshape(-1, 4)
+        told = np.concatenate([c.numbers_of(x) for x in row["replies"]]).reshape(-1, 4)
         for i in range(0, len(told), 1024):
             place, name, tile, tree = told[i : i + 1024].T
             yield c.table(out, tile=tile, tree=tree, **{"class": name}, text=[data[offsets[p] : offsets[p + 1]].tobytes() for p in place])
@@ -395,23 +411,24 @@ def _link(key, rows):
 
 
 def _linked(corpus: c.Corpus, places: DataFrame, tiles: DataFrame, parts: int) -> DataFrame:
-    """Edges (class, root) of tiles (node, tile, tree); places: (node, chunk, place) of the classes."""
+    """Edges (class, root) of tiles (node, tile, tree); places: (node, chunk, place, n) of the classes."""
     wanted = tiles.join(places, "node")
-    asks = wanted.groupBy("chunk").agg(F.flatten(F.collect_list(F.array("place", "node", "tile", "tree"))).alias("told"))
-    texts = c.with_replies(corpus, asks.mapInArrow(_as_bytes, "chunk long, reply binary")).mapInArrow(_send_texts, "tile long, class long, tree long, text binary")
+    asks = wanted.groupBy("chunk").agg(c.as_bytes(F.flatten(F.collect_list(F.array("place", "node", "tile", "tree")))).alias("reply"))
+    texts = c.with_replies(corpus, asks).mapInArrow(_send_texts, "tile long, class long, tree long, text binary")
     return texts.groupBy(F.pmod(F.xxhash64("tile"), F.lit(4 * parts)).alias("bucket")).applyInArrow(_link, "class long, root long")
 
 
 def _exact(corpus: c.Corpus, places: DataFrame, gathered: DataFrame, parts: int, wide: int) -> DataFrame:
     """(node, component) of the exact links within gathered components (node, component).
 
-    Components of more than ``wide`` classes are cut into tiles by hash; some leaders stand in every
+    Components of a weight over ``wide`` (about their classes) are cut into tiles by hash; some leaders stand in every
     tile, so that most of what belongs together is joined through them.  What is not yet in the
     largest tree of its component then meets every tile once more, a block of it at a time, with
     the trees so far; so every pair that is not joined has been compared.
     """
-    sizes = gathered.groupBy("component").agg(F.count("*").alias("n"))
-    large = c.stored(sizes.filter(F.col("n") > wide).withColumn("size", F.col("n")))
+    heavy = gathered.join(places.select("node", (1 + F.floor(F.col("n") / HEAVY)).alias("weight")), "node")
+    sizes = heavy.groupBy("component").agg(F.count("*").alias("n"), F.sum("weight").alias("size"))
+    large = c.stored(sizes.filter(F.col("size") > wide))
     few = F.ceil(F.col("size") / wide).cast("int")
     share = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), n)
     sized = c.hot_join(gathered, large, ["component"])
@@ -426,10 +443,10 @@ def _exact(corpus: c.Corpus, places: DataFrame, gathered: DataFrame, parts: int,
     edges = c.stored(_linked(corpus, places, small.unionByName(first), parts).select(F.col("class").alias("a"), F.col("root").alias("b")))
     trees = c.stored(_trees(of_large, edges))
     counts = trees.groupBy("component", "tree").agg(F.count("*").alias("k"))
-    biggest = counts.groupBy("component").agg(F.max_by("tree", F.struct("k", -F.col("tree"))).alias("biggest"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("left"))
+    biggest = counts.groupBy("component").agg(F.max_by("tree", F.struct("k", -F.col("tree"))).alias("biggest"), (F.sum("k") - F.max("k")).alias("left"))
     # the rest of a component is what its greatest tree leaves; it is cut into blocks of at most wide classes or so
-    biggest = c.stored(biggest.filter(F.col("left") > 0).select("component", "n", "biggest", F.ceil(F.col("left") / wide).cast("long").alias("blocks")))
-    told = c.stored(c.hot_join(trees, biggest, ["component"], "inner"))
+    biggest = biggest.filter(F.col("left") > 0).select("component", "biggest", F.ceil(F.col("left") / wide).cast("long").alias("blocks"))
+    told = c.split_join(trees, biggest, ["component"])
     rest = told.filter("tree <> biggest").withColumn("block", share(3, F.col("blocks"))).withColumn("salt", every)
     members = told.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     tile = F.xxhash64("component", "salt", "block")
@@ -451,12 +468,12 @@ def _solve(corpus: c.Corpus, wide: int, hot: int) -> tuple[DataFrame, DataFrame]
     parts = max(int(corpus.rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
     all_docs = c.stored(corpus.rows.mapInArrow(_describe, _SETS_DDL))
     # a class is named after its row: unique even where doc_ids repeat or are null
-    own = F.struct(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias("low"), "chunk", "place")
+    own = F.struct(F.coalesce(F.col("doc_id"), F.lit(_NO_ID)).alias("low"), "chunk", "place", "n")
     classes = all_docs.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(own).alias("x"), F.count("*").alias("copies"))
     classes = c.stored(classes.select("set_a", "set_b", "copies", "x.*").withColumn("class", F.xxhash64("chunk", "place")))
-    places = classes.select(F.col("class").alias("node"), "chunk", F.col("place").cast("long").alias("place"))
-    told = places.groupBy("chunk").agg(F.flatten(F.concat(F.array(F.array(F.lit(-1).cast("long"))), F.collect_list(F.array("place", "node")))).alias("told"))
-    told = c.stored(told.mapInArrow(_as_bytes, "chunk long, reply binary"))
+    places = classes.select(F.col("class").alias("node"), "chunk", F.col("place").cast("long").alias("place"), "n")
+    pairs = F.flatten(F.concat(F.array(F.array(F.lit(-1).cast("long"))), F.collect_list(F.array("place", "node"))))
+    told = c.stored(places.groupBy("chunk").agg(c.as_bytes(pairs).alias("reply")))
     asked = corpus.dealt(c.with_replies(corpus, told).mapInArrow(_ask(bits), _MESSAGE_DDL), bits, "bucket")
     counts = asked.groupBy("bucket").applyInArrow(_count, "chunk long, reply binary")
     dealt = c.stored(c.with_replies(corpus, told.unionByName(counts)).mapInArrow(_post(bits, hot), _MESSAGE_DDL))
@@ -476,8 +493,8 @@ def _solve(corpus: c.Corpus, wide: int, hot: int) -> tuple[DataFrame, DataFrame]
 def join(docs: DataFrame, wide: int = WIDE, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of (doc_id, text)."""
     all_docs, names = _solve(c.packed(docs), wide, hot)
-    lowest = c.stored(names.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("n")))
-    answer = c.stored(c.hot_join(names, lowest, ["component"], "inner").select("set_a", "set_b", "component_id", F.col("copies").alias("n")))
+    lowest = names.groupBy("component").agg(F.min("low").alias("component_id"))
+    answer = c.stored(c.split_join(names, lowest, ["component"]).select("set_a", "set_b", "component_id", F.col("copies").alias("n")))
     out = c.hot_join(all_docs.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b"), answer, ["set_a", "set_b"])
     none = (F.col("n_shingles") == 0) | (F.col("component_id") == _NO_ID)
     return out.select("doc_id", "n_shingles", F.when(none, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -489,18 +506,11 @@ def one_of_each(docs: DataFrame, wide: int = WIDE, hot: int = HOT) -> DataFrame:
     all_docs, names = _solve(corpus, wide, hot)
     first = names.groupBy("component").agg(F.min(F.struct("low", "chunk", "place")).alias("x")).select("x.chunk", "x.place")
     stay = first.unionByName(all_docs.filter("n = 0").select("chunk", "place"))
-    told = stay.groupBy("chunk").agg(F.collect_list(F.col("place").cast("long")).alias("told")).mapInArrow(_as_bytes, "chunk long, reply binary")
+    told = stay.groupBy("chunk").agg(c.as_bytes(F.collect_list(F.col("place").cast("long"))).alias("reply"))
     return c.unpacked_rows(c.with_replies(corpus, told).mapInArrow(_keep, c.ROWS_DDL), docs.schema)
 
 
 def _keep(batches):
     for row in c.rows_of(batches):
         if row["replies"]:
-            yield c.rows_at(row, np.sort(np.concatenate([np.frombuffer(x, dtype=np.int64) for x in row["replies"]])))
-
-
-def _as_bytes(batches):
-    out = pa.schema([("chunk", pa.int64()), ("reply", pa.binary())])
-    for batch in batches:
-        if batch.num_rows:
-            yield c.table(out, chunk=batch.column("chunk"), reply=[np.asarray(x.values, dtype=np.int64).tobytes() for x in batch.column("told")])
+            yield c.rows_at(row, np.sort(np.concatenate([c.numbers_of(x) for x in row["replies"]])))

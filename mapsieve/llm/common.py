@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one packed chunk aims at; a longer document makes a longer chunk of its own.
@@ -332,8 +332,8 @@ def hot_join(left: DataFrame, few: DataFrame, keys: list[str], how: str = "left"
     are no keys, so that a task that runs again deals its rows as before).
     """
     rows, hot, most = few.agg(F.count("*"), F.count(F.when(F.col("n") > HOT_ROWS, 1)), F.coalesce(F.max("n"), F.lit(0))).first()
-    threshold = int(few.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    fits = lambda n: n * 64 * len(few.columns) <= threshold
+    threshold, size = int(few.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()), guessed_bytes(few) or 0
+    fits = lambda n: size * n <= threshold * rows
     if fits(rows):
         return left.join(F.broadcast(few.drop("n")), keys, how)
     if not hot:
@@ -349,6 +349,11 @@ def hot_join(left: DataFrame, few: DataFrame, keys: list[str], how: str = "left"
     return left.join(few.hint("merge"), [*keys, "__share"], how).drop("__share")
 
 
+def split_join(left: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined with few (unique keys, computed from a shuffle by them): shuffled once more, which lets adaptive execution split a hot key's rows of left."""
+    return left.join(few.repartition(*keys), keys, how)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """The rows of Arrow batches one by one; binary values stay buffers."""
     for batch in batches:
@@ -366,6 +371,15 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield out
 
 
+def as_bytes(numbers) -> Column:
+    """An array<long> column as binary, eight bytes each, big end first; see numbers_of."""
+    return F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+def numbers_of(raw, offset: int = 0) -> np.ndarray:
+    return np.frombuffer(raw, dtype=">i8", offset=offset).astype(np.int64)
+
+
 def ids_column(ids: np.ndarray, known: np.ndarray) -> pa.Array:
     return pa.array(ids, type=pa.int64(), mask=~known)
 

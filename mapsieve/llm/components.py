@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from mapsieve.llm.common import hot_join, stored
+from mapsieve.llm.common import split_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points the larger neighbours of every node at the smallest (large star), then the
     smaller ones (small star).  A node with many edges is met as rows of a grouped minimum and of
-    a join that splits hot nodes (hot_join), never as a collected list.  Rounds end when a round
+    a join that splits hot nodes (split_join), never as a collected list.  Rounds end when a round
     leaves the edges as they were, about log(diameter) of them; each is written to the shared folder.
 
     Defined results: an edge with a null end is left out; a node that stands in loops alone has no
@@ -23,12 +23,14 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = stored(hot_join(both, stored(low), ["a"], "inner").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = hot_join(large, stored(low), ["a"], "inner").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
-        pairs = stored(small)
-        now = pairs.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = split_join(both, low, ["a"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = split_join(large, low, ["a"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        # the check sums are taken while the edges are written
+        seen = Observation()
+        pairs = stored(small.observe(seen, F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("x"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("y")))
+        now = seen.get
         if now == state:
             return pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         state = now
