@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapsieve.functions import scores
@@ -18,6 +18,11 @@ def enhanced(df: DataFrame) -> DataFrame:
     return out.withColumn("is_target", T.is_target(F.col("classification")))
 
 
+def final_ranking(df: DataFrame, page: str = "page_id", score: str = "score") -> DataFrame:
+    """Rows with their ``place`` in their page by a final score, best first (ties by idx); nothing is left out."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy(F.desc(score), "idx")))
+
+
 def same_text_near(limit: float):
     return lambda k, r: (k["text"] == r["text"]) & (distance(k["cx"], k["cy"], r["cx"], r["cy"]) < limit)
 

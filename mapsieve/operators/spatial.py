@@ -6,13 +6,12 @@ largest distance, and one side stands in its own cell while the other is looked
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapsieve.functions import scores
 from mapsieve.functions.geometry import angle_degrees, distance, in_polygon, point_segment_distance, segment_crossing
+from mapsieve.operators.storage import written
 
 
 def near_pairs(a: DataFrame, b: DataFrame, limit: float, page: str = "page_id", grid: bool = True) -> DataFrame:
@@ -94,17 +93,31 @@ def text_of_circle(circles: DataFrame, texts: DataFrame, page: str, key: str, fa
 
 
 def near_edges(points: DataFrame, limit: float, page: str = "page_id", key: str = "idx") -> DataFrame:
-    """(page, a, b, distance, strength) of pairs of a page at most ``limit`` apart, a < b."""
-    pairs = near_pairs(points.select(page, key, "cx", "cy"), points.select(page, key, "cx", "cy"), limit, page).filter(F.col(f"a_{key}") < F.col(f"b_{key}"))
-    return pairs.select(F.col(f"a_{page}").alias(page), F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "distance", (1 - F.col("distance") / limit).alias("strength"))
+    """(page, a, b, distance, strength) of pairs of a page at most ``limit`` apart, a < b.
+
+    Points meet in grid cells as wide as the limit.  As a pair is the same both ways, a cell meets
+    itself and four of its eight neighbours.
+    """
+    cells = points.select(page, F.col(key).alias("k"), "cx", "cy", F.floor(F.col("cx") / limit).alias("gx"), F.floor(F.col("cy") / limit).alias("gy"))
+    ahead = F.array(*(F.struct(F.lit(i).alias("x"), F.lit(j).alias("y")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
+    other = cells.select(page, "k", "cx", "cy", "gx", "gy", F.explode(ahead).alias("d")).select(page, *(F.col(x).alias(f"b_{x}") for x in ("k", "cx", "cy")), (F.col("gx") + F.col("d.x")).alias("gx"), (F.col("gy") + F.col("d.y")).alias("gy"), ((F.col("d.x") == 0) & (F.col("d.y") == 0)).alias("own"))
+    far = distance(F.col("cx"), F.col("cy"), F.col("b_cx"), F.col("b_cy"))
+    pairs = cells.join(other, [page, "gx", "gy"]).filter((F.col("k") < F.col("b_k")) | (~F.col("own") & (F.col("k") != F.col("b_k")))).withColumn("distance", far).filter(F.col("distance") <= limit)
+    return pairs.select(page, F.least("k", "b_k").alias("a"), F.greatest("k", "b_k").alias("b"), "distance", (1 - F.col("distance") / limit).alias("strength"))
+
 
+def ranked_relations(relations: DataFrame) -> DataFrame:
+    """Relations of circle_text_relations with their ``place`` in their page, most confident first (ties: nearer, smaller circle, smaller text)."""
+    order = [F.desc("confidence"), "distance", "a_idx", "b_idx"]
+    return relations.withColumn("place", F.row_number().over(Window.partitionBy("a_page_id").orderBy(*order)))
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/mapsieve").rstrip("/")
-    path = f"{folder}/s-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def address_price_pairs(addresses: DataFrame, prices: DataFrame, limit: float = 100.0, page: str = "page_id") -> DataFrame:
+    """Every address (page, idx, cx, cy) of a page with every price of it: address, price, distance and whether it is near or far."""
+    a, b = addresses.alias("a"), prices.alias("b")
+    far = distance(F.col("a.cx"), F.col("a.cy"), F.col("b.cx"), F.col("b.cy"))
+    pairs = a.join(b, F.col(f"a.{page}") == F.col(f"b.{page}")).select(F.col(f"a.{page}").alias(page), F.col("a.idx").alias("address"), F.col("b.idx").alias("price"), far.alias("distance"))
+    return pairs.withColumn("relation", F.when(F.col("distance") < limit, "near").otherwise("far"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, page: str = "page_id", key: str = "idx") -> DataFrame:
@@ -125,19 +138,23 @@ def _united(batches):
     import pyarrow as pa
 
     def solve(table):
-        up: dict[tuple[int, int], int] = {}
-
-        def find(p, x):
-            while (y := up.setdefault((p, x), x)) != x:
-                up[p, x] = x = up[p, y]
-            return x
-
-        for p, a, b in zip(*(table.column(i).to_pylist() for i in range(3)), strict=True):
-            a, b = find(p, a), find(p, b)
-            if a != b:
-                up[p, max(a, b)] = min(a, b)
-        done = [(p, x, find(p, x)) for p, x in list(up)]
-        return pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in (zip(*done, strict=True) if done else ((), (), ()))], names=["p", "a", "component"])
+        p, a, b = (table.column(i).to_numpy() for i in range(3))
+        # nodes in order of page and key; every node is told the least node that it is tied to until none changes
+        order = np.lexsort((np.concatenate([a, b]), np.concatenate([p, p])))
+        page, node = np.concatenate([p, p])[order], np.concatenate([a, b])[order]
+        new = np.append(True, (page[1:] != page[:-1]) | (node[1:] != node[:-1]))
+        at = np.empty(len(order), dtype=np.int64)
+        at[order] = np.cumsum(new) - 1
+        page, node = page[new], node[new]
+        x, y = at[: len(a)], at[len(a) :]
+        root = np.arange(len(node))
+        while (root[x] != root[y]).any():
+            low = np.minimum(root[x], root[y])
+            np.minimum.at(root, root[x], low)
+            np.minimum.at(root, root[y], low)
+            while (root != root[root]).any():
+                root = root[root]
+        return pa.RecordBatch.from_arrays([pa.array(v, type=pa.int64()) for v in (page, node, node[root])], names=["p", "a", "component"])
 
     held = None
     for batch in batches:
@@ -155,13 +172,13 @@ def _united(batches):
 
 def components_by_rounds(nodes: DataFrame, edges: DataFrame, page: str = "page_id", key: str = "idx", rounds: int = 60) -> DataFrame:
     """As components, by rounds of minimum labels with a jump each; no page need fit into a task."""
-    both = _written(edges.select(page, F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(page, F.col("b").alias("x"), F.col("a").alias("y"))))
+    both = written(edges.select(page, F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(page, F.col("b").alias("x"), F.col("a").alias("y"))))
     labels = nodes.select(page, key).distinct().withColumn("component", F.col(key))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed(key, "y"), [page, "y"]).groupBy(page, F.col("x").alias(key)).agg(F.min("component").alias("low"))
         moved = labels.join(near, [page, key], "left").withColumn("next", F.least("component", F.coalesce("low", "component")))
         jump = moved.select(page, F.col(key).alias("next"), F.col("next").alias("far"))
-        moved = _written(moved.join(jump, [page, "next"], "left").select(page, key, "component", F.least("next", F.coalesce("far", "next")).alias("next")))
+        moved = written(moved.join(jump, [page, "next"], "left").select(page, key, "component", F.least("next", F.coalesce("far", "next")).alias("next")))
         labels = moved.select(page, key, F.col("next").alias("component"))
         if moved.filter("next <> component").isEmpty():
             return labels

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mapsieve.operators.storage import written
+
 
 def with_pages(rows: DataFrame, pages: DataFrame, files: DataFrame) -> DataFrame:
     """rows (page_id) with their page (page_id, pdf_id, page_number) and file (pdf_id, filename)."""
@@ -27,19 +29,36 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], defaults: dict[
 
 
 def append_with_ids(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """New rows numbered on from the greatest id there is.
+    """New rows numbered on from the greatest id there is, without gaps, in the order given (ties by the hash of the row).
 
-    The number of a row is its rank in the whole input: ranks within range partitions plus what stands before them.
+    Rows are sorted into ranges and written once with the number of their range and their place in
+    it; both the sizes of the ranges and the rows are read from there, so they belong to one sort.
     """
     start = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0]
-    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    sizes = sorted((r["__p"], r["count"]) for r in ranged.groupBy("__p").count().collect())
-    before, total = {}, start
-    for p, n in sizes:
-        before[p], total = total, total + n
-    offset = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("__p")) if before else F.lit(start)
-    rank = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    return existing.unionByName(ranged.withColumn(key, offset + rank).select(*existing.columns))
+    spark, by = new.sparkSession, [*order, F.xxhash64(*new.columns)]
+    number = F.monotonically_increasing_id()  # the partition's number above 33 bits, the row's place below
+    ranged = written(new.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", number))
+    ranged = ranged.withColumn("__p", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND((1 << 33) - 1))
+    before, total = [], start
+    for p, n in sorted((r["__p"], r["count"]) for r in ranged.groupBy("__p").count().collect()):
+        before.append((p, total))
+        total += n
+    offsets = spark.createDataFrame(before, "__p long, __before long")
+    numbered = ranged.join(F.broadcast(offsets), "__p").withColumn(key, (F.col("__before") + F.col("__at") + 1).cast(existing.schema[key].dataType))
+    return existing.unionByName(numbered.select(*existing.columns))
+
+
+def recreate(df: DataFrame, path: str) -> DataFrame:
+    """The table at path dropped, made anew of df, and read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded_history(rows: DataFrame, keys: list[str], order: list[Column], most: int = 1000, keep: int = 500) -> DataFrame:
+    """Of every key with more than ``most`` rows the last ``keep`` by order, of others all."""
+    w = Window.partitionBy(*keys)
+    placed_rows = rows.withColumns({"__n": F.count("*").over(w), "__at": F.row_number().over(w.orderBy(*order))})
+    return placed_rows.filter((F.col("__n") <= most) | (F.col("__at") > F.col("__n") - keep)).drop("__n", "__at")
 
 
 def placed(df: DataFrame, first: Column, bucket: Column, order: list[Column]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mapsieve.functions import geometry, scores, similarity
 from mapsieve.functions import text as T
-from mapsieve.operators import filters
+from mapsieve.operators import filters, pipeline
 from mapsieve.operators.statistics import rounded
 from mapsieve.plans.derived import WITH, detections, table
 
@@ -33,6 +33,7 @@ STAGE5_CASE = _cases((*_STAGE5, ("single_letter", "^[A-Za-z]$"), ("complex_ident
 FORMAT_CASE = _cases((("block_number", "^[0-9]{1,3}$"), ("route_price", "^[0-9]{1,4}[A-G]$"), ("complex_address", "^[0-9]{1,3}-[0-9]{1,3}[A-G]?$"), ("reference", "^[A-Z][0-9]{1,3}$"), ("partial_number", "^[0-9]+$"), ("partial_letter", "^[A-G]$")), "'invalid'")
 _NUMBER = "regexp_replace(text, '[^0-9A-Za-z_万千,.]', '', 'g')"
 _POTENTIAL = f"(regexp_matches({_NUMBER}, '[0-9]') AND (regexp_matches({_NUMBER}, '^[0-9]+[A-Z]?$|^[0-9]+万$|^[0-9]+千$|^[0-9]+[.][0-9]+$|^[0-9]+,[0-9]+$|^[0-9]+[.,][0-9]+万$') OR length(regexp_replace({_NUMBER}, '[^0-9]', '', 'g')) * 2 > length({_NUMBER})))"
+CLEAN_NUMBER = f"CASE WHEN regexp_matches({_NUMBER}, '^[0-9]+[A-Z]?$|^[0-9]+万$|^[0-9]+千$|^[0-9]+[.][0-9]+$|^[0-9]+,[0-9]+$|^[0-9]+[.,][0-9]+万$') THEN {_NUMBER} WHEN regexp_matches({_NUMBER}, '[0-9]') THEN regexp_extract({_NUMBER}, '[0-9]+') || regexp_extract({_NUMBER}, '[万千A-Z]') END"
 
 classes("M01_stage5_type", lambda: T.stage5_type(F.col("text")), STAGE5_CASE)
 classes("M01_multi_scale_type", lambda: T.stage5_type(F.col("text"), True), _cases((*_STAGE5, ("pure_letter", "^[A-Za-z]+$"), ("complex_identifier", "[-/]")), "'unknown'"))
@@ -41,7 +42,7 @@ classes("M03_price_text", lambda: T.is_price(F.col("text")), "regexp_matches(tex
 classes("M04_vector_class", lambda: T.vector_class(F.col("text")), "CASE WHEN regexp_matches(text, '丁目|番地|号|条|町') THEN 'address' WHEN length(text) > 3 AND NOT regexp_matches(text, '[0-9]') THEN 'district' WHEN regexp_matches(text, '^[0-9]{2,3}[A-G]$') THEN 'price' ELSE 'other' END")
 classes("M05_boxed_class", lambda: T.boxed_class(F.col("text"), F.col("w"), F.col("h")), "CASE WHEN regexp_matches(text, '^[0-9]+[A-Z]$|^[0-9]{2,3}$') THEN 'price' WHEN regexp_matches(text, '市|区|町|丁目') THEN 'address' WHEN w > h * 3 THEN 'street' ELSE 'other' END")
 classes("M06_potential_number", lambda: T.is_potential_number(F.col("text")), _POTENTIAL)
-classes("M07_clean_number", lambda: T.clean_number(F.col("text")), f"CASE WHEN regexp_matches({_NUMBER}, '^[0-9]+[A-Z]?$|^[0-9]+万$|^[0-9]+千$|^[0-9]+[.][0-9]+$|^[0-9]+,[0-9]+$|^[0-9]+[.,][0-9]+万$') THEN {_NUMBER} WHEN regexp_matches({_NUMBER}, '[0-9]') THEN regexp_extract({_NUMBER}, '[0-9]+') || regexp_extract({_NUMBER}, '[万千A-Z]') END")
+classes("M07_clean_number", lambda: T.clean_number(F.col("text")), CLEAN_NUMBER)
 classes("M08_ocr_price", lambda: T.ocr_price(F.col("text")), "CASE WHEN regexp_matches(translate(regexp_replace(text, '\\s', '', 'g'), 'OoIlSGB', '0011568'), '^[0-9]+[A-Z]?$|^[0-9]+万$|^[0-9]+千$') THEN translate(regexp_replace(text, '\\s', '', 'g'), 'OoIlSGB', '0011568') END")
 classes("M09_fallback_price", lambda: T.is_fallback_price(F.col("text")), "regexp_matches(text, '^[0-9]+[A-Z]?$|^[0-9]+万$|^[0-9]+千$|^[0-9]+[.][0-9]+$')")
 classes("M10_geometry_class", lambda: T.geometry_class(F.col("w"), F.col("h")), "CASE WHEN w / h < 1.5 THEN 'japanese' WHEN w / h < 3 THEN 'numbers' ELSE 'mixed' END")
@@ -78,7 +79,8 @@ add("Y04_char_jaccard", lambda s, d: detections(s, d).select("page_id", "idx", r
 
 kept = ("page_id", "idx", "text")
 add("F07_quality", lambda s, d: filters.quality(detections(s, d)).select(*kept), f"{WITH} SELECT page_id, idx, text FROM det WHERE confidence >= 0.5 AND w >= 5 AND h >= 5 AND trim(text) <> '' AND w / h BETWEEN 0.1 AND 10")
-add("F08_number_regions", lambda s, d: filters.number_regions(detections(s, d)).select(*kept), f"{WITH} SELECT page_id, idx, text FROM det WHERE confidence >= 0.3 AND w >= 8 AND h >= 8 AND w / h BETWEEN 0.1 AND 5 AND (text = '' OR {_POTENTIAL})")
+NUMBER_REGION = f"confidence >= 0.3 AND w >= 8 AND h >= 8 AND w / h BETWEEN 0.1 AND 5 AND (text = '' OR {_POTENTIAL})"
+add("F08_number_regions", lambda s, d: filters.number_regions(detections(s, d)).select(*kept), f"{WITH} SELECT page_id, idx, text FROM det WHERE {NUMBER_REGION}")
 add("F09_noise", lambda s, d: filters.noise(detections(s, d)).select(*kept), f"{WITH} SELECT page_id, idx, text FROM det WHERE length(trim(text)) BETWEEN 1 AND 20 AND confidence >= 0.1")
 add("F17_circle_bounds", lambda s, d: filters.circle_bounds(detections(s, d), 220, 210).select(*kept), f"{WITH} SELECT page_id, idx, text FROM det WHERE cx BETWEEN 0 AND 219 AND cy BETWEEN 0 AND 209 AND radius BETWEEN 5 AND 100 AND confidence >= 0.3")
 add("F18_region_shape", lambda s, d: filters.region_shape(detections(s, d), 500, 1500).select(*kept), f"{WITH} SELECT page_id, idx, text FROM det WHERE w * h BETWEEN 500 AND 1500 AND w / h BETWEEN 0.1 AND 10")
@@ -112,3 +114,4 @@ add("P06_context_window", lambda s, d: detections(s, d).select("page_id", "idx",
 add("P07_padding", lambda s, d: detections(s, d).select("page_id", "idx", geometry.padded(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.lit(230), F.lit(230), F.lit(5)).alias("b")).select("page_id", "idx", "b.*"), f"{WITH} SELECT page_id, idx, greatest(0, x1 - 5) AS x1, greatest(0, y1 - 5) AS y1, least(230, x2 + 5) AS x2, least(230, y2 + 5) AS y2 FROM det")
 add("P08_header_height", lambda s, d: detections(s, d).select("page_id", "idx", geometry.header_height(F.col("h") * 10).alias("header")), f"{WITH} SELECT page_id, idx, CAST(trunc(h * 10 * 0.15::DOUBLE) AS INT) AS header FROM det")
 add("Gj_tiles", lambda s, d: detections(s, d).select("page_id", "idx", F.explode(geometry.tiles(F.col("w") * 4, F.col("h") * 4, 64, 48, 0.5)).alias("t")).select("page_id", "idx", "t.*"), f"{WITH}, t AS (SELECT page_id, idx, w * 4 AS pw, h * 4 AS ph, unnest(generate_series(0, greatest(0, h * 4 - 1), 48)) AS y FROM det), u AS (SELECT *, unnest(generate_series(0, greatest(0, pw - 1), 48)) AS x FROM t) SELECT page_id, idx, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(least(64, pw - x) AS INT) AS w, CAST(least(64, ph - y) AS INT) AS h FROM u WHERE least(64, pw - x) >= 32 AND least(64, ph - y) >= 32")
+add("O09_final_ranking", lambda s, d: pipeline.final_ranking(QUERIES["C05_comprehensive_score"](s, d)).select("page_id", "idx", "place"), f"SELECT page_id, idx, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, idx) AS place FROM ({ORACLE_SQL['C05_comprehensive_score']})")

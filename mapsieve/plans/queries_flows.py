@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from mapsieve.functions import geometry as G
 from mapsieve.functions import text as T
-from mapsieve.operators import filters, fold, search, spatial, statistics, tables, vision
+from mapsieve.operators import filters, fold, search, spatial, statistics, storage, tables, vision
+from mapsieve.plans.queries_classify import CLEAN_NUMBER, NUMBER_REGION
 from mapsieve.plans.derived import WITH, detections, files, pages, table
 from mapsieve.sources import html
 from mapsieve.streaming import ingest
@@ -24,7 +23,7 @@ def add(name, run, sql=None):
 
 
 def _folder(spark):
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/mapsieve').rstrip('/')}/q-{uuid.uuid4().hex}"
+    return storage.shared_path(spark, "q")
 
 
 def _incremental(s, d):
@@ -39,12 +38,11 @@ add("R02_incremental_run", _incremental, "SELECT event_type, count(*) AS n FROM
 
 
 def _statuses(s, d):
-    """Counts by day and status of a log stream; all windows that the watermark has closed, and the open ones."""
+    """The last counts by day and status of a log stream."""
     at = _folder(s)
     log = ingest.new_files(s, f"{d}/event*.parquet", table(s, d, "events").schema).select(F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "error").otherwise("success").alias("status"))
-    name = f"status_{uuid.uuid4().hex}"
-    ingest.status_counts(log, "1 day", "100000 days").writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
-    return s.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    ingest.write_status_counts(log, f"{at}/out", f"{at}/checkpoint", "1 day", "30 days")
+    return ingest.latest_status_counts(s, f"{at}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 add("R04_status_stream", _statuses, "SELECT date_trunc('day', ts) AS start, CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status, count(*) AS n FROM events GROUP BY 1, 2")
@@ -54,10 +52,6 @@ def _all_sheets(s, d):
     return pages(s, d).select("page_id", F.lit("sheet").cast("binary").alias("image"), F.lit(200).alias("width"), F.lit(100).alias("height"))
 
 
-def _sheets(s, d):
-    return _all_sheets(s, d).filter("page_id % 10 = 0")
-
-
 def _scaled(sheets):
     return sheets.crossJoin(F.broadcast(sheets.sparkSession.range(1, 3).select(F.col("id").cast("int").alias("scale")))).select("page_id", "image", (F.col("width") * F.col("scale")).alias("width"), (F.col("height") * F.col("scale")).alias("height"))
 
@@ -69,12 +63,9 @@ def _registry():
 
 
 _CELLS = "(VALUES ('1', 0, 0, 100, 50), ('2', 100, 0, 200, 50), ('3', 0, 50, 100, 100), ('4', 100, 50, 200, 100)) AS c(text, x1, y1, x2, y2)"
-add("U01_engine_rows", lambda s, d: _registry().detect(_sheets(s, d)).select("page_id", "text", "x1", "y1", "x2", "y2", "engine"), f"{WITH} SELECT page_id, text, x1, y1, x2, y2, 'grid' AS engine FROM pg, {_CELLS} WHERE page_id % 10 = 0")
-add("B08_scales_and_engines", lambda s, d: _registry().detect(_scaled(_sheets(s, d))).groupBy("page_id").agg(F.count("*").alias("n"), F.max("x2").alias("right")), f"{WITH} SELECT page_id, 8::BIGINT AS n, 400 AS \"right\" FROM pg WHERE page_id % 10 = 0")
-# the two above keep the tenth of the pages that their SQL asks; these take every page
 add("U01_engine_rows_all", lambda s, d: _registry().detect(_all_sheets(s, d)).select("page_id", "text", "x1", "y1", "x2", "y2", "engine"), f"{WITH} SELECT page_id, text, x1, y1, x2, y2, 'grid' AS engine FROM pg, {_CELLS}")
 add("B08_scales_and_engines_all", lambda s, d: _registry().detect(_scaled(_all_sheets(s, d))).groupBy("page_id").agg(F.count("*").alias("n"), F.max("x2").alias("right")), f"{WITH} SELECT page_id, 8::BIGINT AS n, 400 AS \"right\" FROM pg")
-add("B09_best_valid_number", lambda s, d: filters.number_regions(detections(s, d)).withColumn("clean", T.clean_number(F.col("text"))).filter("clean is not null").groupBy("page_id").agg(F.max_by("clean", F.struct("confidence", -F.col("idx"))).alias("number")))
+add("B09_best_valid_number", lambda s, d: filters.number_regions(detections(s, d)).withColumn("clean", T.clean_number(F.col("text"))).filter("clean is not null").groupBy("page_id").agg(F.max_by("clean", F.struct("confidence", -F.col("idx"))).alias("number")), f"{WITH}, n AS (SELECT page_id, idx, confidence, {CLEAN_NUMBER} AS clean FROM det WHERE {NUMBER_REGION}) SELECT page_id, first(clean ORDER BY confidence DESC, idx) AS number FROM n WHERE clean IS NOT NULL GROUP BY 1")
 add("B02_batch_run", lambda s, d: statistics.batch_summary(pages(s, d).join(detections(s, d).groupBy("page_id").agg(F.count("*").alias("texts"), F.count_if(F.col("kind") == "circle").alias("circles")), "page_id").select(F.when(F.col("success"), "success").otherwise("error").alias("status"), "texts", "circles", F.lit(1).alias("seconds"))).select("total_files", "successful_files", "total_text_regions", "total_circles"), f"{WITH}, n AS (SELECT page_id, count(*) AS texts, count(*) FILTER (kind = 'circle') AS circles FROM det GROUP BY 1) SELECT count(*) AS total_files, count(*) FILTER (success) AS successful_files, CAST(coalesce(sum(texts) FILTER (success), 0) AS BIGINT) AS total_text_regions, CAST(coalesce(sum(circles) FILTER (success), 0) AS BIGINT) AS total_circles FROM pg JOIN n USING (page_id)")
 add("B03_two_branches", lambda s, d: detections(s, d).filter("kind = 'text'").groupBy("page_id").agg(F.count("*").alias("texts")).join(detections(s, d).filter("kind = 'circle'").groupBy("page_id").agg(F.count("*").alias("circles")), "page_id", "full").select("page_id", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("circles", F.lit(0)).alias("circles")), f"{WITH} SELECT page_id, count(*) FILTER (kind = 'text') AS texts, count(*) FILTER (kind = 'circle') AS circles FROM det GROUP BY 1")
 add("B04_place_then_text", lambda s, d: search.like_search(detections(s, d).join(pages(s, d), "page_id").join(search.by_location(files(s, d), "ASIA").select(F.col("file_id").alias("pdf_id"), "path"), "pdf_id"), "1", limit=20).select("page_id", "idx", "path"), f"{WITH} SELECT page_id, idx, path FROM det JOIN pg USING (page_id) JOIN files ON file_id = pdf_id WHERE prefecture = 'ASIA' AND contains(text, '1') ORDER BY confidence DESC, page_id, idx LIMIT 20")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mapsieve.functions import geometry as G
 from mapsieve.functions import scores
 from mapsieve.functions import text as T
-from mapsieve.operators import search, spatial, statistics, tables
+from mapsieve.operators import search, spatial, statistics, storage, tables, vision
 from mapsieve.operators.statistics import rounded
 from mapsieve.plans.derived import WITH, detections, files, pages, table, texts
 from mapsieve.plans.queries_page import IOU, MIN_OVERLAP, R
+from mapsieve.plans.queries_spatial import REACH
 from mapsieve.sources import detections as D
-from mapsieve.sources import hierarchy, html
+from mapsieve.sources import hierarchy, html, images, sqlite
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,9 +68,6 @@ add("A22_by_type", lambda s, d: detections(s, d).groupBy("kind", "engine").agg(F
 add("W05_growth_of_ten", lambda s, d: table(s, d, "events").select("user_id", "event_id", "ts", (F.last("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)) - F.first("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-9, 0)) > 100).alias("grew")).select("user_id", "event_id", "grew"), "SELECT user_id, event_id, last_value(event_id) OVER w - first_value(event_id) OVER w > 100 AS grew FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
 add("W04_enumerated", lambda s, d: detections(s, d).select("page_id", "idx", F.row_number().over(Window.partitionBy("page_id", "engine").orderBy("idx")).alias("n")), f"{WITH} SELECT page_id, idx, CAST(row_number() OVER (PARTITION BY page_id, engine ORDER BY idx) AS INT) AS n FROM det")
 add("W01_best_per_engine", lambda s, d: detections(s, d).withColumn("n", F.row_number().over(Window.partitionBy("page_id", "engine").orderBy(F.desc("confidence"), "idx"))).filter("n = 1").select("page_id", "engine", "idx"), f"{WITH} SELECT page_id, engine, idx FROM det QUALIFY row_number() OVER (PARTITION BY page_id, engine ORDER BY confidence DESC, idx) = 1")
-add("O01_newest_first", lambda s, d: pages(s, d).orderBy(F.desc("created_at"), "page_id").limit(200).select("page_id"), f"{WITH} SELECT page_id FROM pg ORDER BY created_at DESC, page_id LIMIT 200")
-add("O02_reading_order", lambda s, d: detections(s, d).orderBy("page_id", "y1", "x1", "idx").limit(500).select("page_id", "idx"), f"{WITH} SELECT page_id, idx FROM det ORDER BY page_id, y1, x1, idx LIMIT 500")
-# O01, O02 and O08 keep the rows that their SQL asks; these give every row its place
 _BUCKET = "floor(page_id / 4096)"
 add("O01_newest_first_all", lambda s, d: tables.placed(pages(s, d), F.col("created_at"), F.expr(_BUCKET), [F.col("page_id")]).select("page_id", "place"), f"{WITH} SELECT page_id, row_number() OVER (ORDER BY created_at DESC, page_id) AS place FROM pg")
 add("O02_reading_order_all", lambda s, d: detections(s, d).select("page_id", "idx", F.row_number().over(Window.partitionBy("page_id").orderBy("y1", "x1", "idx")).alias("place")), f"{WITH} SELECT page_id, idx, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, idx) AS place FROM det")
@@ -80,11 +80,7 @@ add("P04_tile_offset", lambda s, d: detections(s, d).select("page_id", "idx", (F
 add("J08_regions_at_point", lambda s, d: spatial.regions_at(detections(s, d).select(F.col("engine").alias("pdf_path"), F.lit(1).alias("page_number"), (F.col("x1") / 256).alias("nx1"), (F.col("y1") / 256).alias("ny1"), (F.col("x2") / 256).alias("nx2"), (F.col("y2") / 256).alias("ny2"), "page_id", "idx"), "paddle", 1, 0.25, 0.25).select("page_id", "idx"), f"{WITH} SELECT page_id, idx FROM det WHERE engine = 'paddle' AND 64 BETWEEN x1 AND x2 AND 64 BETWEEN y1 AND y2")
 add("J15_ward_of_city", lambda s, d: html.with_ward(files(s, d).select(F.col("file_id").alias("page_id"), "city", F.concat("city", F.lit(" "), "district").alias("navi")), files(s, d).select("city", F.col("district").alias("ward"), F.lit(1).alias("ord")).distinct()).select("page_id", "district"), f"{WITH} SELECT file_id AS page_id, district FROM files")
 add("D20_merged_lines", lambda s, d: spatial.merged_lines(detections(s, d)).groupBy("page_id").agg(F.count("*").alias("lines"), F.sum("line_count").alias("members")))
-add("A14_graph_summary", lambda s, d: spatial.graph_summary(detections(s, d), spatial.near_edges(detections(s, d), 60.0)).select("page_id", "nodes", "edges", "components"))
-add("K03_recreate_table", lambda s, d: files(s, d).select("path", "prefecture"), f"{WITH} SELECT path, prefecture FROM files")
 add("K08_download_plan", lambda s, d: tables.missing_downloads(files(s, d).select(F.concat(F.lit("http://x/"), "path").alias("url"), "path"), files(s, d).filter("file_id % 2 = 0").select("path")).select("url", "path"), f"{WITH} SELECT 'http://x/' || path AS url, path FROM files WHERE file_id % 2 <> 0")
-add("K11_move_plan", lambda s, d: files(s, d).filter("file_id % 7 = 0").select("path", F.concat_ws("/", "prefecture", "city", F.concat("filename", F.lit(".pdf"))).alias("target")), f"{WITH} SELECT path, prefecture || '/' || city || '/' || filename || '.pdf' AS target FROM files WHERE file_id % 7 = 0")
-# K11_move_plan plans the files that its SQL asks; this one decides from every file's path, and files in debt lie in a ward that is put at city level
 _LAID = "CASE WHEN balance < 0 THEN prefecture || '/' || district || '/' || filename || '.pdf' ELSE path END"
 add("K11_misplaced_files", lambda s, d: hierarchy.moves(files(s, d).selectExpr(f"{_LAID} AS path"), files(s, d).select("prefecture", "city", F.col("district").alias("ward"), F.dense_rank().over(Window.partitionBy("prefecture").orderBy("city")).alias("ord")).distinct()), f"{WITH}, c AS (SELECT prefecture, district, min(city) AS city FROM files GROUP BY 1, 2), l AS (SELECT {_LAID} AS path, filename FROM files) SELECT path, prefecture || '/' || c.city || '/' || district || '/' || filename || '.pdf' AS target FROM l JOIN c ON split_part(path, '/', 1) = prefecture AND split_part(path, '/', 2) = district")
 add("K13_label_geometry", lambda s, d: detections(s, d).select("page_id", "idx", F.concat("text", F.lit(" ("), F.col("w").cast("string"), F.lit(")")).alias("label"), F.when(F.col("kind") == "circle", "red").otherwise("green").alias("colour"), F.greatest(F.lit(0), F.col("y1") - 5).alias("label_y")), f"{WITH} SELECT page_id, idx, text || ' (' || w || ')' AS label, CASE WHEN kind = 'circle' THEN 'red' ELSE 'green' END AS colour, greatest(0, y1 - 5) AS label_y FROM det")
@@ -98,3 +94,66 @@ add("Y07_contained", lambda s, d: search.ratio_search(table(s, d, "benchmark").w
 add("Y07_contained_documents", lambda s, d: search.ratio_search(texts(s, d), "thing", contained=True).filter("similarity = 1").select("page_id"), "SELECT doc_id AS page_id FROM documents WHERE contains(text, 'thing')")
 add("T07_original_kept", lambda s, d: detections(s, d).select("page_id", "idx", T.corrected(F.col("text"), F.col("confidence")).alias("c")).select("page_id", "idx", "c.original_text"), f"{WITH} SELECT page_id, idx, text AS original_text FROM det")
 add("A20_per_place", lambda s, d: statistics.per_group(files(s, d), ["prefecture"], "file_id").select("prefecture", "n", "least", "most"), f"{WITH} SELECT prefecture, count(*) AS n, min(file_id) AS least, max(file_id) AS most FROM files GROUP BY 1")
+
+
+def _recreated(s, d):
+    at = storage.shared_path(s, "k03")
+    tables.recreate(files(s, d).filter("prefecture = 'ASIA'").select("path", "prefecture"), at)
+    return tables.recreate(files(s, d).select("path", "prefecture"), at)
+
+
+add("K03_recreated_table", _recreated, f"{WITH} SELECT path, prefecture FROM files")
+add("A14_graph_summary", lambda s, d: spatial.graph_summary(detections(s, d), spatial.near_edges(detections(s, d), 60.0)).select("page_id", "nodes", "edges", "components"), f"{REACH}, m AS (SELECT page_id, count(*) // 2 AS edges FROM e GROUP BY 1) SELECT comp.page_id, count(*) AS nodes, coalesce(any_value(m.edges), 0)::BIGINT AS edges, count(DISTINCT component) AS components FROM comp LEFT JOIN m ON m.page_id = comp.page_id GROUP BY 1")
+add("R03_bounded_history", lambda s, d: tables.bounded_history(table(s, d, "events"), ["event_type"], [F.col("ts"), F.col("event_id")]).select("event_id"), "SELECT event_id FROM (SELECT event_id, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS spot FROM events) WHERE n <= 1000 OR spot > n - 500")
+
+
+def _file(s, folder, name, content):
+    storage.write_file(s, f"{folder}/{name}", content)
+
+
+def _scanned_tree(s, d):
+    """An empty file in every district's directory, found again by a scan; the districts are few."""
+    root = storage.shared_path(s, "s01")
+    for r in files(s, d).select("prefecture", "city", "district").distinct().collect():
+        _file(s, root, f"{r.prefecture}/{r.city}/{r.district}/index.pdf", b"%PDF-")
+        _file(s, root, f"{r.prefecture}/{r.city}/note.txt", b"")
+    return hierarchy.scan(s, root).select("prefecture", "city", "district", "filename", "full_address", "file_size")
+
+
+add("S01_scanned_tree", _scanned_tree, f"{WITH} SELECT DISTINCT prefecture, city, district, 'index.pdf' AS filename, prefecture || city || district AS full_address, 5::BIGINT AS file_size FROM files")
+
+
+def _scanned_regions(s, d):
+    root = storage.shared_path(s, "s13")
+    for r in table(s, d, "nation").select("n_nationkey").collect():
+        _file(s, root, f"circle_{r.n_nationkey}_original.jpg", b"\xff\xd8")
+        _file(s, root, f"circle_{r.n_nationkey}_crop.jpg", b"\xff\xd8")
+    return D.roi_files(images.read(s, root).select("path")).select("name", "number")
+
+
+add("S13_scanned_regions", _scanned_regions, "SELECT 'circle_' || n_nationkey || '_original.jpg' AS name, CAST(n_nationkey AS VARCHAR) AS number FROM nation")
+
+
+def _image_files(s, d):
+    root = storage.shared_path(s, "s10")
+    for r in table(s, d, "nation").select("n_nationkey").collect():
+        k = int(r.n_nationkey)
+        _file(s, root, f"{k}.png", b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", 10 + k, 20 + k))
+        _file(s, root, f"{k}.gif", b"GIF89a" + struct.pack("<HH", 30 + k, 40 + k))
+        _file(s, root, f"{k}.jpg", b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08" + struct.pack(">HH", 50 + k, 60 + k) + b"\x03" * 9)
+        _file(s, root, f"{k}.bmp", b"BM broken")
+    return images.sized(images.read(s, root)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "kind", "width", "height")
+
+
+add("S10_image_files", _image_files, "SELECT n_nationkey || '.' || e AS name, CASE e WHEN 'jpg' THEN 'jpeg' WHEN 'bmp' THEN NULL ELSE e END AS kind, CAST(CASE e WHEN 'png' THEN 10 WHEN 'gif' THEN 30 WHEN 'jpg' THEN 60 END + n_nationkey AS INT) AS width, CAST(CASE e WHEN 'png' THEN 20 WHEN 'gif' THEN 40 WHEN 'jpg' THEN 50 END + n_nationkey AS INT) AS height FROM nation, (VALUES ('png'), ('gif'), ('jpg'), ('bmp')) AS t(e)")
+
+
+def _sqlite_rows(s, d):
+    root = storage.shared_path(s, "s14")
+    for key, rows in table(s, d, "nation").select("n_regionkey", "n_nationkey", "n_name").toPandas().groupby("n_regionkey"):
+        _file(s, root, f"region_{key}.db", sqlite.dump({"nation": rows}))
+    return sqlite.read(s, root, "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 3 ORDER BY n_name", "n_nationkey long, n_name string")
+
+
+add("S14_sqlite_rows", _sqlite_rows, "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_nationkey > 3")
+add("U04_adapted_thresholds", lambda s, d: vision.adapted_thresholds(pages(s, d).selectExpr("page_id", "page_id % 256 AS mean_brightness", "page_id % 200 AS contrast", "CAST(1000 + page_id % 2000 AS INT) AS width", "1000 AS height")).select("page_id", rounded(F.col("confidence_threshold"), 6).alias("confidence"), rounded(F.col("overlap_threshold"), 6).alias("overlap"), "max_detections"), f"{WITH} SELECT page_id, CASE WHEN page_id % 256 < 100 THEN 0.45 WHEN page_id % 256 > 200 THEN 0.55 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN page_id % 200 < 100 THEN 0.27 ELSE 0.3 END::DOUBLE AS overlap, CASE WHEN page_id % 2000 > 1000 THEN 1500 ELSE 1000 END AS max_detections FROM pg")

@@ -23,7 +23,6 @@ key = ("page_id", "idx")
 add("F01_by_location", lambda s, d: search.by_location(files(s, d), "ASIA", "", "BUILDING").select("path"), f"{WITH} SELECT path FROM files WHERE prefecture = 'ASIA' AND district = 'BUILDING'")
 add("F02_like_search", lambda s, d: search.like_search(detections(s, d), "1_a").select(*key, "text"), f"{WITH} SELECT page_id, idx, text FROM det WHERE text ILIKE '%1_a%' ORDER BY confidence DESC, page_id, idx LIMIT 100")
 add("F03_contains_search", lambda s, d: search.contains_search(detections(s, d), "5c").select(*key), f"{WITH} SELECT page_id, idx FROM det WHERE contains(lower(text), '5c')")
-add("F05_most_specific", lambda s, d: search.most_specific(files(s, d), "EUROPE", "FRANCE").select("path"), f"{WITH} SELECT path FROM files WHERE prefecture = 'EUROPE' AND city = 'FRANCE'")
 add("F06_distinct_places", lambda s, d: files(s, d).select("prefecture", "city").distinct(), f"{WITH} SELECT DISTINCT prefecture, city FROM files")
 add("S02_folder_index", lambda s, d: hierarchy.folders(files(s, d)), f"{WITH} SELECT DISTINCT prefecture, city, district, prefecture || ' ' || city || ' ' || district AS display_name FROM files")
 add("S01_located_paths", lambda s, d: hierarchy.located(files(s, d).select("path")).select("path", "prefecture", "district", "full_address"), f"{WITH} SELECT path, prefecture, district, prefecture || city || district AS full_address FROM files")
@@ -34,7 +33,6 @@ _SCORE = "(CASE WHEN prefecture = 'ASIA' THEN 40 WHEN contains(prefecture, 'ASIA
 _WANT = {"prefecture": "ASIA", "city": "IN", "district": "BUILDING"}
 add("Y06_hierarchical_search", lambda s, d: search.hierarchical_search(files(s, d), _WANT).select("path", "score"), f"{WITH} SELECT path, {_SCORE} AS score FROM files WHERE {_SCORE} > 0 ORDER BY score DESC, path LIMIT 50")
 add("Y06_match_details", lambda s, d: search.match_details(files(s, d), _WANT).select("path", "prefecture_match", "city_match", "district_match"), f"{WITH} SELECT path, CASE WHEN prefecture = 'ASIA' THEN 'exact' WHEN contains(prefecture, 'ASIA') THEN 'partial' ELSE 'none' END AS prefecture_match, CASE WHEN city = 'IN' THEN 'exact' WHEN contains(city, 'IN') THEN 'partial' ELSE 'none' END AS city_match, CASE WHEN district = 'BUILDING' THEN 'exact' WHEN contains(district, 'BUILDING') THEN 'partial' ELSE 'none' END AS district_match FROM files")
-add("Y05_folder_search", lambda s, d: search.folder_search(hierarchy.folders(files(s, d)).withColumn("path", F.col("display_name")), "france build"))
 add("B05_fuzzy_search", lambda s, d: search.fuzzy_search(texts(s, d), "thing and", 70.0).select("page_id", "similarity"))
 add("B06_fuzzy_exclusive", lambda s, d: search.fuzzy_search(texts(s, d), "thing and", 50.0, 50, True).select("page_id", "similarity"))
 add("B07_ratio_search", lambda s, d: search.ratio_search(texts(s, d), "the thing and the other thing", 0.3, 12).select("page_id", "similarity"))
@@ -44,7 +42,6 @@ add("O04_quota_numeric", lambda s, d: search.quota_search(detections(s, d).withC
 add("O04_circle_only", lambda s, d: search.quota_search(detections(s, d).withColumn("type", F.col("kind")), "7", True).select(*key), f"{_HITS} SELECT page_id, idx FROM h WHERE strict ORDER BY confidence DESC, page_id, idx LIMIT 4")
 add("O04_plain", lambda s, d: search.quota_search(detections(s, d).withColumn("type", F.col("kind")), "7a").select(*key), f"{WITH}, h AS (SELECT *, kind = 'circle' AND regexp_matches(text, '^[0-9]{{1,4}}$') AS strict FROM det WHERE contains(lower(text), '7a')) SELECT page_id, idx FROM h ORDER BY strict DESC, confidence DESC, page_id, idx LIMIT 4")
 add("O03_top_k", lambda s, d: detections(s, d).orderBy(F.desc("confidence"), *key).limit(50).select(*key), f"{WITH} SELECT page_id, idx FROM det ORDER BY confidence DESC, page_id, idx LIMIT 50")
-add("O08_by_area", lambda s, d: detections(s, d).orderBy(F.desc(F.col("w") * F.col("h")), *key).limit(100).select(*key), f"{WITH} SELECT page_id, idx FROM det ORDER BY w * h DESC, page_id, idx LIMIT 100")
 add("X01_union_all", lambda s, d: detections(s, d).filter("engine = 'paddle'").select(*key).unionByName(detections(s, d).filter("is_number").select(*key)), f"{WITH} SELECT page_id, idx FROM det WHERE engine = 'paddle' UNION ALL SELECT page_id, idx FROM det WHERE is_number")
 add("X04_fallback_union", lambda s, d: vision.with_fallback(detections(s, d).filter("engine = 'paddle'"), detections(s, d).filter("engine = 'easyocr'"), 2).select(*key), f"{WITH}, f AS (SELECT page_id FROM det WHERE engine = 'paddle' GROUP BY 1 HAVING count(*) >= 2) SELECT page_id, idx FROM det WHERE engine = 'paddle' UNION ALL SELECT page_id, idx FROM det WHERE engine = 'easyocr' AND page_id NOT IN (SELECT page_id FROM f)")
 add("X05_first_engine", lambda s, d: vision.first_engine(detections(s, d), ["tesseract", "paddle", "easyocr"]).select(*key), f"{WITH}, r AS (SELECT *, list_position(['tesseract', 'paddle', 'easyocr'], engine) AS p FROM det) SELECT page_id, idx FROM r QUALIFY p = min(p) OVER (PARTITION BY page_id)")
@@ -53,5 +50,9 @@ add("T04_address_parser", lambda s, d: s.createDataFrame([tuple(T.parse_address(
 _LINK = "<a\\b[^>]*\\bhref\\s*=\\s*\"([^\"]*)\"[^>]*>(.*?)</a>"
 add("S17_links", lambda s, d: html.links(table(s, d, "pages")).select("page_id", "pos", "href"), f"WITH t AS (SELECT page_id, regexp_extract_all(html, '(?is){_LINK}', 1) AS h FROM pages) SELECT page_id, CAST(unnest(generate_series(0, len(h) - 1)) AS INT) AS pos, unnest(h) AS href FROM t")
 add("S17_base_names", lambda s, d: html.links(table(s, d, "pages")).groupBy(html.base_name(F.col("href")).alias("name")).agg(F.count("*").alias("n")), f"WITH t AS (SELECT unnest(regexp_extract_all(html, '(?is){_LINK}', 1)) AS href FROM pages) SELECT string_split(href, '/')[-1] AS name, count(*) AS n FROM t GROUP BY 1")
-add("S18_place_of_page", lambda s, d: table(s, d, "pages").select("page_id", html.place_of_page(F.concat(F.lit("<title>x町y</title>"), F.col("html"))).alias("place")), "SELECT page_id, 'x町' AS place FROM pages")
 add("S19_url_map", lambda s, d: html.url_map(files(s, d).groupBy().agg(F.create_map(F.lit("r07"), F.map_from_entries(F.collect_set(F.struct("prefecture", F.lower("prefecture"))))).alias("mapping"))), f"{WITH} SELECT DISTINCT 'r07' AS year, prefecture, lower(prefecture) AS path FROM files")
+add("F05_most_specific_city", lambda s, d: search.most_specific(files(s, d), "AMERICA", "NATION_11").select("path"), f"{WITH} SELECT path FROM files WHERE prefecture = 'AMERICA' AND city = 'NATION_11'")
+add("F05_most_specific_district", lambda s, d: search.most_specific(files(s, d), "AMERICA", "NATION_11", "BUILDING").select("path"), f"{WITH} SELECT path FROM files WHERE prefecture = 'AMERICA' AND city = 'NATION_11' AND district = 'BUILDING'")
+add("Y05_folder_names", lambda s, d: search.folder_search(hierarchy.folders(files(s, d)).withColumn("path", F.col("display_name")), "nation_11 building"))
+_LEVELS = "concat('<html><head>', if(file_id % 3 > 0, concat('<title>map of<b> ', city, '市 and more</b></title>'), ''), '</head><body>', if(file_id % 2 = 0, concat('<div class=\"navi navi__level\"><a>', district, '区</a></div>'), ''), '<h1>', prefecture, '町</h1></body></html>')"
+add("S18_place_of_sheet", lambda s, d: files(s, d).select("file_id", F.expr(_LEVELS).alias("html")).select("file_id", F.trim(html.place_of_page(F.col("html"))).alias("place")), f"{WITH} SELECT file_id, CASE WHEN file_id % 2 = 0 THEN district || '区' WHEN file_id % 3 > 0 THEN 'map of ' || city || '市' ELSE prefecture || '町' END AS place FROM files")

@@ -58,6 +58,7 @@ def polygons(payload: DataFrame, least: float = 0.0) -> DataFrame:
 
 def mock_rows(spark: SparkSession, w: int, h: int) -> DataFrame:
     """Four fixed detections on a grid of two by two, for pages that no engine could read."""
+    # fixed values: the texts of the rows
     texts = ("六本木１丁目88-7", "川合３丁目120E", "東京都港区", "示例地址123")
     rows = []
     for i, t in enumerate(texts):

@@ -3,14 +3,15 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mapsieve.functions import geometry as G
 from mapsieve.functions import scores, similarity
 from mapsieve.functions import text as T
-from mapsieve.operators import filters, fold, pipeline, search, spatial, statistics, tables, vision
+from mapsieve.operators import filters, fold, pipeline, search, spatial, statistics, storage, tables, vision
 from mapsieve.sources import detections as D
-from mapsieve.sources import hierarchy, html
+from mapsieve.sources import hierarchy, html, images
 from mapsieve.sources.config import ServiceLimits
 from mapsieve.streaming import ingest
 
@@ -303,3 +304,70 @@ def test_components_by_page(spark):
             up[p, a] = up[p, b] = min(up[p, a], up[p, b])
     for f in (spatial.components, spatial.components_by_rounds):
         assert {(r.page_id, r.idx): r.component for r in f(df, edges).collect()} == up
+
+
+def test_appended_ids_are_unique_and_gapless(spark):
+    """Wide rows, ties and more than one sort of the same plan: ids must belong to one of them."""
+    old = spark.createDataFrame([(7, "x", "y")], "id long, name string, note string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        new = spark.range(300_000).selectExpr("md5(cast(id % 250000 as string)) as name", "repeat(md5(cast(id as string)), 6) as note").repartition(64)
+        got = tables.append_with_ids(old, new, "id", ["name"])
+        n, distinct, low, high = got.selectExpr("count(*)", "count(distinct id)", "min(id)", "max(id)").first()
+        assert (n, distinct, low, high) == (300_001, 300_001, 7, 300_007)
+        wrong = got.filter("id > 7").withColumn("next", F.lead("name").over(Window.partitionBy(F.expr("id div 1000")).orderBy("id"))).filter("next < name").count()
+        assert wrong == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tables.append_with_ids(old, new.limit(0), "id", ["name"]).count() == 1
+
+
+def test_bounded_history(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(12)] + [("b", i) for i in range(10)], "k string, t int")
+    got = tables.bounded_history(rows, ["k"], [F.col("t")], 10, 5).collect()
+    assert sorted((r.k, r.t) for r in got) == [("a", i) for i in range(7, 12)] + [("b", i) for i in range(10)]
+
+
+def test_registry_weights_times_and_availability(spark):
+    class Slow(vision.GridEngine):
+        name = "slow"
+
+        def detect(self, image, width, height):
+            import time
+
+            time.sleep(60)
+
+    class Broken(vision.GridEngine):
+        name = "broken"
+
+        def detect(self, image, width, height):
+            raise ValueError("no")
+
+    registry = vision.Registry()
+    registry.add(vision.GridEngine(), weight=0.5)
+    registry.add(Slow(), timeout=0.2)
+    registry.add(Broken())
+    assert not registry.add_if_available(("no_such_module_here",), Broken) and registry.add_if_available(("json",), vision.GridEngine, 0.5)
+    assert registry.available() == ["broken", "grid", "slow"] and [x["weight"] for x in registry.info()] == [1.0, 0.5, 1.0]
+    pages = spark.createDataFrame([(1, b"x", 200, 100)], "page_id long, image binary, width int, height int")
+    got = registry.detect(pages).collect()
+    assert {(r.engine, r.confidence) for r in got} == {("grid", 0.45)} and len(got) == 4
+
+
+def test_broken_images_have_no_size():
+    for data in (b"", b"\x89PNG\r\n\x1a\n", b"GIF89a", b"\xff\xd8\xff", b"\xff\xd8\xff\xe0\xff", b"BM", b"%PDF-1.4"):
+        assert images.size_of(data) == (None, None, None)
+
+
+def test_storage_is_released(spark):
+    held = list(storage._held)
+    storage._held.clear()
+    df = storage.written(spark.range(3).toDF("x"))
+    assert df.count() == 3
+    storage.release(spark)
+    with pytest.raises(Exception):
+        spark.read.schema("x long").parquet(df.inputFiles()[0]).collect()
+    storage._held.extend(held)
