@@ -23,7 +23,7 @@ of its words and nothing else.
 
 Both sides become rows.  Benchmark items give a row for each window: hash, item, place, fillings.
 Documents give the same for those of their windows whose hash stands in a gate, a bit array of the
-benchmark's hashes of at most 2**MOST_GATE bits, which is all that is broadcast; a hash that passes
+benchmark's hashes (two bits each) of at most 2**MOST_GATE bits, which is all that is broadcast; a hash that passes
 it by chance meets nothing later.  Both tables are joined on the hash (by broadcast where the
 benchmark's part is small, otherwise with hot hashes dealt out), the hits of a document are aligned
 and checked, and the answers go back to the packed documents, whose text is not moved.
@@ -49,7 +49,7 @@ LEAST = 4
 LITERAL = 4
 SHARE = 0.5
 LONG = 16
-LEAST_GATE, MOST_GATE = 16, 27
+LEAST_GATE, MOST_GATE = 17, 27
 _SLICE_BITS = 16
 #: The readings of a text, each with the space in which its shifts are counted (template and literal have the same tokens).
 READINGS = {"template": 0, "literal": 0, "runs": 1, "names": 2}
@@ -176,7 +176,7 @@ def item_windows(tokens: Tokens):
 
 def text_windows(tokens: Tokens, wanted: list[tuple[int, int]], gate: np.ndarray):
     """The same for texts: windows of the wanted kinds and widths whose key stands in the gate."""
-    shift = np.uint64(64 - (8 * len(gate)).bit_length() + 1)
+    shift, mask = np.uint64(64 - (8 * len(gate)).bit_length() + 1), np.uint64(8 * len(gate) - 1)
     for kind, width in wanted:
         reading = tokens.readings[_KINDS[kind]]
         keys, fits = _keys(reading, kind, width)
@@ -184,8 +184,9 @@ def text_windows(tokens: Tokens, wanted: list[tuple[int, int]], gate: np.ndarray
             fits = np.zeros(len(keys), dtype=bool)
             fits[reading.first[:-1][np.diff(reading.first) == width]] = True
         at = np.flatnonzero(fits)
-        spot = (keys[at] >> shift).astype(np.int64)
-        at = at[(gate[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0]
+        for place in (lambda x: x >> shift, lambda x: x & mask):
+            spot = place(keys[at]).astype(np.int64)
+            at = at[(gate[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 > 0]
         if len(at):
             yield kind, width, keys[at], np.searchsorted(reading.first, at, side="right") - 1, at
 
@@ -271,24 +272,23 @@ def _of_texts(wanted, gate):
     return run
 
 
-def _gate_slices(bits: int):
+def _gate_slices():
     out = pa.schema([("slice", pa.int32()), ("held", pa.binary())])
 
     def run(key, rows):
-        spot = rows.column("key").to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-        held = np.zeros(1 << min(bits, _SLICE_BITS), dtype=bool)
-        held[(spot & np.uint64(len(held) - 1)).astype(np.int64)] = True
+        held = np.zeros(1 << _SLICE_BITS, dtype=bool)
+        held[rows.column("spot").to_numpy() & (len(held) - 1)] = True
         return pa.table({"slice": pa.array([key[0].as_py()], type=pa.int32()), "held": pa.array([np.packbits(held, bitorder="little").tobytes()], type=pa.binary())}, schema=out)
 
     return run
 
 
 def gate_of(items: DataFrame) -> np.ndarray:
-    """The bits of all keys of a windows table: about 16 for each key, at most 2**MOST_GATE."""
-    bits = max(LEAST_GATE, min(MOST_GATE, (16 * items.count()).bit_length()))
+    """Two bits for each key of a windows table, the first digits of the key and the last: about 512 bits a key, 2**MOST_GATE in all at most."""
+    bits = max(LEAST_GATE, min(MOST_GATE, (512 * items.count()).bit_length()))
     gate = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    number = F.shiftrightunsigned("key", 64 - bits + _SLICE_BITS).cast("int") if bits > _SLICE_BITS else F.lit(0)
-    for r in items.select("key", number.alias("slice")).distinct().groupBy("slice").applyInArrow(_gate_slices(bits), "slice int, held binary").collect():
+    spots = items.select(F.explode(F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND((1 << bits) - 1))).alias("spot")).distinct()
+    for r in spots.select("spot", F.shiftright("spot", _SLICE_BITS).cast("int").alias("slice")).groupBy("slice").applyInArrow(_gate_slices(), "slice int, held binary").collect():
         gate[r.slice * len(r.held) : (r.slice + 1) * len(r.held)] = np.frombuffer(r.held, dtype=np.uint8)
     return gate
 
