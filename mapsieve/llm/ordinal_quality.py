@@ -109,6 +109,19 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - self.position(x, at)[:, None], -40, 40)))
 
 
+def slopes(position: np.ndarray, thresholds: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the log-likelihood of grades g: by each position, and by each threshold (a column each)."""
+    up = 1 / (1 + np.exp(-np.clip(position[:, None] - thresholds[None, :], -30, 30)))
+    bounds = np.concatenate([np.ones((len(g), 1)), up, np.zeros((len(g), 1))], 1)
+    row = np.arange(len(g))
+    chance = np.maximum(bounds[row, g] - bounds[row, g + 1], 1e-9)
+    slope = bounds * (1 - bounds)
+    cut = np.zeros((len(g), GRADES + 1))
+    cut[row, g] -= slope[row, g] / chance
+    cut[row, g + 1] += slope[row, g + 1] / chance
+    return (slope[row, g] - slope[row, g + 1]) / chance, cut[:, 1:GRADES]
+
+
 def fit(x: np.ndarray, at: np.ndarray, grade: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, shrink: float = 3e-4) -> Model:
     """Cumulative-link regression by AdaGrad over shuffled batches; thresholds stay in order by their gaps' logarithms."""
     there = np.unique(grade)
@@ -136,24 +149,16 @@ def fit(x: np.ndarray, at: np.ndarray, grade: np.ndarray, epochs: int = EPOCHS,
             thresholds = low + np.append(0, np.cumsum(np.exp(gaps)))
             model = Model(w, thresholds)
             position = model.position(xs, begin, count[own])
-            up = 1 / (1 + np.exp(-np.clip(position[:, None] - thresholds[None, :], -30, 30)))
-            bounds = np.concatenate([np.ones((len(own), 1)), up, np.zeros((len(own), 1))], 1)
-            g, row = grade[own], np.arange(len(own))
-            chance = np.maximum(bounds[row, g] - bounds[row, g + 1], 1e-9)
-            slope = bounds * (1 - bounds)
-            pull = (slope[row, g] - slope[row, g + 1]) / chance
+            pull, by_cut = slopes(position, thresholds, grade[own])
             each = np.repeat(pull, size[own])
+            touched, inverse = np.unique(xs, return_inverse=True)
             for half, factor in ((0, 1.0), (DIM, np.repeat(1 / np.sqrt(count[own]), size[own]))):
-                touched, inverse = np.unique(xs, return_inverse=True)
                 grad = np.bincount(inverse, weights=each * factor) / len(own)
                 seen[half + touched] += grad * grad
                 pace = rate / np.sqrt(seen[half + touched])
                 moved = w[half + touched] + pace * grad
                 w[half + touched] = np.sign(moved) * np.maximum(0.0, np.abs(moved) - pace * shrink)
-            cut = np.zeros((len(own), GRADES + 1))
-            cut[row, g] -= slope[row, g] / chance
-            cut[row, g + 1] += slope[row, g + 1] / chance
-            by_cut = cut[:, 1:GRADES].mean(0)
+            by_cut = by_cut.mean(0)
             grad = np.array([by_cut.sum(), *(by_cut[j + 1 :].sum() * np.exp(gaps[j]) for j in range(GRADES - 2))])
             seen_cut += grad * grad
             step = rate * grad / np.sqrt(seen_cut)

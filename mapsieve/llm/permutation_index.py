@@ -32,11 +32,11 @@ from mapsieve.llm import common as c
 
 PIVOTS = 256
 POSTED, ASKED = 2, 96
-SHARE, LEAST = 0.06, 24
+SHARE, LEAST = 0.06, 100
 BLOCK_ROWS, QUERY_ROWS = 4096, 512
 FILE_ROWS, FILE_QUERIES = 1 << 16, 1 << 14
 #: Rows that a task holds before it deals them to files, and found rows that it holds before it merges them.
-_HELD, _FOUND_ROWS = 1 << 15, 1 << 19
+_HELD, _FOUND_ROWS = 1 << 17, 1 << 19
 _FOUND = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 _BLOCK = pa.schema([("pivot", pa.int32()), ("n", pa.int64()), ("ids", pa.binary()), ("many", pa.binary()), ("vectors", pa.binary())])
 _BLOCK_DDL = "pivot int, n long, ids binary, many binary, vectors binary"

@@ -225,6 +225,22 @@ class TestQuality:
         kept = ordinal_quality.select(table, model)
         assert kept.schema == table.schema and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
+    def test_slopes_against_differences(self):
+        rng = np.random.default_rng(3)
+        position, cuts, g = rng.normal(size=60), np.array([-0.7, 0.9]), rng.integers(0, 3, 60)
+
+        def log_chance(position, cuts):
+            up = 1 / (1 + np.exp(-(position[:, None] - cuts[None, :])))
+            bounds = np.concatenate([np.ones((60, 1)), up, np.zeros((60, 1))], 1)
+            return np.log(bounds[np.arange(60), g] - bounds[np.arange(60), g + 1])
+
+        by_position, by_cut = ordinal_quality.slopes(position, cuts, g)
+        e = 1e-6
+        assert np.allclose(by_position, (log_chance(position + e, cuts) - log_chance(position - e, cuts)) / (2 * e), atol=1e-5)
+        for j in range(2):
+            d = e * np.eye(2)[j]
+            assert np.allclose(by_cut[:, j], (log_chance(position, cuts + d) - log_chance(position, cuts - d)) / (2 * e), atol=1e-5)
+
     def test_odd_rows_and_labels(self, spark):
         table = frame(spark, docs(20))
         none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
