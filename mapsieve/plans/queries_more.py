@@ -86,8 +86,6 @@ add("K11_misplaced_files", lambda s, d: hierarchy.moves(files(s, d).selectExpr(f
 add("K13_label_geometry", lambda s, d: detections(s, d).select("page_id", "idx", F.concat("text", F.lit(" ("), F.col("w").cast("string"), F.lit(")")).alias("label"), F.when(F.col("kind") == "circle", "red").otherwise("green").alias("colour"), F.greatest(F.lit(0), F.col("y1") - 5).alias("label_y")), f"{WITH} SELECT page_id, idx, text || ' (' || w || ')' AS label, CASE WHEN kind = 'circle' THEN 'red' ELSE 'green' END AS colour, greatest(0, y1 - 5) AS label_y FROM det")
 add("R01_expiring_entries", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("last")).select("user_id", (F.col("last") + F.expr("INTERVAL 3600 SECONDS")).alias("expires_at")), "SELECT user_id, max(ts) + INTERVAL 3600 SECOND AS expires_at FROM events GROUP BY 1")
 add("S13_region_files", lambda s, d: D.roi_files(files(s, d).select(F.concat(F.lit("roi/circle_"), F.col("file_id").cast("string"), F.lit("_original.jpg")).alias("path"))).select("path", "number"), f"{WITH} SELECT 'roi/circle_' || file_id || '_original.jpg' AS path, CAST(file_id AS STRING) AS number FROM files")
-add("S15_decoded_pages", lambda s, d: table(s, d, "pages").select("page_id", F.char_length(html.decoded(F.col("html").cast("binary"))).alias("n")))
-add("S16_decoded_index", lambda s, d: table(s, d, "pages").select("page_id", F.char_length(html.decoded_japanese(F.col("html").cast("binary"))).alias("n")))
 add("S22_mock_rows", lambda s, d: D.mock_rows(s, 600, 800), "SELECT text, CAST(x AS INT) AS x1, CAST(y AS INT) AS y1, CAST(x + 200 AS INT) AS x2, CAST(y + 30 AS INT) AS y2, 0.8::DOUBLE AS confidence, 'Mock' AS method FROM (VALUES ('六本木１丁目88-7', 50, 50), ('川合３丁目120E', 350, 50), ('東京都港区', 50, 450), ('示例地址123', 350, 450)) AS t(text, x, y)")
 add("Y07_patch_search", lambda s, d: search.ratio_search(texts(s, d), "thing", contained=True).select("page_id", "similarity"))
 add("Y07_contained", lambda s, d: search.ratio_search(table(s, d, "benchmark").withColumnRenamed("item_id", "page_id").withColumn("idx", F.lit(1)), "thing", contained=True).filter("similarity = 1").select("page_id"), "SELECT item_id AS page_id FROM benchmark WHERE contains(text, 'thing')")
@@ -157,3 +155,8 @@ def _sqlite_rows(s, d):
 
 add("S14_sqlite_rows", _sqlite_rows, "SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation WHERE n_nationkey > 3")
 add("U04_adapted_thresholds", lambda s, d: vision.adapted_thresholds(pages(s, d).selectExpr("page_id", "page_id % 256 AS mean_brightness", "page_id % 200 AS contrast", "CAST(1000 + page_id % 2000 AS INT) AS width", "1000 AS height")).select("page_id", rounded(F.col("confidence_threshold"), 6).alias("confidence"), rounded(F.col("overlap_threshold"), 6).alias("overlap"), "max_detections"), f"{WITH} SELECT page_id, CASE WHEN page_id % 256 < 100 THEN 0.45 WHEN page_id % 256 > 200 THEN 0.55 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN page_id % 200 < 100 THEN 0.27 ELSE 0.3 END::DOUBLE AS overlap, CASE WHEN page_id % 2000 > 1000 THEN 1500 ELSE 1000 END AS max_detections FROM pg")
+# names with a last character in one of three encodings; the names themselves are ASCII
+_ENCODED = "concat(encode(district, 'UTF-8'), CASE file_id % 3 WHEN 0 THEN X'8BE6' WHEN 1 THEN X'E4B881' ELSE X'B6E8' END)"
+_DECODED = f"{WITH} SELECT file_id, district || CASE file_id % 3 WHEN 1 THEN '丁' ELSE '区' END AS name FROM files"
+add("S15_decoded_names", lambda s, d: files(s, d).select("file_id", html.decoded(F.expr(_ENCODED)).alias("name")), _DECODED)
+add("S16_decoded_index_names", lambda s, d: files(s, d).select("file_id", html.decoded_japanese(F.expr(_ENCODED)).alias("name")), _DECODED)

@@ -96,3 +96,40 @@ def test_string_searches_meet_all_documents(spark):
     assert rows("O06_limit_first") == best(dict(first), lambda x: True)
     held = {i: 1.0 if "thing" in t else SequenceMatcher(None, "thing", t).ratio() for i, t in docs if t is not None}
     assert rows("Y07_patch_search") == best(held, lambda x: x > 0.3)
+
+
+def test_greedy_match_against_a_plain_one(spark, duck):
+    relations = duck.sql(registry.ORACLE_SQL["J03_circle_text"]).fetchall()
+    want, pages = set(), {}
+    for page, circle, txt, conf, _ in relations:
+        pages.setdefault(page, []).append((-conf, circle, txt))
+    for page, rows in pages.items():
+        circles, texts = set(), set()
+        for conf, circle, txt in sorted(rows):
+            if circle not in circles and txt not in texts:
+                circles.add(circle)
+                texts.add(txt)
+                want.add((page, circle, txt))
+    got = {(r.page_id, r.circle, r.txt) for r in registry.QUERIES["J06_greedy_match"](spark, str(DATA)).collect()}
+    assert got == want and want
+
+
+def test_folder_search_finds_names(spark):
+    rows = registry.QUERIES["Y05_folder_names"](spark, str(DATA)).collect()
+    assert len(rows) == 5 and rows[0].path == "AMERICA NATION_11 BUILDING"
+    assert [r.similarity for r in rows] == sorted((r.similarity for r in rows), reverse=True)
+
+
+@pytest.mark.parametrize("flags", [["A04_top_places"], ["--search", "1", "--prefecture", "ASIA", "--max-results", "7"], ["--address", "東京都港区"], ["--stats"]])
+def test_flags(spark, flags):
+    from mapsieve.__main__ import answer, parser
+
+    df = answer(spark, parser().parse_args([*flags, "--tables", str(DATA)]))
+    if "--search" in flags:
+        rows = df.collect()
+        assert len(rows) == 7 and all(r.path.startswith("ASIA/") and ("1" in r.text or r.text in "1") for r in rows)
+    elif "--stats" in flags:
+        assert df.first().files == spark.read.parquet(f"{DATA}/customer.parquet").count()
+    else:
+        df.collect()
+    assert answer(spark, parser().parse_args([])) is None
