@@ -150,20 +150,22 @@ def _search(pivots: np.ndarray, k: int, kind: str):
             _, names, q_place, q_v = kept(row, "q_")
             at = np.cumsum(many) - many
             most = max(LEAST, k, int(SHARE * len(v)))
-            for name, q_rank, q in zip(names.tolist(), q_place, q_v, strict=True):
-                own = np.arange(len(v))
-                if len(own) > most:
-                    far = footrule(q_rank, place)
-                    own = np.argpartition(far, most - 1)[:most]
+            # squares of the distances, near enough to tell which are looked at exactly
+            squares = (v * v).sum(1)[None, :], (q_v * q_v).sum(1)[:, None]
+            far = squares[0] + squares[1] - 2 * (q_v @ v.T)
+            if not np.isfinite(far).all():  # the squares of very large components
+                far = np.stack([((v - q) ** 2).sum(1) for q in q_v])
+            if len(v) > most:
+                for i, q_rank in enumerate(q_place):
+                    by_rank = footrule(q_rank, place)
                     # all that tie with the last stay, so that the order of a block's rows does not matter
-                    own = np.flatnonzero(far <= far[own].max())
-                score = np.sqrt(((v[own] - q) ** 2).sum(1))
-                if len(own) > k:
-                    stays = score <= np.partition(score, k - 1)[k - 1]
-                    own, score = own[stays], score[stays]
-                spot = np.arange(int(many[own].sum())) - np.repeat(np.cumsum(many[own]) - many[own], many[own]) + np.repeat(at[own], many[own])
-                found.append((np.full(len(spot), name), ids[spot], np.repeat(score, many[own])))
-                size += len(spot)
+                    far[i, by_rank > np.partition(by_rank, most - 1)[most - 1]] = np.inf
+            edge = np.partition(far, k - 1, axis=1)[:, k - 1 : k] if len(v) > k else far.max(axis=1, keepdims=True)
+            asked, own = np.nonzero(far <= edge + 1e-10 * (squares[0] + squares[1]))
+            score = np.sqrt(((v[own] - q_v[asked]) ** 2).sum(1))
+            spot = np.arange(int(many[own].sum())) - np.repeat(np.cumsum(many[own]) - many[own], many[own]) + np.repeat(at[own], many[own])
+            found.append((np.repeat(names[asked], many[own]), ids[spot], np.repeat(score, many[own])))
+            size += len(spot)
             if size >= _FOUND_ROWS:
                 found = [merged()]
                 size = len(found[0][0])
