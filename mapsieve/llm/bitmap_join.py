@@ -2,8 +2,8 @@
 
 1. A document's set is its distinct WIDTH-word shingles as 64-bit hashes.  Documents with equal
    sets fall into one class, represented by the smallest doc_id; classes are what is joined.
-2. The shingles of all classes are counted: chunks send them to hash buckets, which answer with the
-   number of classes that hold each (counts above 64 in steps).  Every set is put in one order,
+2. The shingles of all classes are counted: chunks send them, counted once already, to hash buckets,
+   which answer with the number of classes that hold each (counts above 64 in steps).  Every set is put in one order,
    rarest shingles first, ties by hash.  Of two sets with similarity 0.8 or more, the heads of
    ``n - ceil(0.8 n) + 1`` shingles share one; so every class is dealt to a tile for each shingle of
    its head that another class holds too, and no link can be lost.  A text of which a fifth is its
@@ -143,16 +143,33 @@ def _own_classes(row: dict):
     return told[:, 1], sets[np.arange(int(begin[-1])) - np.repeat(begin[:-1], size) + np.repeat(at[told[:, 0]], size)], begin, answers
 
 
+def _short(sets: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles by the 32 bits that follow their bucket's: each such name once, in order, with the buckets there are and where
+    they begin (with the end), and for every shingle the place of its name."""
+    order = np.argsort(sets, kind="stable")
+    name = sets[order] >> np.uint64(32 - bits)
+    new = np.append(True, name[1:] != name[:-1])[: len(name)]
+    back = np.empty(len(sets), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    name = name[new]
+    there, at = np.unique((name >> np.uint64(32)).astype(np.int64), return_index=True)
+    return name, there, np.append(at, len(name)), back
+
+
 def _ask(bits: int):
-    """The shingles of a chunk's classes, as the 32 bits that follow the bucket's."""
+    """The shingles of a chunk's classes: names, each once, and the places and counts of those that several classes hold."""
 
     def run(batches):
         for row in c.rows_of(batches):
             if row["replies"]:
                 _, sets, _, _ = _own_classes(row)
-                order, there, at = c.by_bucket(sets, bits)
-                short = (sets[order] >> np.uint64(32 - bits)).astype(np.uint32)
-                yield c.table(_MESSAGE, bucket=there.astype(np.int32), chunk=[row["chunk"]] * len(there), body=[short[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)])
+                name, there, at, back = _short(sets, bits)
+                held = np.bincount(back, minlength=len(name)).astype(np.uint32)
+                bodies = []
+                for i, j in zip(at[:-1], at[1:], strict=True):
+                    more = np.flatnonzero(held[i:j] > 1)
+                    bodies.append(np.int64(j - i).tobytes() + name[i:j].astype(np.uint32).tobytes() + more.astype(np.uint32).tobytes() + held[i:j][more].tobytes())
+                yield c.table(_MESSAGE, bucket=there.astype(np.int32), chunk=[row["chunk"]] * len(there), body=bodies)
 
     return run
 
@@ -164,11 +181,18 @@ def step_of(count: np.ndarray) -> np.ndarray:
 
 def _count(key, messages):
     """How many classes hold each shingle of a bucket, told to every chunk in the order in which it asked."""
-    bodies = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in messages.column("body")]
-    _, back, n = np.unique(np.concatenate(bodies), return_inverse=True, return_counts=True)
-    steps, tag = step_of(n)[back], np.int64(key[0].as_py()).tobytes()
-    ends = np.cumsum([len(x) for x in bodies])
-    return pa.table({"chunk": messages.column("chunk"), "reply": pa.array([tag + steps[e - len(x) : e].tobytes() for e, x in zip(ends, bodies, strict=True)], type=pa.binary())})
+    names, held = [], []
+    for x in messages.column("body"):
+        x = x.as_buffer()
+        n = int(np.frombuffer(x, dtype=np.int64, count=1)[0])
+        names.append(np.frombuffer(x, dtype=np.uint32, offset=8, count=n))
+        held.append(np.ones(n, dtype=np.int64))
+        place, many = np.frombuffer(x, dtype=np.uint32, offset=8 + 4 * n).reshape(2, -1)
+        held[-1][place] = many
+    _, back = np.unique(np.concatenate(names), return_inverse=True)
+    steps, tag = step_of(np.bincount(back, weights=np.concatenate(held)).astype(np.int64))[back], np.int64(key[0].as_py()).tobytes()
+    ends = np.cumsum([len(x) for x in names])
+    return pa.table({"chunk": messages.column("chunk"), "reply": pa.array([tag + steps[e - len(x) : e].tobytes() for e, x in zip(ends, names, strict=True)], type=pa.binary())})
 
 
 def heads(sets: np.ndarray, begin: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,9 +223,8 @@ def _post(bits: int, hot: int):
             if not row["replies"]:
                 continue
             names, sets, begin, answers = _own_classes(row)
-            order, there, _ = c.by_bucket(sets, bits)
-            steps = np.empty(len(sets), dtype=np.uint8)
-            steps[order] = np.concatenate([answers[b] for b in there.tolist()]) if len(there) else steps
+            _, there, _, back = _short(sets, bits)
+            steps = np.concatenate([answers[b] for b in there.tolist()])[back] if len(there) else np.zeros(0, dtype=np.uint8)
             place, own = heads(sets, begin, steps)
             warm = steps[place] > limit
             bodies = [(-1, np.stack([names[own[warm]], sets[place[warm]].view(np.int64)], 1).tobytes())] if warm.any() else []
