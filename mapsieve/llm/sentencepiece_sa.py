@@ -1,7 +1,8 @@
 """SentencePiece (BPE model) encoding and decoding by suffix-array matching.
 
-Encoding a batch: its texts fall into units that no piece spans (a run of spaces with the word
-after it, or a line break).  The distinct units that are new are joined into one index text whose
+Encoding a batch: its texts fall into units that no piece spans, cut wherever two bytes meet that
+stand side by side in no piece of the vocabulary.  The distinct units that are new (they are told
+apart by 64-bit hashes) are joined into one index text whose
 suffixes are sorted up to the longest piece; two binary searches for every piece give the range of
 its occurrences, each an edge over the index text.  The edges, sorted by where they end, are then
 relaxed: an edge is taken if it begins where an accepted edge ends and the two pieces can stand
@@ -12,7 +13,6 @@ the same segmentation as merging pairs by score.
 Characters outside the vocabulary become byte pieces.  Spaces count as U+2581, with one in front of
 every text, as the model's normalizer (identity, with a dummy prefix) has it.
 
-Models whose pieces hold U+2581 after another character are handled with whole texts as units.
 Defined results: a null or empty text has no pieces and decodes to the empty text; U+2581 in a text
 decodes to a space; repeated rows get equal answers; extra columns are ignored.
 """
@@ -20,7 +20,6 @@ decodes to a space; repeated rows get equal answers; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 
 import numpy as np
@@ -32,11 +31,14 @@ from mapsieve.llm import common as c
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ROUND_BYTES = 96 << 10
-CACHE_UNITS = 80_000
+#: Units, and ids of theirs, that a worker process remembers before it forgets those that did not come again.
+CACHE_UNITS, CACHE_IDS = 1 << 19, 1 << 22
 _MARK = "▁".encode()
 #: Slots of the table that remembers which pairs of pieces can stand side by side.
 _PAIR_SLOTS = 1 << 20
 _NONE, _BEGIN, _BARE = -3, -2, -1
+#: Ids that are spelled at once.
+_SPELLED = 1 << 18
 
 
 class Pieces:
@@ -50,7 +52,6 @@ class Pieces:
         self.silent = {i for i, (_, _, kind) in enumerate(pieces) if kind == "other"}
         self.score = {p: s for p, s, kind in pieces if kind == "normal"}
         ids = {p: i for i, (p, _, kind) in enumerate(pieces) if kind == "normal"}
-        self.whole = any("▁" in p.lstrip("▁") for p in ids)
         # ranks: single characters first, then merges by descending score
         order = sorted(ids, key=lambda p: (len(p) > 1, -self.score[p], ids[p]))
         self.rank = {ids[p]: k for k, p in enumerate(order)}
@@ -143,49 +144,97 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, keys[order][:, :depth].copy().view(f"S{depth}")[:, 0]
 
 
+def spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers begin[0], begin[0] + 1, ... (many[0] of them), then those from begin[1], and so on."""
+    return np.arange(int(many.sum())) + np.repeat(begin - (np.cumsum(many) - many), many)
+
+
+def cuts_of(pieces: Pieces) -> np.ndarray:
+    """For every two bytes (256 * first + second) whether no piece holds them side by side, so that a text falls apart between them."""
+    joined = np.zeros((256, 256), dtype=bool)
+    joined[:, 0x80:0xC0] = True  # within a character
+    for i in pieces.rank:
+        raw = np.frombuffer(pieces.text[i].replace(_MARK, b" "), dtype=np.uint8)
+        joined[raw[:-1], raw[1:]] = True
+    return ~joined.ravel()
+
+
 class Encoder:
-    """Encodes texts with one vocabulary; keeps the newest units' answers."""
+    """Encodes texts with one vocabulary; keeps the answers of units by their hashes."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.names, self.begin, self.many = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        #: Whether each unit came again since the others were forgotten, and the answers of all, joined.
+        self.again, self.ids = np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int32)
         self.pairs, self.fit = np.full(_PAIR_SLOTS, -1, dtype=np.int64), np.zeros(_PAIR_SLOTS, dtype=bool)
-        self.units = re.compile(rb".+", re.DOTALL) if pieces.whole else re.compile(rb" *[^ \n]+|\n| +")
-        self.spelled = [b"" if i in pieces.silent else pieces.byte_of.get(i, t.replace(_MARK, b" ")) for i, t in enumerate(pieces.text)]
+        self.cuts = cuts_of(pieces)
+        spelled = [b"" if i in pieces.silent else pieces.byte_of.get(i, t.replace(_MARK, b" ")) for i, t in enumerate(pieces.text)]
+        self.spelled, self.spelled_size = np.frombuffer(b"".join(spelled), dtype=np.uint8), np.array([len(t) for t in spelled])
+        self.spelled_at = np.cumsum(self.spelled_size) - self.spelled_size
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Piece ids of each text."""
-        cut = [self.units.findall(b" " + t.replace(_MARK, b" ")) if t else [] for t in texts]
-        if len(self.new) > CACHE_UNITS:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = set().union(*cut) - new.keys()
-        if missing and old:
-            for unit in missing & old.keys():
-                new[unit] = old[unit]
-            missing -= old.keys()
-        held, size = [], 0
-        for unit in sorted(missing):
-            held.append(unit)
-            size += len(unit)
-            if size >= ROUND_BYTES:
-                self._index(held)
-                held, size = [], 0
-        if held:
-            self._index(held)
-        known = new.__getitem__
-        return [np.frombuffer(b"".join(map(known, units)), dtype=np.int32) for units in cut]
-
-    def _index(self, units: list[bytes]) -> None:
+        spaced = [b" " + t.replace(_MARK, b" ") if t else b"" for t in texts]
+        first = np.append(0, np.cumsum([len(t) for t in spaced])).astype(np.int64)
+        data = np.frombuffer(b"".join(spaced), dtype=np.uint8)
+        if not len(data):
+            return [self.ids[:0]] * len(texts)
+        cut = np.append(True, self.cuts[data[:-1].astype(np.uint16) << 8 | data[1:]])
+        cut[first[:-1][np.diff(first) > 0]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(data))
+        found, size = [], []
+        edge = np.unique(np.append(np.searchsorted(start, np.arange(0, len(data), c.CHUNK_BYTES)), len(start))).tolist()
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            low = start[a]
+            begin, many = self._answers(data[low : end[b - 1]], start[a:b] - low, end[a:b] - low)
+            found.append(self.ids[spread(begin, many)])
+            size.append(many)
+        ids, ends = np.concatenate(found), np.append(0, np.cumsum(np.concatenate(size)))
+        at = ends[np.searchsorted(start, first)].tolist()
+        return [ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def _answers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of every unit begin in self.ids, and how many they are."""
+        if len(self.names) > CACHE_UNITS or len(self.ids) > CACHE_IDS:
+            self._forget()
+        keys = c.mix(c.span_hash(c.prefix_hash(data), start, end) + (end - start).astype(np.uint64))
+        names, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.names, names)
+        there = spot < len(self.names)
+        there[there] = self.names[spot[there]] == names[there]
+        self.again[spot[there]] = True
+        new = np.flatnonzero(~there)
+        if len(new):
+            a, b = start[at[new]], end[at[new]]
+            turn = np.cumsum(b - a) // ROUND_BYTES
+            edge = [0, *(np.flatnonzero(turn[1:] != turn[:-1]) + 1).tolist(), len(new)]
+            raw = data.tobytes()
+            told = [self._index([raw[x:y] for x, y in zip(a[i:j].tolist(), b[i:j].tolist(), strict=True)]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+            many = np.concatenate([n for _, n in told])
+            begin = len(self.ids) + np.cumsum(many) - many
+            self.ids = np.concatenate([self.ids, *(ids for ids, _ in told)])
+            self.names, self.begin, self.many, self.again = (np.insert(x, spot[new], y) for x, y in ((self.names, names[new]), (self.begin, begin), (self.many, many), (self.again, False)))
+            spot = np.searchsorted(self.names, names)
+        return self.begin[spot][back], self.many[spot][back]
+
+    def _forget(self) -> None:
+        """Keep the units that came again since the last time; none, if they are over half of what may be kept."""
+        keep = self.again if self.again.sum() <= CACHE_UNITS // 2 and self.many[self.again].sum() <= CACHE_IDS // 2 else np.zeros(len(self.again), dtype=bool)
+        begin, self.names, self.many = self.begin[keep], self.names[keep], self.many[keep]
+        self.ids = self.ids[spread(begin, self.many)]
+        self.begin, self.again = np.cumsum(self.many) - self.many, np.zeros(len(self.names), dtype=bool)
+
+    def _index(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct units, joined, and how many each has."""
         p = self.pieces
         marked = [u.replace(b" ", _MARK) for u in units]
         text = np.frombuffer(b"\xff".join(marked), dtype=np.uint8)
         order, keys = suffix_array(text, p.longest)
         low, high = np.searchsorted(keys, p.sought), np.searchsorted(keys, p.beyond, side="right")
         many = high - low
-        spot = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-        start = order[spot]
+        start = order[spread(low, many)]
         rank = np.repeat(p.sought_rank, many)
         end = start + np.repeat(p.sought_size, many)
         # characters without a piece: an edge of their own, which nothing merges with
@@ -227,14 +276,8 @@ class Encoder:
         many = np.where(ranks >= 0, 1, char[where])
         ids = np.repeat(np.where(ranks >= 0, p.id_array[ranks], 0), many)
         bytes_of = np.repeat(ranks < 0, many)
-        spot = np.arange(len(ids)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(where, many)
-        ids[bytes_of] = p.byte_array[text[spot[bytes_of]]]
-        raw = ids.astype(np.int32).tobytes()
-        ends = (np.cumsum(np.bincount(unit, weights=many, minlength=len(units))) * 4).astype(np.int64).tolist()
-        low = 0
-        for name, high in zip(units, ends, strict=True):
-            self.new[name] = raw[low:high]
-            low = high
+        ids[bytes_of] = p.byte_array[text[spread(where, many)[bytes_of]]]
+        return ids.astype(np.int32), np.bincount(unit, weights=many, minlength=len(units)).astype(np.int64)
 
     def _beside(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """side_by_side for many pairs, by a table that keeps the latest pair of each slot."""
@@ -254,9 +297,13 @@ class Encoder:
             self.fit[own[stays]] = out[missing[stays]]
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        out = b"".join(map(self.spelled.__getitem__, ids.tolist()))
-        return out[1:] if out[:1] == b" " else out
+    def decode(self, found: list[np.ndarray]) -> list[bytes]:
+        """The texts of lists of piece ids."""
+        ids = np.concatenate([*found, self.ids[:0]])
+        ends = np.append(0, np.cumsum(self.spelled_size[ids]))
+        raw = b"".join(self.spelled[spread(self.spelled_at[x], self.spelled_size[x])].tobytes() for x in (ids[i : i + _SPELLED] for i in range(0, len(ids), _SPELLED)))
+        at = ends[np.append(0, np.cumsum([len(x) for x in found])).astype(np.int64)].tolist()
+        return [raw[i + (raw[i : i + 1] == b" " and i < j) : j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
 def _batches(pieces: Pieces, batch: pa.RecordBatch, column: int):
@@ -265,7 +312,7 @@ def _batches(pieces: Pieces, batch: pa.RecordBatch, column: int):
     for a, b, data, offsets in c.text_parts(batch.column(column)):
         texts = [data[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
         found = encoder.encode(texts)
-        yield a, b, found, [encoder.decode(x) == t.replace(_MARK, b" ") for x, t in zip(found, texts, strict=True)]
+        yield a, b, found, [x == t.replace(_MARK, b" ") for x, t in zip(encoder.decode(found), texts, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -308,6 +355,7 @@ def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
     def run(batches):
         encoder = Encoder(pieces)
         for batch in batches:
-            yield c.table(schema, doc_id=batch.column(0), text=[encoder.decode(np.array(x.as_py() or [], dtype=np.int32)).decode(errors="replace") for x in batch.column(1)])
+            texts = encoder.decode([np.array(x.as_py() or [], dtype=np.int32) for x in batch.column(1)])
+            yield c.table(schema, doc_id=batch.column(0), text=[x.decode(errors="replace") for x in texts])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "pieces").mapInArrow(run, "doc_id long, text string")

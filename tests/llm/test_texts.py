@@ -367,6 +367,42 @@ class TestSentencePiece:
         got = sentencepiece_sa.Encoder(sentencepiece_sa.load()).encode([t.encode() for t in texts])
         assert [x.tolist() for x in got] == [sp.encode(t) for t in texts]
 
+    def test_units_that_come_again_are_remembered_and_others_forgotten(self, monkeypatch):
+        import sentencepiece
+
+        monkeypatch.setattr(sentencepiece_sa, "CACHE_UNITS", 40)
+        monkeypatch.setattr(sentencepiece_sa, "CACHE_IDS", 300)
+        sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_sa.MODEL)
+        encoder, rng = sentencepiece_sa.Encoder(sentencepiece_sa.load()), random.Random(4)
+        letters, kept = "aeiouß中é.,#$'- \nstr19", []
+        for _ in range(40):
+            texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) + " the same words" for _ in range(rng.randint(0, 12))]
+            found = encoder.encode([t.encode() for t in texts])
+            assert [x.tolist() for x in found] == [sp.encode(t) for t in texts]
+            assert encoder.decode(found) == [t.encode() for t in texts]
+            kept.append(len(encoder.names))
+        assert min(kept[10:]) < max(kept) and (np.diff(encoder.names.astype(object)) > 0).all()
+
+    def test_pieces_that_span_words(self):
+        merges = ["ab", "▁a", "b▁", "b▁a", "▁ab", ".a", "ab.", "é.", "▁▁", "ab▁a"]
+        vocabulary = [(x, 0.0, "normal") for x in "▁abé."] + [(x, -1.0 - k, "normal") for k, x in enumerate(merges)] + [(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)]
+        score, ids = {x: s for x, s, _ in vocabulary}, {x: i for i, (x, _, _) in enumerate(vocabulary)}
+
+        def merged(text):
+            parts = list("▁" + text.replace(" ", "▁")) if text else []
+            while True:
+                best = max(((score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in score), default=None)
+                if best is None:
+                    return [k for x in parts for k in ([ids[x]] if x in ids else [ids[f"<0x{b:02X}>"] for b in x.encode()])]
+                parts[-best[1] : 2 - best[1]] = ["".join(parts[-best[1] : 2 - best[1]])]
+
+        rng = random.Random(6)
+        texts = ["".join(rng.choice("aabb  .éx") for _ in range(rng.randint(0, 30))) for _ in range(400)]
+        encoder = sentencepiece_sa.Encoder(sentencepiece_sa.Pieces(vocabulary))
+        found = encoder.encode([t.encode() for t in texts])
+        assert [x.tolist() for x in found] == [merged(t) for t in texts]
+        assert encoder.decode(found) == [t.encode() for t in texts]
+
     def test_suffix_array(self):
         rng = random.Random(2)
         text = "".join(rng.choice("ab") for _ in range(400)).encode()
