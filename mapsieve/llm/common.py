@@ -116,16 +116,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return start, end, np.searchsorted(offsets, start, side="right") - 1
+    return start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
 
 
 def stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words without the ASCII punctuation marks at either edge; a word of such marks alone ends empty."""
-    plain = np.flatnonzero(~_MARK[data])
-    left, right = np.searchsorted(plain, start), np.searchsorted(plain, end)
+    marked = np.flatnonzero(_MARK[data[start]] | _MARK[data[end - 1]])
+    plain, a, b = np.flatnonzero(~_MARK[data]), start[marked], end[marked]
+    left, right = np.searchsorted(plain, a), np.searchsorted(plain, b)
     some = left < right
     at = np.append(plain, 0)
-    return np.where(some, at[left], start), np.where(some, at[np.maximum(right, 1) - 1] + 1, start)
+    start, end = start.copy(), end.copy()
+    start[marked], end[marked] = np.where(some, at[left], a), np.where(some, at[np.maximum(right, 1) - 1] + 1, a)
+    return start, end
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, folded: bool = True, strip: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -82,13 +82,32 @@ def _hash_of(word: str) -> np.uint64:
 
 _UNIT_HASHES = np.sort(np.array([_hash_of(u) for u in UNITS], dtype=np.uint64))
 _FUNCTION_HASHES = np.sort(np.array([_hash_of(w) for w in FUNCTION], dtype=np.uint64))
-_DIGIT, _NUMERIC = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_DIGIT, _NUMERIC, _STOP = (np.zeros(256, dtype=bool) for _ in range(3))
+_STOP[[*b".!?:"]] = True
 _DIGIT[48:58] = True
 _NUMERIC[[*range(48, 58), *b".,%-+/:"]] = True
 
 
 def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+    """Whether each hash is among the known ones; nearly all others fail by their first 16 bits."""
+    first = np.zeros(1 << 16, dtype=bool)
+    first[known >> np.uint64(48)] = True
+    out = first[hashes >> np.uint64(48)]
+    own = np.flatnonzero(out)
+    out[own] = known[np.minimum(np.searchsorted(known, hashes[own]), len(known) - 1)] == hashes[own]
+    return out
+
+
+def _numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each word (none is empty) has a digit and nothing but digits and the marks that stand in numbers."""
+    out = _NUMERIC[data[start]] & _NUMERIC[data[end - 1]]
+    own = np.flatnonzero(out)
+    if len(own):
+        size = end[own] - start[own]
+        begin = np.cumsum(size) - size
+        held = data[np.arange(int(size.sum())) + np.repeat(start[own] - begin, size)]
+        out[own] = np.logical_and.reduceat(_NUMERIC[held], begin) & np.logical_or.reduceat(_DIGIT[held], begin)
+    return out
 
 
 class Reading:
@@ -124,15 +143,15 @@ class Tokens:
         empty = a >= b
         a, b = np.where(empty, start, a), np.where(empty, end, b)
         self.literal = c.mix(c.span_hash(c.prefix_hash(data, True), a, b) + (b - a).astype(np.uint64))
-        digits, numeric = np.append(0, np.cumsum(_DIGIT[data])), np.append(0, np.cumsum(_NUMERIC[data]))
-        number = (digits[b] > digits[a]) & (numeric[b] - numeric[a] == b - a)
+        number = _numbers(data, a, b)
         unit = _among(self.literal, _UNIT_HASHES)
         head, second = data[a], data[np.minimum(a + 1, len(data) - 1)]
         capital = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97))
         # a sentence begins with a document, after . ! ? : or after a line's end
         opens = np.zeros(len(start), dtype=bool)
         opens[self.first[:-1][self.first[:-1] < len(start)]] = True
-        opens[1:] |= np.isin(data[end[:-1] - 1], (46, 33, 63, 58)) | (np.append(0, np.cumsum(data == 10))[start[1:]] > np.append(0, np.cumsum(data == 10))[end[:-1]])
+        lines = np.cumsum(data == 10, dtype=np.int32)
+        opens[1:] |= _STOP[data[end[:-1] - 1]] | (lines[start[1:] - 1] > lines[end[:-1] - 1])
         proper = capital & ~number & ~unit
         name = proper & ~opens
         wide = proper & ~(opens & _among(self.literal, _FUNCTION_HASHES))
