@@ -200,11 +200,11 @@ def chunk_id(part: int, seq: int, buckets: int) -> int:
     return base
 
 
-def _packer(buckets: int):
-    return lambda batches: _pack(batches, buckets)
+def _packer(buckets: int, chunk_bytes: int):
+    return lambda batches: _pack(batches, buckets, chunk_bytes)
 
 
-def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], buckets: int, chunk_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part, seq = TaskContext.get().partitionId(), 0
@@ -233,7 +233,7 @@ def _pack(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             (rest, rest_offsets), *more = [x[2:] for x in text_parts(batch.column(2).slice(a, b - a), 1 << 62)]
             held.append((values[a:b].tobytes(), known[a:b].tobytes(), offsets, data.tobytes(), rest_offsets, rest.tobytes()))
             size += len(data) + len(rest) + 32 * (b - a)
-            if size >= CHUNK_BYTES * 3 // 4:
+            if size >= chunk_bytes * 3 // 4:
                 yield flush()
     if held:
         yield flush()
@@ -268,7 +268,7 @@ def guessed_bytes(df: DataFrame) -> int | None:
     return guess if guess < 1 << 60 else None
 
 
-def packed(docs: DataFrame, whole: bool = False) -> Corpus:
+def packed(docs: DataFrame, whole: bool = False, chunk_bytes: int = CHUNK_BYTES) -> Corpus:
     """Write (doc_id, text) as a packed corpus table, bucketed by chunk, and read it back.
 
     The text is written once and never shuffled.  There are at least as many buckets as
@@ -276,6 +276,7 @@ def packed(docs: DataFrame, whole: bool = False) -> Corpus:
     on chunk moves the other side only.  Chunk ids are chosen so that a task fills SPREAD buckets,
     which keeps files few and large.
     whole: the other columns come along as a JSON text of each row; see unpacked_rows.
+    chunk_bytes: what a chunk aims at; larger chunks send fewer messages.
     """
     spark = docs.sparkSession
     name = f"packed_{uuid.uuid4().hex}"
@@ -283,7 +284,7 @@ def packed(docs: DataFrame, whole: bool = False) -> Corpus:
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(_MOST_TABLE_BUCKETS, (guessed_bytes(docs) or 0) // TABLE_BUCKET_BYTES))
     others = [x for x in docs.columns if x not in ("doc_id", "text")]
     rest = F.to_json(F.struct(*(F.col(f"`{x}`") for x in others))) if whole and others else F.lit("")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest.alias("rest")).mapInArrow(_packer(buckets), PACKED_DDL)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), rest.alias("rest")).mapInArrow(_packer(buckets, chunk_bytes), PACKED_DDL)
     rows.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "chunk").saveAsTable(name)
     return Corpus(spark.table(name), buckets)
 

@@ -1,10 +1,11 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-Counting: every chunk of the packed corpus asks hash buckets for the counts of its distinct
-words, and adds its bigrams to the buckets.  A bucket answers with exact word counts and turns
-its bigrams into one page of the filter: a bigram with count c enters the page with each of the
-levels 1 .. 1 + floor(log(c) / log(LEVEL_BASE)).  The count is read back by probing level after
-level until one is missing.
+Counting: every chunk of the packed corpus sends each hash bucket one message with its distinct
+words and bigrams there and their counts in training.  A bucket adds them up and turns its bigrams
+into one page of the filter: a bigram with count c enters the page with each of the levels
+1 .. 1 + floor(log(c) / log(LEVEL_BASE)).  The count is read back by probing level after level
+until one is missing.  The bucket probes its page once for each bigram that any chunk has, and
+answers every message with exact word counts and bigram levels.
 
 Scoring: with c(v, w) from the filter (at most min(c(v), c(w))) and exact word counts, a bigram
 model ``L * c(v, w) / c(v) + (1 - L) * P(w)`` is summed for each L in WEIGHTS, and the score is
@@ -14,9 +15,8 @@ nothing in the corpus therefore loses at most log10(len(WEIGHTS)) against the ba
 The number of buckets, and so of pages, follows from the bytes of the corpus alone, so neither the
 scores nor a bucket's size depend on the session's settings or on how the rows are dealt.
 
-The pages are broadcast while they total at most ``max_filter_bytes``.  Beyond that no page
-leaves its bucket: the chunks send the bigrams that they hold to the buckets, which probe their
-pages and answer with levels.  Both ways give the same score.
+No page needs to leave its bucket.  A caller may have the pages broadcast while they total at most
+``max_filter_bytes``, and the chunks probe them; this costs more and gives the same score.
 
 Defined results: a null or blank text is the end token alone; a null doc_id trains and is not
 held out; repeated rows count each time; an empty table gives no rows; words are told apart by a
@@ -41,14 +41,17 @@ BITS_PER_ENTRY = 12
 PROBES = 7
 WEIGHTS = (0.0, 0.1, 0.35, 0.7, 0.95)
 MAX_FILTER_BYTES = 128 << 20
+#: Text bytes of a chunk here, and of the slices in which its words are hashed.
+CHUNK_BYTES, SLICE_BYTES = 4 << 20, 1 << 18
 _END, _START = np.uint64(0xE0D), np.uint64(0x57A27)
 _LEVELS = 64
 #: The count that a level stands for: the middle of the counts that it holds.
 _LEVEL_COUNT = np.array([0.0] + [max(1.0, (math.ceil(LEVEL_BASE ** (j - 1)) + math.ceil(LEVEL_BASE**j) - 1) / 2) for j in range(1, _LEVELS)])
 
-_MESSAGE = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("body", pa.binary())])
-_ANSWER = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("reply", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
-_WORD, _PAIR = 1, 2
+#: body: words (8 bytes each) and their counts (4), then bigrams (4) and their counts (4).
+_MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("words", pa.int32()), ("body", pa.binary())])
+#: reply: the bucket, the number of words (4 bytes each), their counts (8) and the bigrams' levels (1); of a page (chunk null), its bytes.
+_ANSWER = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("reply", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64())])
 
 
 def held_out(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -57,8 +60,15 @@ def held_out(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all tokens (words, then the end of each document), of the token before each, and where each document begins."""
-    hashes, first = c.word_hashes(data, offsets)
     docs = len(offsets) - 1
+    parts, firsts, n, at = [], [], 0, 0
+    while at < docs:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
+        hashes, first = c.word_hashes(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        parts.append(hashes)
+        firsts.append(first[:-1] + n)
+        n, at = n + len(hashes), to
+    hashes, first = np.concatenate(parts), np.append(np.concatenate(firsts), n)
     begin = first + np.arange(docs + 1)
     token = np.full(len(hashes) + docs, _END, dtype=np.uint64)
     is_word = np.ones(len(token), dtype=bool)
@@ -70,37 +80,47 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return token, before, begin
 
 
-def _pairs(before: np.ndarray, token: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket and 32 further bits of each bigram's hash, as one number."""
-    return c.mix(before * np.uint64(0xD6E8FEB86659FD93) + token) >> np.uint64(32 - bits)
+def _pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The hash of each bigram."""
+    return c.mix(before * np.uint64(0xD6E8FEB86659FD93) + token)
 
 
-def _request(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[np.ndarray] = []
+def _names(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """Bucket and 32 further bits of each bigram's hash, as one number, by which messages and pages tell bigrams apart."""
+    return pairs >> np.uint64(32 - bits)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order; the order of all keys, and where in it each distinct one begins."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[at], order, at
 
-        def merged():
-            ids, n = np.unique(np.concatenate(pairs), return_counts=True)
-            pairs.clear()
-            buckets, at = np.unique(ids >> np.uint64(32), return_index=True)
-            for b, i, j in zip(buckets.tolist(), at, np.append(at[1:], len(ids)), strict=False):
-                body = (ids[i:j] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + n[i:j].astype(np.uint32).tobytes()
-                yield c.table(_MESSAGE, kind=[_PAIR], bucket=[b], chunk=[-1], body=[body])
 
+def _places(order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For every key the place of its distinct one; see _distinct."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.repeat(np.arange(len(at)), np.diff(at, append=len(order)))
+    return out
+
+
+def _request(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = np.arange(1, 1 << bits, dtype=np.uint64)
         for row in c.rows_of(batches):
             ids, known, offsets, data = c.unpacked(row)
             token, before, begin = _tokens(data, offsets)
-            train = np.repeat(~held_out(ids, known), np.diff(begin))
-            words, inverse = np.unique(token, return_inverse=True)
-            n = np.bincount(inverse, weights=train, minlength=len(words)).astype(np.uint32)
-            buckets, at = np.unique(words >> np.uint64(64 - bits), return_index=True)
-            ends = [*at[1:], len(words)]
-            yield c.table(_MESSAGE, kind=[_WORD] * len(buckets), bucket=buckets.astype(np.int32), chunk=[row["chunk"]] * len(buckets), body=[words[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(at, ends, strict=True)])
-            pairs.append(_pairs(before[train], token[train], bits))
-            if sum(map(len, pairs)) > 6_000_000:
-                yield from merged()
-        if pairs:
-            yield from merged()
+            train = np.repeat(~held_out(ids, known), np.diff(begin)).astype(np.uint32)
+            words, order, at = _distinct(token)
+            seen = np.add.reduceat(train[order], at, dtype=np.uint32)
+            pairs, order, at = _distinct(_names(_pairs(before, token), bits))
+            hits = np.add.reduceat(train[order], at, dtype=np.uint32)
+            w, p = (np.concatenate([[0], np.searchsorted(names, edges << np.uint64(shift)), [len(names)]]) for names, shift in ((words, 64 - bits), (pairs, 32)))
+            names = pairs.astype(np.uint32)
+            there = np.flatnonzero((np.diff(w) > 0) | (np.diff(p) > 0))
+            body = [words[w[b] : w[b + 1]].tobytes() + seen[w[b] : w[b + 1]].tobytes() + names[p[b] : p[b + 1]].tobytes() + hits[p[b] : p[b + 1]].tobytes() for b in there]
+            yield c.table(_MESSAGE, bucket=there.astype(np.int32), chunk=[row["chunk"]] * len(there), words=np.diff(w)[there].astype(np.int32), body=body)
 
     return run
 
@@ -141,114 +161,97 @@ def probe(pages: np.ndarray, begin: np.ndarray, size: np.ndarray, rem: np.ndarra
     return found
 
 
-def _reduce(key, batches):
-    kind, bucket = key[0].as_py(), key[1].as_py()
-    chunks, bodies = batches.column("chunk").to_pylist(), [x.as_buffer() for x in batches.column("body")]
-    if kind == _WORD:
-        sizes = [len(x) // 12 for x in bodies]
-        words = np.concatenate([np.frombuffer(x, dtype=np.uint64, count=n) for x, n in zip(bodies, sizes, strict=True)])
-        n = np.concatenate([np.frombuffer(x, dtype=np.uint32, offset=8 * k) for x, k in zip(bodies, sizes, strict=True)])
-        types, inverse = np.unique(words, return_inverse=True)
-        total = np.bincount(inverse, weights=n, minlength=len(types)).astype(np.int64)
-        counts, ends = total[inverse], np.cumsum(sizes)
-        rows = [np.int32(bucket).tobytes() + counts[e - k : e].tobytes() for e, k in zip(ends, sizes, strict=True)]
-        first = [True] + [False] * (len(rows) - 1)
-        return pa.Table.from_batches([c.table(_ANSWER, kind=[_WORD] * len(rows), bucket=[bucket] * len(rows), chunk=chunks, reply=rows, tokens=[int(total.sum()) * f for f in first], types=[int((total > 0).sum()) * f for f in first])])
-    sizes = [len(x) // 8 for x in bodies]
-    rem = np.concatenate([np.frombuffer(x, dtype=np.uint32, count=n) for x, n in zip(bodies, sizes, strict=True)])
-    n = np.concatenate([np.frombuffer(x, dtype=np.uint32, offset=4 * k) for x, k in zip(bodies, sizes, strict=True)])
-    names, inverse = np.unique(rem, return_inverse=True)
-    page = page_of(names, np.bincount(inverse, weights=n))
-    return pa.Table.from_batches([c.table(_ANSWER, kind=[_PAIR], bucket=[bucket], chunk=[-1], reply=[page.tobytes()], tokens=[0], types=[len(names)])])
-
-
-def _ask_levels(bits: int):
-    """Beyond the broadcast bound: each chunk's distinct bigrams, by bucket."""
-
-    def run(batches):
-        for row in c.rows_of(batches):
-            _, _, offsets, data = c.unpacked(row)
-            token, before, _ = _tokens(data, offsets)
-            ids = np.unique(_pairs(before, token, bits))
-            buckets, at = np.unique(ids >> np.uint64(32), return_index=True)
-            rem = (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            yield c.table(_MESSAGE, kind=[_PAIR] * len(buckets), bucket=buckets.astype(np.int32), chunk=[row["chunk"]] * len(buckets), body=[rem[i:j].tobytes() for i, j in zip(at, [*at[1:], len(ids)], strict=True)])
+def _reduce(with_page: bool):
+    """A bucket's answers to its messages; with_page: and its page."""
+
+    def run(key, messages):
+        bucket, bodies = key[0].as_py(), [x.as_buffer() for x in messages.column("body")]
+        n_words = messages.column("words").to_numpy()
+        n_pairs = (np.array([len(x) for x in bodies]) - 12 * n_words) // 8
+
+        def joined(kind, n, at):
+            return np.concatenate([np.frombuffer(x, dtype=kind, count=k, offset=i) for x, k, i in zip(bodies, n.tolist(), at.tolist(), strict=True)])
+
+        _, order, at = _distinct(joined(np.uint64, n_words, 0 * n_words))
+        total = np.add.reduceat(joined(np.uint32, n_words, 8 * n_words)[order], at, dtype=np.int64)
+        counts = total[_places(order, at)]
+        names, order, at = _distinct(joined(np.uint32, n_pairs, 12 * n_words))
+        hits = np.add.reduceat(joined(np.uint32, n_pairs, 12 * n_words + 4 * n_pairs)[order], at, dtype=np.int64)
+        page = page_of(names[hits > 0], hits[hits > 0])
+        levels = probe(page, np.zeros(len(names), dtype=np.int64), np.full(len(names), 8 * len(page)), names).astype(np.uint8)[_places(order, at)]
+        w, p = np.cumsum(n_words), np.cumsum(n_pairs)
+        rows = [np.array([bucket, k], dtype=np.int32).tobytes() + counts[i - k : i].tobytes() + levels[j - m : j].tobytes() for i, k, j, m in zip(w, n_words, p, n_pairs, strict=True)]
+        chunks = messages.column("chunk").to_pylist()
+        if with_page:
+            rows.append(page.tobytes())
+            chunks.append(None)
+        first = [1] + [0] * (len(rows) - 1)
+        return pa.Table.from_batches([c.table(_ANSWER, bucket=[bucket] * len(rows), chunk=chunks, reply=rows, tokens=[int(total.sum()) * f for f in first], types=[int((total > 0).sum()) * f for f in first])])
 
     return run
 
 
-def _tell_levels(asked, pages):
-    out = pa.schema([("chunk", pa.int64()), ("reply", pa.binary())])
-    page = np.frombuffer(pages.column("reply")[0].as_buffer(), dtype=np.uint8) if pages.num_rows else np.zeros(0, dtype=np.uint8)
-    rows = []
-    for bucket, body in zip(asked.column("bucket").to_pylist(), asked.column("body"), strict=True):
-        rem = np.frombuffer(body.as_buffer(), dtype=np.uint32)
-        level = probe(page, np.zeros(len(rem), dtype=np.int64), np.full(len(rem), 8 * len(page)), rem)
-        rows.append(np.int32(-1 - bucket).tobytes() + level.astype(np.uint8).tobytes())
-    return pa.table({"chunk": asked.column("chunk"), "reply": pa.array(rows, type=pa.binary())}, schema=out)
-
-
 SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCORES_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def _score(bits: int, total: int, types: int, train_docs: int, shared):
-    """shared: a broadcast of (joined pages, begin and size in bits of each bucket's page), or None where the buckets answered."""
+    """shared: a broadcast of (joined pages, begin and size in bits of each bucket's page), or None where the buckets' levels count."""
 
     def run(batches):
         log_base = math.log10(total + 0.1 * (types + 1))
         for row in c.rows_of(batches):
             ids, known, offsets, data = c.unpacked(row)
             token, before, begin = _tokens(data, offsets)
-            words, inverse = np.unique(token, return_inverse=True)
-            answers = {int(np.frombuffer(x, dtype=np.int32, count=1)[0]): x for x in row["replies"]}
-            counts = np.concatenate([np.frombuffer(answers[b], dtype=np.uint8, offset=4).view(np.int64) for b in sorted(b for b in answers if b >= 0)])
-            n = counts[inverse]
-            log_p = np.log10(n + 0.1) - log_base
-            base = np.add.reduceat(log_p, begin[:-1])
-            n_before = np.empty_like(n)
-            n_before[1:] = n[:-1]
-            n_before[begin[:-1]] = train_docs
-            pairs = _pairs(before, token, bits)
-            if shared is not None:
-                pages, at, size = shared.value
-                bucket = (pairs >> np.uint64(32)).astype(np.int64)
-                level = np.zeros(len(pairs), dtype=np.int64)
-                ask = np.flatnonzero((n > 0) & (n_before > 0))
-                level[ask] = probe(pages, at[bucket[ask]], size[bucket[ask]], (pairs[ask] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            answers = sorted((*np.frombuffer(x, dtype=np.int32, count=2).tolist(), x) for x in row["replies"])
+            # of every distinct word: its count and the log10 of its probability
+            count = np.concatenate([np.frombuffer(x, dtype=np.uint8, offset=8, count=8 * k).view(np.int64) for _, k, x in answers])
+            log_p = np.log10(count + 0.1) - log_base
+            place = _places(*_distinct(token)[1:])
+            # of every distinct bigram: a place where it stands, its words' counts and the level of its name, which others may share
+            pairs, order, at = _distinct(_pairs(before, token))
+            pairs = _names(pairs, bits)
+            back, where = _places(order, at), order[at]
+            n, opens = count[place[where]], np.zeros(len(token), dtype=bool)
+            opens[begin[:-1]] = True
+            n_before = np.where(opens[where], train_docs, count[place[where - 1]])
+            if shared is None:
+                level = np.concatenate([np.frombuffer(x, dtype=np.uint8, offset=8 + 8 * k) for _, k, x in answers])[np.cumsum(np.append(False, pairs[1:] != pairs[:-1]))]
             else:
-                own, back = np.unique(pairs, return_inverse=True)
-                level = np.concatenate([np.frombuffer(answers[b], dtype=np.uint8, offset=4) for b in sorted((b for b in answers if b < 0), reverse=True)]).astype(np.int64)[back]
+                pages, start, size = shared.value
+                bucket = (pairs >> np.uint64(32)).astype(np.int64)
+                level = probe(pages, start[bucket], size[bucket], pairs.astype(np.uint32))
             n_pair = np.minimum(np.minimum(_LEVEL_COUNT[level], n), n_before)
-            ratio = n_pair / np.maximum(n_before, 1) / 10.0**log_p
+            ratio = n_pair / np.maximum(n_before, 1) / 10.0 ** log_p[place[where]]
+            base = np.add.reduceat(log_p[place], begin[:-1])
             sums = []
             for weight in WEIGHTS:
-                gain = np.where(n_before > 0, np.log10(weight * ratio + (1 - weight)), 0.0) if weight else np.zeros(len(n))
+                gain = np.where(n_before > 0, np.log10(weight * ratio + (1 - weight)), 0.0)[back] if weight else np.zeros(len(token))
                 sums.append(base + np.add.reduceat(gain, begin[:-1]))
             top = np.max(sums, axis=0)
             score = top + np.log10(np.mean([10.0 ** (x - top) for x in sums], axis=0))
-            yield c.table(SCORES, doc_id=c.ids_column(ids, known), held_out=held_out(ids, known), n_tokens=np.diff(begin), n_known=np.add.reduceat((n > 0).astype(np.int64), begin[:-1]), train_tokens=np.full(len(ids), total), base_score=base, score=score)
+            yield c.table(SCORES, doc_id=c.ids_column(ids, known), held_out=held_out(ids, known), n_tokens=np.diff(begin), n_known=np.add.reduceat((count > 0).astype(np.int64)[place], begin[:-1]), train_tokens=np.full(len(ids), total), base_score=base, score=score)
 
     return run
 
 
-def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def score(docs: DataFrame, max_filter_bytes: int = 0) -> DataFrame:
     """Scores of every document of (doc_id, text) by a model of those that are not held out."""
     spark = docs.sparkSession
-    corpus = c.packed(docs)
+    corpus = c.packed(docs, chunk_bytes=CHUNK_BYTES)
     bits = corpus.message_bits()
-    asked = corpus.dealt(corpus.rows.mapInArrow(_request(bits), "kind int, bucket int, chunk long, body binary"), bits, "kind", "bucket")
-    answers = c.stored(asked.groupBy("kind", "bucket").applyInArrow(_reduce, "kind int, bucket int, chunk long, reply binary, tokens long, types long"))
-    sums = {r.kind: r for r in answers.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"), F.sum(F.octet_length("reply")).alias("bytes")).collect()}
-    if _WORD not in sums:
+    asked = corpus.rows.mapInArrow(_request(bits), "bucket int, chunk long, words int, body binary")
+    if 1 << bits > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        asked = asked.repartitionById(1 << bits, F.col("bucket"))  # a bucket a task; by hash, one task may get several
+    answers = c.stored(asked.groupBy("bucket").applyInArrow(_reduce(max_filter_bytes > 0), "bucket int, chunk long, reply binary, tokens long, types long"))
+    sums = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    if sums.tokens is None:
         return spark.createDataFrame([], SCORES_DDL)
     train_docs = docs.filter(F.col("doc_id").isNull() | (F.crc32(F.col("doc_id").cast("string")) % 10 != 0)).count()
-    pages = answers.filter(F.col("kind") == _PAIR).select("bucket", "reply")
-    replies = answers.filter(F.col("kind") == _WORD).select("chunk", "reply")
-    shared = None
-    if _PAIR not in sums or sums[_PAIR].bytes <= max_filter_bytes:
+    pages, shared = answers.filter("chunk is null").select("bucket", "reply"), None
+    if 0 < max_filter_bytes >= (filter_bytes := pages.agg(F.sum(F.octet_length("reply"))).first()[0]):
         at, size, here = np.zeros(1 << bits, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64), 0
-        joined = np.empty(sums[_PAIR].bytes if _PAIR in sums else 0, dtype=np.uint8)
+        joined = np.empty(filter_bytes, dtype=np.uint8)
         for r in pages.toLocalIterator():
             n = len(r.reply)
             at[r.bucket], size[r.bucket] = here, 8 * n
@@ -256,9 +259,5 @@ def score(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFram
             here += n
         shared = spark.sparkContext.broadcast((joined, at, size))
         del joined
-    else:
-        asked = corpus.dealt(corpus.rows.mapInArrow(_ask_levels(bits), "kind int, bucket int, chunk long, body binary"), bits, "bucket")
-        pages = corpus.dealt(pages, bits, "bucket")
-        levels = asked.groupBy("bucket").cogroup(pages.groupBy("bucket")).applyInArrow(_tell_levels, "chunk long, reply binary")
-        replies = replies.unionByName(levels)
-    return c.with_replies(corpus, replies).mapInArrow(_score(bits, int(sums[_WORD].tokens), int(sums[_WORD].types), train_docs, shared), SCORES_DDL)
+    replies = answers.filter("chunk is not null").select("chunk", "reply")
+    return c.with_replies(corpus, replies).mapInArrow(_score(bits, int(sums.tokens), int(sums.types), train_docs, shared), SCORES_DDL)

@@ -10,6 +10,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mapsieve.llm import bitmap_join, common, hash_ring, lm_bloom, sentencepiece_sa, suffix_dedup
@@ -124,6 +125,39 @@ class TestLanguageModel:
         r = lm_bloom.score(table).collect()
         assert sum(x.score for x in r) > sum(x.base_score for x in r)
 
+    def by_hand(self, rows, size, bits=4):
+        """Messages and scores without Spark, in chunks of so many rows."""
+        chunks = []
+        for at in range(0, len(rows), size):
+            data = [raw(t) for _, t in rows[at : at + size]]
+            ids, known = np.array([i or 0 for i, _ in rows[at : at + size]]), np.array([i is not None for i, _ in rows[at : at + size]])
+            chunks.append(common.table(common.PACKED, chunk=[at], size=[sum(map(len, data))], ids=[ids.tobytes()], known=[known.tobytes()], offsets=[np.cumsum([0, *map(len, data)]).tobytes()], data=[b"".join(data)], rest_offsets=[b""], rest=[b""]))
+        asked = pa.Table.from_batches(lm_bloom._request(bits)(iter(chunks)))
+        of = np.array(asked["bucket"])
+        answers = pa.concat_tables(lm_bloom._reduce(False)((pa.scalar(int(b)),), asked.filter(pa.array(of == b))) for b in np.unique(of)).to_pylist()
+        rows_ = [pa.record_batch([*x.columns, pa.array([[a["reply"] for a in answers if a["chunk"] == x["chunk"][0].as_py()]], pa.list_(pa.binary()))], [*x.schema.names, "replies"]) for x in chunks]
+        train_docs = sum(i is None or zlib.crc32(str(i).encode()) % 10 != 0 for i, _ in rows)
+        out = pa.Table.from_batches(lm_bloom._score(bits, sum(a["tokens"] for a in answers), sum(a["types"] for a in answers), train_docs, None)(iter(rows_)))
+        return asked, out["score"].to_pylist()
+
+    def test_a_bigram_is_probed_once_whatever_the_number_of_chunks(self, rows, monkeypatch):
+        probed, probe = [], lm_bloom.probe
+        monkeypatch.setattr(lm_bloom, "probe", lambda *x: probed.append(len(x[-1])) or probe(*x))
+        asked, _ = self.by_hand(rows, 5)
+        bigrams = {x for _, t in rows for w in [[*WORD.findall(lower(raw(t))), None]] for x in zip(["start", *w[:-1]], w, strict=True)}
+        assert sum(probed) == len(bigrams)
+        sent = list(zip(asked["chunk"].to_pylist(), asked["bucket"].to_pylist(), strict=True))
+        assert len(sent) == len(set(sent))
+
+    def test_bigrams_that_share_a_name_keep_their_own_words(self, rows, monkeypatch):
+        names = lm_bloom._names
+        monkeypatch.setattr(lm_bloom, "_names", lambda pairs, bits: names(pairs, bits) >> np.uint64(25) << np.uint64(25))
+        (_, one), (_, many) = self.by_hand(rows, len(rows)), self.by_hand(rows, 3)
+        assert one == many
+
+    def test_scores_by_hand_are_those_of_the_query(self, table, rows):
+        assert sorted(self.by_hand(rows, 7)[1]) == sorted(r.score for r in lm_bloom.score(table).collect())
+
     def test_empty(self, spark):
         assert lm_bloom.score(empty(spark)).count() == 0
 
